@@ -26,7 +26,7 @@ Rule = tuple[tuple[str, bool, float], ...]
 
 def pieces(text: Column) -> dict[str, Column]:
     """What the statistics of a text are made from."""
-    return {"text": text, "words": F.array_remove(F.split(F.lower(text), r"\s+"), ""), "lines": F.array_remove(F.split(text, "\n"), "")}
+    return {"text": text, "words": F.array_remove(F.split(text, r"\s+"), ""), "lines": F.array_remove(F.split(text, "\n"), "")}
 
 
 def statistics(of: dict[str, Column]) -> dict[str, Column]:
@@ -34,21 +34,22 @@ def statistics(of: dict[str, Column]) -> dict[str, Column]:
     text, words, lines = of["text"], of["words"], of["lines"]
     n, n_words, n_lines = F.length(text).cast("double"), F.size(words).cast("double"), F.size(lines).cast("double")
     ratio = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
-    kept = lambda chars: n - F.length(F.translate(text, chars, ""))
+    kept = lambda chars: F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
+    only = lambda char: n - F.length(F.replace(text, F.lit(char), F.lit("")))
     return {
         "log_words": F.log1p(n_words),
         "word_length": ratio(n, n_words),
         "distinct_words": ratio(F.size(F.array_distinct(words)), n_words),
         "distinct_lines": ratio(F.size(F.array_distinct(lines)), n_lines),
         "words_per_line": ratio(n_words, n_lines),
-        "bars": ratio(kept("|"), n),
-        "symbols": ratio(kept("#*$%&<>{}[]=^~\\@_"), n),
-        "digits": ratio(kept("0123456789"), n),
-        "capitals": ratio(kept("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n),
+        "bars": ratio(only("|"), n),
+        "symbols": ratio(kept("#*$%&<>{}\\[\\]=^~@_"), n),
+        "digits": ratio(kept("0-9"), n),
+        "capitals": ratio(kept("A-Z"), n),
         "stops": ratio(kept(".!?"), n_words),
-        "commas": ratio(kept(",;:"), n_words),
-        "marks": ratio(kept("!"), n),
-        "slashes": ratio(kept("/"), n),
+        "commas": ratio(only(","), n_words),
+        "marks": ratio(only("!"), n),
+        "slashes": ratio(only("/"), n),
     }
 
 
