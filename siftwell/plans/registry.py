@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Modules that register queries as they are imported.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("siftwell.plans.corpus_queries", "siftwell.plans.scoring_queries")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
