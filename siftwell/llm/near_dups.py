@@ -32,7 +32,7 @@ BUCKETS, CHUNKS, SALTS = 1 << 20, 16, 32
 #: A shingle in this share of documents or less weighs 1; a more frequent one less, but no less than FLOOR.
 RAREST_SHARE, FLOOR = 0.05, 0.7
 #: Texts of a group that one task links; larger groups are split around their leader first.
-GROUP = 2000
+GROUP = 5000
 POOL = 1 << 16
 
 _rng = np.random.default_rng(1234567)
