@@ -140,12 +140,12 @@ def fit(texts: list[str], labels: list[int], penalty: float = 1.0, ridge: float
     # how much more often than a text a word's texts are toxic, drawn to 1 where it has few texts
     lift = {w: (in_toxic[w] + PRIOR * share) / (found[w] + PRIOR) / share for w, c in found.items() if c >= least}
     lifted = {w for w, x in lift.items() if x >= LEAST_LIFT}
-    # of features that the same texts have, the shortest beginning stands for all
+    # of a stem's features that the same texts have, the shortest stands for all
     support: dict[str, list[int]] = {w: [] for w in lifted}
     for d, own_features in enumerate(of_text):
         for w in own_features & lifted:
             support[w].append(d)
-    distinct = {tuple(support[w]): w for w in sorted(lifted, key=lambda w: (-len(w), w))}
+    distinct = {(w[: STEMS[0]].rstrip("*"), tuple(support[w])): w for w in sorted(lifted, key=lambda w: (-len(w), w))}
     vocabulary = {w: k for k, w in enumerate(sorted(set(distinct.values()) | (lines.keys() & found.keys())))}
     pairs = [(s, c) for s in dict.fromkeys(sentences) for c in swapped(s, lines)]
 
