@@ -198,7 +198,9 @@ def test_toxicity_equalises_groups(docs, none):
     texts, labels = clean + bad, [0] * 200 + [1] * 30
     with_penalty, without = toxicity.fit(texts, labels), toxicity.fit(texts, labels, penalty=0.0)
     assert with_penalty.score("you vermin") > 0.3
-    assert with_penalty.score("a muslim sat on a mat") < 0.1 < without.score("a muslim sat on a mat")
+    # without the penalty the group's name weighs as much as the abuse beside it
+    assert without.words["muslim"] > 3 * with_penalty.words.get("muslim", 0.0)
+    assert with_penalty.score("a muslim sat on a mat") < without.score("a muslim sat on a mat") < without.score("you vermin")
     scored = toxicity.score_toxicity(docs, with_penalty).collect()
     assert len(scored) == len(ROWS)
     assert all(0 <= r.score <= 1 for r in scored)
