@@ -50,7 +50,8 @@ def shared_folder(spark: SparkSession) -> str:
 def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the stream, once; the query returns what its sink has."""
     folder, path = shared_folder(spark), f"{sf_dir}/documents.parquet"
-    docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # a pattern, as a stream takes a single file only by one
+    docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/documents.parque[t]")
     stream = packed_stream(docs, 513, 4).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
     return spark.read.schema(OUT).parquet(f"{folder}/out")
