@@ -329,7 +329,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u"))).filter("v != u").distinct()
         edges = materialize(small, "stars")
-        if edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+        # done when all are stars: no node is above one and below another, and none is below two
+        if edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and edges.groupBy("v").count().filter("count > 1").isEmpty():
             break
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter
+from itertools import pairwise, permutations
 
 import numpy as np
 import pytest
@@ -256,3 +257,15 @@ def test_near_duplicates(spark, docs, none, group):
         assert kept.columns == docs.columns
         assert sorted(key(r) for r in kept.collect()) == sorted({key((r[1],)) for r in found})
         assert near_dups.near_duplicates(none).count() == 0
+
+
+def chain(names):
+    return [(a.encode(), b.encode()) for a, b in pairwise(names)]
+
+
+@pytest.mark.parametrize("paths", [["15362"], [f"{k:03d}:{x}" for k, p in enumerate(permutations("12345")) for x in ["".join(p)]]], ids=["drifting", "all orders"])
+def test_components_of_chains(spark, paths):
+    named = [[f"{head}{x}" for x in path] for head, _, path in (p.rpartition(":") for p in paths)]
+    links = [e for names in named for e in chain(names)]
+    found = near_dups.components(spark.createDataFrame(links, "a binary, b binary")).collect()
+    assert sorted((bytes(r.node).decode(), bytes(r.root).decode()) for r in found) == sorted((x, min(names)) for names in named for x in names if x != min(names))
