@@ -340,7 +340,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id (the least id of its class) and node (the text's digest).
+    """Per row of ``docs``: doc_id, class_id (the least id of its class), node (the text's digest) and
+    root (the least node of its class). Only root is a key of classes: class_id is null or shared where ids are.
 
     Two texts are linked if their weighted Jaccard similarity is ``similar`` or more; classes are
     connected components. Equal texts, empty ones too, are of one class. Texts of fewer than five
@@ -402,16 +403,16 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, group: int = GROU
         roots = components(all_links)
         named = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         classes = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-        named = named.join(classes, "root").select("node", "class_id")
+        named = named.join(classes, "root").select("node", "class_id", "root")
     else:
-        named = nodes.select("node", F.col("rep").alias("class_id"))
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "node")
+        named = nodes.select("node", F.col("rep").alias("class_id"), F.col("node").alias("root"))
+    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "node", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class of near duplicates: the one of the least id."""
+    """``docs`` with one row of each class of near duplicates: the one of the least id (null last), then of the least digest."""
     found = near_duplicates(docs, similar, id_col=id_col, text_col=text_col)
-    kept = found.groupBy("class_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias("_kept_node")).withColumnRenamed("class_id", "_kept_id")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("_kept_id"), F.col("x.node").alias("_kept_node"))
     node = F.unhex(F.md5(F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "utf-8")))
     numbered = docs.withColumn("_node", node)
     out = numbered.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")) & (F.col("_node") == F.col("_kept_node")), "left_semi")

@@ -269,3 +269,13 @@ def test_components_of_chains(spark, paths):
     links = [e for names in named for e in chain(names)]
     found = near_dups.components(spark.createDataFrame(links, "a binary, b binary")).collect()
     assert sorted((bytes(r.node).decode(), bytes(r.root).decode()) for r in found) == sorted((x, min(names)) for names in named for x in names if x != min(names))
+
+
+def test_one_row_of_each_class_is_kept_where_ids_are_null_or_shared(spark):
+    """Ids name no classes: several null ids and one id of two texts."""
+    texts = {k: " ".join(rng.choice([f"{k}{j}" for j in range(400)], 120)) for k in "abcdef"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"] + " end"), (4, texts["c"]), (4, texts["d"]), (3, texts["d"] + " end"), (4, texts["e"]), (None, texts["f"]), (2, texts["f"]), (2, texts["f"])]
+    kept = near_dups.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    digest = lambda t: hashlib.md5(t.encode()).digest()
+    want = [(None, texts["a"]), (None, min(texts["b"], texts["b"] + " end", key=digest)), (4, texts["c"]), (3, texts["d"] + " end"), (4, texts["e"]), (2, texts["f"])]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
