@@ -133,6 +133,25 @@ def exponential_average(spark, sf_dir):
     return e.select("event_type", F.size("v").cast("bigint").alias("n"), F.round(mean, 6).alias("mean"))
 
 
+def exponential_mean(rows, group: str, order: str, value: str, rate: float = 0.1, width: int = 4096):
+    """Per group: n and the mean that begins at the first value and moves by ``rate`` to each later one.
+
+    Rows are folded in blocks of ``width`` consecutive ids; a block's share fades with the number of rows after it.
+    """
+    keep = 1 - rate
+    folded = F.aggregate("v", F.lit(0.0), lambda m, x: m * keep + x[value].cast("double") * rate)
+    blocks = rows.groupBy(group, F.floor(F.col(order) / width).alias("block")).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("v"))
+    blocks = blocks.select(group, "block", F.size("v").cast("bigint").alias("n"), F.get("v", F.lit(0))[value].alias("first"), folded.alias("part"))
+    later = Window.partitionBy(group).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    faded = blocks.withColumn("part", F.col("part") * F.pow(F.lit(keep), F.coalesce(F.sum("n").over(later), F.lit(0))))
+    return faded.groupBy(group).agg(F.sum("n").alias("n"), F.sum("part").alias("part"), F.min_by("first", "block").alias("first")).select(group, "n", (F.col("part") + F.pow(F.lit(keep), F.col("n")) * F.col("first")).alias("mean"))
+
+
+@query("exponential_average_all", "WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, count(*)::BIGINT AS n, round(sum(value * power(0.9::DOUBLE, n - k) * CASE WHEN k = 1 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END), 6) AS mean FROM s GROUP BY event_type")
+def exponential_average_all(spark, sf_dir):
+    return exponential_mean(table(spark, sf_dir, "events"), "event_type", "event_id", "value").select("event_type", "n", F.round("mean", 6).alias("mean"))
+
+
 STEPS, WARM = 400, 40
 
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import ranking
 from siftwell.operators import corpus, scoring, selection
+from siftwell.plans import metric_queries
+from siftwell.plans.registry import all_queries
 from siftwell.sources import corpora
 
 
@@ -65,3 +67,18 @@ def test_greedy_is_unique_and_of_size(spark):
     for t in (None, 0.5):
         found = selection.greedy(rows, 5, 1.0, 0.5, temperature=t).collect()
         assert len({(r.step, r.sample_id) for r in found}) == 15
+
+
+def test_exponential_average_folds_all_events(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, "abc"[i % 3 if i < 2000 else 0], float(rng.normal())) for i in range(500, 2600)] + [(90000, "d", 2.5)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, value double").repartition(3)
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for _, k, v in rows:
+        n, m = want.get(k, (0, v))
+        want[k] = (n + 1, m + 0.1 * (v - m))
+    got = all_queries()["exponential_average_all"](spark, str(tmp_path)).collect()
+    assert {r.event_type: (r.n, r.mean) for r in got} == {k: (n, pytest.approx(m, abs=1e-6)) for k, (n, m) in want.items()}
+    narrow = metric_queries.exponential_mean(events, "event_type", "event_id", "value", width=7).collect()
+    assert {r.event_type: (r.n, r["mean"]) for r in narrow} == {k: (n, pytest.approx(m)) for k, (n, m) in want.items()}
