@@ -232,6 +232,41 @@ def draws_with_replacement(spark, sf_dir):
     return grid.withColumn("row", hashing.hash_mod(13, 5000, "step", "slot"))
 
 
+SEQ, BATCH, WORLD = 512, 8, 4
+#: Start positions (len) of a corpus's windows, and how many windows an epoch has: one less, so that each epoch may begin elsewhere.
+LEN = f"len AS (SELECT greatest(sum(length({KEPT}) + 1) - {SEQ} - 1, 0)::BIGINT AS len FROM documents), wn AS (SELECT len, greatest(len // {SEQ} - 1, 0) AS windows, greatest(len // {SEQ} - 1, 0) // {BATCH} AS batches FROM len)"
+
+
+def window_starts(docs: DataFrame) -> tuple[int, int]:
+    """How many start positions and how many windows of an epoch the tokens of ``docs`` have."""
+    tokens_in_all = docs.agg(F.sum(tokens.n_char_ids(F.col("text")) + 1)).first()[0] or 0
+    starts = max(tokens_in_all - SEQ - 1, 0)
+    return starts, max(starts // SEQ - 1, 0)
+
+
+@query("epoch_windows", f"""WITH {LEN}, p AS (SELECT e, w, row_number() OVER (PARTITION BY e ORDER BY md5(concat_ws(':', (7 + e)::VARCHAR, w)), w) - 1 AS place, batches FROM wn, range(3) x(e), range((SELECT windows FROM wn)) y(w)),
+b AS (SELECT *, CASE WHEN place // {BATCH} < batches THEN e * batches + place // {BATCH} END AS b FROM p)
+SELECT e AS epoch, w, place, w * {SEQ} + ('0x' || substr(md5(concat_ws(':', '7', e, 'offset')), 1, 13))::BIGINT % {SEQ} AS start, b // {WORLD} AS step, b % {WORLD} AS rank FROM b""")
+def epoch_windows(spark, sf_dir):
+    """Every window of the corpus once an epoch, shuffled and shifted by the epoch's offset; step and rank that read it, null for the remainder of an epoch."""
+    _, windows = window_starts(table(spark, sf_dir, "documents"))
+    batches = windows // BATCH
+    rows = spark.range(windows).withColumnRenamed("id", "w").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))))
+    key = F.md5(F.concat_ws(":", (F.col("epoch") + 7).cast("string"), F.col("w").cast("string")))
+    ranked = ranking.running_sum(rows.withColumn("key", key), ranking.hash_bucket("key"), ["key", "w"], F.lit(1), "place", ["epoch"])
+    b = F.when(F.col("place") < batches * BATCH, F.col("epoch") * batches + F.expr(f"place div {BATCH}"))
+    start = F.col("w") * SEQ + hashing.hash_mod(7, SEQ, "epoch", F.lit("offset"))
+    return ranked.withColumn("b", b).select("epoch", "w", "place", start.alias("start"), F.expr(f"b div {WORLD}").alias("step"), (F.col("b") % WORLD).alias("rank"))
+
+
+@query("window_draws", f"WITH {LEN} SELECT step, slot, ('0x' || substr(md5(concat_ws(':', '13', step, slot)), 1, 13))::BIGINT % len AS start FROM wn, range((SELECT batches FROM wn)) a(step), range({BATCH}) b(slot)")
+def window_draws(spark, sf_dir):
+    """As many batches as an epoch has, drawn with replacement from all start positions of the corpus."""
+    starts, windows = window_starts(table(spark, sf_dir, "documents"))
+    grid = spark.range(windows // BATCH).withColumnRenamed("id", "step").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BATCH - 1).cast("bigint"))))
+    return grid.withColumn("start", hashing.hash_mod(13, starts, "step", "slot"))
+
+
 @query("rank_shards", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 4 AS shard FROM documents")
 def rank_shards(spark, sf_dir):
     ranked = ranking.global_rank(table(spark, sf_dir, "documents").select("doc_id"), ranking.id_bucket("doc_id"), ["doc_id"])

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +84,23 @@ def test_exponential_average_folds_all_events(spark, tmp_path):
     assert {r.event_type: (r.n, r.mean) for r in got} == {k: (n, pytest.approx(m, abs=1e-6)) for k, (n, m) in want.items()}
     narrow = metric_queries.exponential_mean(events, "event_type", "event_id", "value", width=7).collect()
     assert {r.event_type: (r.n, r["mean"]) for r in narrow} == {k: (n, pytest.approx(m)) for k, (n, m) in want.items()}
+
+
+@pytest.mark.parametrize("copies", [40, 1])
+def test_epochs_hold_all_windows_of_the_documents(spark, tmp_path, copies):
+    docs = [(i, "abcde fgh " * (20 + i)) for i in range(copies)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    starts = max(sum(len(t) + 1 for _, t in docs) - 513, 0)
+    windows = max(starts // 512 - 1, 0)
+    batches = windows // 8
+    assert (windows > 8 and windows % 8) if copies > 1 else not windows
+    number = lambda *keys: int(hashlib.md5(":".join(map(str, keys)).encode()).hexdigest()[:13], 16)
+    want = []
+    for e in range(3):
+        order = sorted(range(windows), key=lambda w: hashlib.md5(f"{7 + e}:{w}".encode()).hexdigest())
+        for place, w in enumerate(order):
+            b = e * batches + place // 8 if place < batches * 8 else None
+            want.append((e, w, place, w * 512 + number(7, e, "offset") % 512, None if b is None else b // 4, None if b is None else b % 4))
+    assert sorted(map(tuple, all_queries()["epoch_windows"](spark, str(tmp_path)).collect())) == sorted(want)
+    drawn = all_queries()["window_draws"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, drawn)) == [(step, slot, number(13, step, slot) % starts) for step in range(batches) for slot in range(8)]
