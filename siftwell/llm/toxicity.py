@@ -9,6 +9,7 @@ scores of a pair is part of the loss, so that a group's name alone doesn't count
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -17,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import id_and_text, small_batches, unused_name
+from siftwell.llm._shared import id_and_text, materialize, small_batches, unused_name
 
 # Terms for groups of people; those of one line can stand for each other.
 IDENTITY_TERMS = (
@@ -109,85 +111,135 @@ def swapped(words: frozenset[str], sets: dict[str, tuple[str, ...]], most: int =
     return [s for s in out if s != words]
 
 
-def _sum(rows: np.ndarray, weights: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(rows, weights[cols], n)
+def sentences_of(text: str) -> set[frozenset[str]]:
+    """The distinct word sets of a text's sentences."""
+    return {frozenset(WORD.findall(s)) for s in SENTENCE.split(text.lower())}
 
 
-def fit(texts: list[str], labels: list[int], penalty: float = 1.0, ridge: float = 1.0, turns: int = 3, steps: int = 100) -> ToxicityModel:
-    """Fit a model; texts that repeat count once, with the label that most of their rows have.
+def coded(words, vocabulary: dict[str, int]) -> tuple[int, ...]:
+    """The numbers of the features of a sentence that the vocabulary has, in order."""
+    return tuple(sorted(vocabulary[f] for f in features(words) if f in vocabulary))
 
-    Without a text of either label the score is that of the share of label 1.
+
+def choose(counted: list[tuple[str, int, int, int]], n: int, n_toxic: int) -> tuple[dict[str, int], np.ndarray]:
+    """Number the features that may count, and give the weight that each begins with.
+
+    ``counted``: feature, texts that have it, toxic ones among them, and a number that two features
+    share if the same texts have them. Of a stem's features that the same texts have, the shortest
+    stands for all. Names of groups are always among the features.
     """
-    votes: dict[str, list[int]] = {}
-    for t, y in zip(texts, labels, strict=True):
-        votes.setdefault(t, []).append(y)
-    items = sorted((t, int(2 * sum(v) > len(v))) for t, v in votes.items())
-    y = np.array([v for _, v in items], float)
-    if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        return ToxicityModel({}, 0.0, 1.0, math.log(share / (1 - share)))
-    sentences, owner = [], []
-    for d, (t, _) in enumerate(items):
-        own = {frozenset(WORD.findall(s)) for s in SENTENCE.split(t.lower())} or {frozenset()}
-        sentences += sorted(own, key=sorted)
-        owner += [d] * len(own)
-    own = np.array(owner)
-    of_text = [features(set(WORD.findall(t.lower()))) for t, _ in items]
-    found = Counter(w for own_features in of_text for w in own_features)
-    lines = {w: line for line in IDENTITY_TERMS for w in line}
-    in_toxic = Counter(w for own_features, (_, v) in zip(of_text, items, strict=True) if v for w in own_features)
-    share, least = y.mean(), max(LEAST_TEXTS, len(items) // 1000)
-    # how much more often than a text a word's texts are toxic, drawn to 1 where it has few texts
-    lift = {w: (in_toxic[w] + PRIOR * share) / (found[w] + PRIOR) / share for w, c in found.items() if c >= least}
-    lifted = {w for w, x in lift.items() if x >= LEAST_LIFT}
-    # of a stem's features that the same texts have, the shortest stands for all
-    support: dict[str, list[int]] = {w: [] for w in lifted}
-    for d, own_features in enumerate(of_text):
-        for w in own_features & lifted:
-            support[w].append(d)
-    distinct = {(w[: STEMS[0]].rstrip("*"), tuple(support[w])): w for w in sorted(lifted, key=lambda w: (-len(w), w))}
-    vocabulary = {w: k for k, w in enumerate(sorted(set(distinct.values()) | (lines.keys() & found.keys())))}
-    pairs = [(s, c) for s in dict.fromkeys(sentences) for c in swapped(s, lines)]
-
-    def sparse(sets: list[frozenset[str]]) -> tuple[np.ndarray, np.ndarray]:
-        at = [(i, vocabulary[w]) for i, s in enumerate(sets) for w in features(s) if w in vocabulary]
-        return np.array([a for a, _ in at], np.int64), np.array([b for _, b in at], np.int64)
-
-    rows, cols = sparse(sentences)
-    first, second = sparse([s for s, _ in pairs]), sparse([c for _, c in pairs])
-    n, m = len(sentences), len(vocabulary)
-    theta, bias = np.zeros(m), -4.0
-    # the first choice of sentences is by the words' lifts
-    for w, k in vocabulary.items():
-        theta[k] = max(0.0, math.log(lift.get(w, 1.0)))
+    share, names = n_toxic / n, {w for line in IDENTITY_TERMS for w in line}
+    # how much more often than a text a feature's texts are toxic, drawn to 1 where it has few texts
+    lift = {w: (t + PRIOR * share) / (c + PRIOR) / share for w, c, t, _ in counted}
+    distinct: dict[tuple, str] = {}
+    for w, _, _, support in sorted(counted, key=lambda x: (-len(x[0]), x[0])):
+        if lift[w] >= LEAST_LIFT:
+            distinct[w[: STEMS[0]].rstrip("*"), support] = w
+    vocabulary = {w: k for k, w in enumerate(sorted(set(distinct.values()) | (names & lift.keys())))}
+    return vocabulary, np.array([max(0.0, math.log(lift[w])) for w in vocabulary])
+
+
+class Sparse:
+    """Rows of feature numbers, each with a weight."""
+
+    def __init__(self, rows: list[tuple[int, ...]], weights: list[int]):
+        self.n, self.weights = len(rows), np.array(weights, float)
+        self.rows = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.cols = np.array([k for r in rows for k in r], np.int64)
+
+    def sums(self, theta: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, theta[self.cols], self.n)
+
+    def back(self, errors: np.ndarray, m: int) -> np.ndarray:
+        return np.bincount(self.cols, errors[self.rows], m)
+
+
+def learn(clean: dict[tuple, int], toxic: list[dict[tuple, int]], pairs: dict[tuple, int], theta: np.ndarray, penalty: float = 1.0, ridge: float = 1.0, turns: int = 3, steps: int = 100) -> tuple[np.ndarray, float]:
+    """Weights and bias. ``clean`` and each text of ``toxic``: sentences by their feature numbers, with how many
+    there are; ``pairs``: (a sentence's, its swapped copy's) feature numbers, with how many there are."""
+    rows, times, owner = list(clean), list(clean.values()), [-1] * len(clean)
+    for d, own_rows in enumerate(toxic):
+        rows += own_rows
+        times += own_rows.values()
+        owner += [d] * len(own_rows)
+    x, own = Sparse(rows, times), np.array(owner)
+    first, second = (Sparse([p[k] for p in pairs], list(pairs.values())) for k in (0, 1))
+    m, theta, bias, bad = len(theta), theta.copy(), -4.0, own >= 0
+    fixed = ridge + penalty * (first.back(first.weights, m) + second.back(second.weights, m)) if pairs else ridge
     for _ in range(turns):
-        z = _sum(rows, theta, cols, n)
-        best = np.full(len(items), -np.inf)
-        np.maximum.at(best, own, z)
-        chosen = (y[own] == 1) & (z >= NEAR_BEST * best[own] - 1e-12)
+        z = x.sums(theta)
+        best = np.full(len(toxic) + 1, -np.inf)
+        np.maximum.at(best, own[bad], z[bad])
+        chosen = bad & (z >= NEAR_BEST * best[own] - 1e-12)
         # a toxic text's other sentences may be either; all sentences of other texts are clean
-        used = (chosen | (y[own] == 0)).astype(float)
+        used = np.where(chosen | ~bad, x.weights, 0.0)
         target = chosen.astype(float)
-        per_word = 0.25 * np.bincount(cols, used[rows], m) + ridge
-        if pairs:
-            per_word += penalty * (np.bincount(first[1], minlength=m) + np.bincount(second[1], minlength=m))
+        per_word = 0.25 * x.back(used, m) + fixed
         speed, bias_speed = np.zeros(m), 0.0
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(_sum(rows, theta, cols, n) + bias, -30, 30)))
-            error = (p - target) * used
-            g = np.bincount(cols, error[rows], m) + ridge * theta
+            error = (1 / (1 + np.exp(-np.clip(x.sums(theta) + bias, -30, 30))) - target) * used
+            g = x.back(error, m) + ridge * theta
             if pairs:
-                gap = (_sum(first[0], theta, first[1], len(pairs)) - _sum(second[0], theta, second[1], len(pairs))) * 2 * penalty
-                g += np.bincount(first[1], gap[first[0]], m) - np.bincount(second[1], gap[second[0]], m)
+                gap = (first.sums(theta) - second.sums(theta)) * 2 * penalty * first.weights
+                g += first.back(gap, m) - second.back(gap, m)
             # each word's step is scaled by a bound of its curvature, and damped as a sentence has several words
             speed = 0.8 * speed - 0.15 * g / per_word
             bias_speed = 0.8 * bias_speed - 0.15 * error.sum() / (0.25 * used.sum())
             theta += speed
             bias += bias_speed
-    words = {w: float(theta[k]) for w, k in vocabulary.items() if abs(theta[k]) > 0.02}
-    model = ToxicityModel(words, float(bias), 1.0, 0.0)
-    raw = np.array([model.raw(t) for t, _ in items])
-    model.slope, model.offset = platt(raw, y)
+    return theta, bias
+
+
+def constant(n: int, n_toxic: int) -> ToxicityModel:
+    """Without a text of either label: the smoothed share of label 1."""
+    share = (n_toxic + 0.5) / (n + 1)
+    return ToxicityModel({}, 0.0, 1.0, math.log(share / (1 - share)))
+
+
+def described(text: str, vocabulary: dict[str, int]) -> tuple[Counter, dict[frozenset, list[tuple[tuple, tuple]]]]:
+    """A text's sentences by their feature numbers, and by each sentence that names a group its (own, copy's) feature numbers."""
+    lines = {w: line for line in IDENTITY_TERMS for w in line}
+    own = sentences_of(text)
+    pairs = {s: [(coded(s, vocabulary), coded(c, vocabulary)) for c in swapped(s, lines)] for s in own if not lines.keys().isdisjoint(s)}
+    return Counter(coded(s, vocabulary) for s in own), pairs
+
+
+def least_texts(n: int) -> int:
+    return max(LEAST_TEXTS, n // 1000)
+
+
+def finished(vocabulary: dict[str, int], theta: np.ndarray, bias: float) -> ToxicityModel:
+    return ToxicityModel({w: float(theta[k]) for w, k in vocabulary.items() if abs(theta[k]) > 0.02}, float(bias), 1.0, 0.0)
+
+
+def fit(texts: list[str], labels: list[int], penalty: float = 1.0) -> ToxicityModel:
+    """Fit a model to texts in memory; texts that repeat count once, with the label that most of their rows have.
+
+    Without a text of either label the score is that of the share of label 1. ``fit_toxicity``
+    makes the same model of tables.
+    """
+    votes: dict[str, list[int]] = {}
+    for t, y in zip(texts, labels, strict=True):
+        votes.setdefault(t, []).append(y)
+    items = sorted((t, int(2 * sum(v) > len(v))) for t, v in votes.items())
+    n, n_toxic = len(items), sum(y for _, y in items)
+    if n_toxic in (0, n):
+        return constant(n, n_toxic)
+    support: dict[str, list[int]] = {}
+    for d, (t, _) in enumerate(items):
+        for f in features(set(WORD.findall(t.lower()))):
+            support.setdefault(f, []).append(d)
+    counted = [(f, len(ds), sum(items[d][1] for d in ds), hash(tuple(ds))) for f, ds in support.items() if len(ds) >= least_texts(n)]
+    vocabulary, theta = choose(counted, n, n_toxic)
+    clean, toxic, pairs, seen = Counter(), [], Counter(), set()
+    for t, y in items:
+        rows, more = described(t, vocabulary)
+        toxic.append(rows) if y else clean.update(rows)
+        for s in more.keys() - seen:
+            pairs.update(more[s])
+        seen |= more.keys()
+    model = finished(vocabulary, *learn(clean, toxic, pairs, theta, penalty))
+    model.slope, model.offset = platt(np.array([model.raw(t) for t, _ in items]), np.array([y for _, y in items], float))
     return model
 
 
@@ -213,18 +265,75 @@ def held_out(id_col: str, modulus: int, remainder: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most about ``most`` labelled rows that aren't held out: text and y, chosen by a hash of the text."""
+    """At most ``most`` labelled rows that aren't held out: digest, text, y. Those of the least hashes of
+    doc_id (then of the text) are chosen, so the sample doesn't depend on partitions.
+
+    Rows without id or label aren't chosen; of an id that has several labels the largest counts. A null text is empty.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    place = F.pmod(F.xxhash64(F.lit(label), "doc_id"), F.lit(1 << 40))
     n = known.count()
-    # labels are small beside texts, but grow with them: only as many as are wanted are joined
-    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(n, 1))) + 1).limit(2 * most)
-    return id_and_text(docs, id_col, text_col).join(F.broadcast(some), "doc_id").select("text", "y")
+    # labels are small beside texts, but grow with them: only some more than are wanted are joined
+    some = known.withColumn("place", place).filter(F.col("place") < int((1 << 40) * min(1.0, 1.2 * (most + 100) / max(n, 1))) + 1)
+    found = id_and_text(docs, id_col, text_col).join(F.broadcast(some), "doc_id").withColumn("digest", F.unhex(F.sha2(F.encode("text", "utf-8"), 256)))
+    return found.orderBy("place", "digest").limit(most).select("digest", "text", "y")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """A model of ``labels.toxic``, fitted to at most about ``most`` rows whose crc32(doc_id) mod 4 is not 2."""
-    pdf = labelled_sample(docs, labels, "toxic", 4, 2, most, id_col, text_col).toPandas()
-    return fit(pdf.text.tolist(), pdf.y.tolist())
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, penalty: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    """A model of ``labels.toxic``, fitted to at most ``most`` labelled rows whose crc32(doc_id) mod 4 is not 2.
+
+    Texts stay on the executors: they are counted, described by feature numbers and scored there. The
+    driver gets the features that enough texts have, and the distinct sentences as feature numbers.
+    Texts that repeat count once, with the label that most of their rows have (0 in a tie). Rows with
+    a null id or label aren't used; a null text is empty. With no row, or one label only, every score
+    is the smoothed share of label 1. Other columns are not read, so their names can't clash.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    sample = labelled_sample(docs, labels, "toxic", 4, 2, most, id_col, text_col)
+    items = materialize(sample.groupBy("digest").agg(F.first("text").alias("text"), (2 * F.sum("y") > F.count(F.lit(1))).alias("bad")), "labelled")
+    n, n_toxic = items.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    if n_toxic in (0, n):
+        return constant(n, n_toxic)
+
+    def own_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(features(set(WORD.findall(t.lower())))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("bad"), pa.array(found, pa.list_(pa.string()))], names=["digest", "bad", "features"])
+
+    has = items.select("digest", "bad", "text").mapInArrow(own_features, "digest binary, bad boolean, features array<string>").select("digest", "bad", F.explode("features").alias("feature"))
+    # which texts have a feature: as a number that doesn't depend on their order
+    support = F.bit_xor(F.xxhash64("digest"))
+    counted = has.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), support.alias("support"))
+    names = F.col("feature").isin(sorted({w for line in IDENTITY_TERMS for w in line}))
+    lift = (F.col("n_bad") + PRIOR * n_toxic / n) / (F.col("n") + PRIOR) / (n_toxic / n)
+    vocabulary, theta = choose([tuple(r) for r in counted.filter((F.col("n") >= least_texts(n)) & ((lift > LEAST_LIFT - 1e-6) | names)).collect()], n, n_toxic)
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())
+        for batch in batches:
+            rows = []
+            for digest, bad, text in zip(*(batch.column(c).to_pylist() for c in ("digest", "bad", "text")), strict=True):
+                own, pairs = described(text, shared.value)
+                rows += [(digest if bad else None, list(s), None, k) for s, k in own.items()]
+                # a sentence is known by the hash of its words, as it counts once among all texts
+                rows += [(hashlib.md5(" ".join(sorted(s)).encode()).digest(), list(a), list(b), i) for s, copies in pairs.items() for i, (a, b) in enumerate(copies)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["owner", "own", "copy", "n"])
+
+    found = materialize(items.select("digest", "bad", "text").mapInArrow(describe, "owner binary, own array<int>, copy array<int>, n long"), "sentences")
+    clean, toxic, pairs = {}, {}, {}
+    for r in found.filter("copy is null").groupBy("owner", "own").agg(F.sum("n").alias("n")).toLocalIterator():
+        (clean if r.owner is None else toxic.setdefault(bytes(r.owner), {}))[tuple(r.own)] = r.n
+    for r in found.filter("copy is not null").distinct().groupBy("own", "copy").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        pairs[tuple(r.own), tuple(r["copy"])] = r.n
+    order = lambda x: dict(sorted(x.items()))
+    model = finished(vocabulary, *learn(order(clean), [order(toxic[d]) for d in sorted(toxic)], order(pairs), theta, penalty))
+    own = spark.sparkContext.broadcast(model)
+    raw = F.pandas_udf(lambda texts: texts.map(own.value.raw).astype(float), "double")
+    scored = sorted(map(tuple, items.select(raw("text"), F.col("bad").cast("double")).collect()))
+    model.slope, model.offset = platt(np.array([r for r, _ in scored]), np.array([y for _, y in scored]))
+    return model
 
 
 def score_column(docs: DataFrame, model: ToxicityModel, text_col: str = "text"):
