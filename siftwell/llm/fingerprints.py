@@ -11,17 +11,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import id_and_text, id_type, materialize, small_batches
+from siftwell.llm._shared import id_and_text, id_type, small_batches
 
 #: Chunk sizes in bytes, and the top bits of the hash that are zero at a boundary before and after the normal size.
 LEAST, NORMAL, MOST, STRICT, LOOSE = 16, 40, 160, 6, 4
@@ -131,6 +131,7 @@ class Chunked:
 
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def row(this: Chunked, following: Chunked) -> tuple:
@@ -147,44 +148,44 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     and the last row's next is the first. A null text is empty; two empty texts contain each other.
     No rows: no rows. Other columns are not read, so their names can't clash.
 
-    Texts are moved once, into ranges. Within a range each row meets its next as both pass by; only
-    the first and last row of each range go through a further small join.
+    Texts are moved once, into ranges that are cut beforehand on ids and hashes alone. The first row of
+    each range is also sent to the range before it, so that every row meets its next in one pass.
     """
     small_batches(docs.sparkSession)
     kind, spark = id_type(docs, id_col), docs.sparkSession
-
-    def batch_of(rows: list[tuple], id_kind: pa.DataType) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int32(), pa.string(), id_kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "range", "text", *NAMES])
+    rows = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
+    # one row for each range that has rows
+    firsts = rows.select(key.alias("key")).repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key")).orderBy("key").collect()
+    if not firsts:
+        return spark.createDataFrame([], f"doc_id {kind}, {RESULT}")
+    starts = spark.createDataFrame([(k, tuple(r.key)) for k, r in enumerate(firsts)], f"place int, start struct<known: boolean, doc_id: {kind}, tie: bigint>").coalesce(1)
+    # the last start that isn't above the row: first among every width-th, then among those that follow it
+    width = math.isqrt(len(firsts)) + 1
+    listed = starts.agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    listed = F.broadcast(listed.select("starts", F.filter("starts", lambda x, i: i % width == 0).alias("coarse")))
+    below = lambda c: F.size(F.filter(c, lambda x: x <= key))
+    block = (below("coarse") - 1) * width
+    place = block + below(F.slice("starts", block + 1, F.lit(width))) - 1
+    # one row beside each
+    placed = rows.join(listed).select(place.alias("place"), F.lit(0).alias("after"), "doc_id", "text", "tie")
+    # rows that are equal in all of the key are equal texts, so any of them will do
+    edges = rows.join(F.broadcast(starts), F.col("doc_id").eqNullSafe(F.col("start.doc_id")) & (F.col("tie") == F.col("start.tie"))).groupBy("place").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("tie").alias("tie"))
+    following = edges.select(F.pmod(F.col("place") - 1, F.lit(len(firsts))).cast("int").alias("place"), F.lit(1).alias("after"), "doc_id", "text", "tie")
+    ordered = placed.unionByName(following).repartitionById(parts, F.col("place")).sortWithinPartitions("place", "after", F.col("doc_id").isNotNull(), "doc_id", "tie")
 
     def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, id_kind = TaskContext.get().partitionId(), None, pa.null()
-        edge = lambda name, x: (name, number, x.text, x.doc_id, *[None] * 6)
-        for batch in batches:
-            rows, id_kind = [], batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                following = Chunked(doc_id, text)
-                rows.append(edge("first", following) if held is None else ("row", number, None, *row(held, following)))
-                held = following
-            if rows:
-                yield batch_of(rows, id_kind)
-        if held is not None:
-            yield batch_of([edge("last", held)], id_kind)
-
-    ordered = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    found = materialize(ordered.select("doc_id", "text").mapInArrow(pass_by, f"kind string, range int, text string, {schema}"), "fingerprints")
-    # the numbers of the ranges that have rows: as many as partitions at most
-    numbers = sorted(r.range for r in found.filter("kind = 'first'").select("range").collect())
-    following = spark.createDataFrame(list(zip(numbers, [*numbers[1:], *numbers[:1]], strict=True)), "range int, following int")
-    last = found.filter("kind = 'last'").select("range", "doc_id", "text").join(following, "range")
-    first = found.filter("kind = 'first'").select(F.col("range").alias("following"), F.col("text").alias("next_text"))
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = None, None
         for batch in batches:
-            rows = [("row", 0, None, *row(Chunked(i, t), Chunked(None, u))) for i, t, u in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            if rows:
-                yield batch_of(rows, batch.schema.field(0).type).select(NAMES)
-
-    edges = last.join(first, "following").select("doc_id", "text", "next_text").mapInArrow(pair, schema)
-    return found.filter("kind = 'row'").select(*NAMES).unionByName(edges)
+            found = []
+            for number, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                this = Chunked(doc_id, text)
+                if held is not None and number == at:
+                    found.append(row(held, this))
+                held, at = this, number
+            if found:
+                kinds = (batch.schema.field(1).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=NAMES)
+
+    return ordered.select("place", "doc_id", "text").mapInArrow(pass_by, f"doc_id {kind}, {RESULT}")
