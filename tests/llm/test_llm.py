@@ -7,6 +7,7 @@ from itertools import pairwise, permutations
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -137,17 +138,74 @@ def test_joins_are_exact(text):
         assert bpe.tree(bpe.show(w)) == bpe.fragment(bpe.show(w), True)
 
 
+def naive_chunks(data):
+    """Chunk ends by the definition: a byte at a time, a sum over the last 16 bytes for each hash."""
+    ends, at = [], 0
+    gear = [int(x) for x in fingerprints.GEAR]
+    while len(data) - at > fingerprints.LEAST:
+        for n in range(fingerprints.LEAST, min(fingerprints.MOST, len(data) - at) + 1):
+            end = at + n
+            h = sum(gear[data[end - 1 - k]] << k for k in range(16) if end - 1 - k >= 0) % 65536
+            bits = fingerprints.STRICT if n <= fingerprints.NORMAL else fingerprints.LOOSE
+            if n == fingerprints.NORMAL:
+                bits = fingerprints.LOOSE
+                if h < 1 << 16 - fingerprints.STRICT:
+                    break
+            if h < 1 << 16 - bits or n == fingerprints.MOST:
+                break
+        else:
+            break
+        if end >= len(data):
+            break
+        ends.append(end)
+        at = end
+    return [*ends, len(data)] if at < len(data) else ends
+
+
+def naive_fingerprint(text):
+    data, start, out = text.encode(), 0, {}
+    for end in naive_chunks(data):
+        out[xxhash.xxh3_64_intdigest(data[start:end]) >> 16] = end - start
+        start = end
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("abcde é\n"), max_size=900))
+def test_boundaries_are_those_of_the_definition(text):
+    assert fingerprints.boundaries(text.encode()) == naive_chunks(text.encode())
+
+
 def test_fingerprints(docs, none):
     order = sorted(ROWS, key=key)
     found = sorted(fingerprints.fingerprint_documents(docs).collect(), key=key)
     for k, (r, (i, t, _)) in enumerate(zip(found, order, strict=True)):
         t, u = t or "", order[(k + 1) % len(order)][1] or ""
-        e = fingerprints.edited_text(t, u)
-        a, b = fingerprints.fingerprint(t), fingerprints.fingerprint(e)
-        assert (r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.written(a), fingerprints.written(b))
-        assert r.near_edited == pytest.approx(fingerprints.containment(a, b))
-        assert fingerprints.parsed(r.fingerprint) == a
+        e = t[: len(t) - len(t) // 4] + u[: len(t) // 4]
+        a, b, c = naive_fingerprint(t), naive_fingerprint(e), naive_fingerprint(u)
+        assert (r.doc_id, r.n_chars, r.edited_sha256) == (i, len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert (fingerprints.parsed(r.fingerprint), fingerprints.parsed(r.edited_fingerprint)) == (a, b)
+        share = lambda x, a=a: sum(n for d, n in a.items() if d in x) / sum(a.values()) if a else float(not x)
+        assert (r.near_edited, r.near_next) == (pytest.approx(share(b)), pytest.approx(share(c)))
     assert fingerprints.fingerprint_documents(none).count() == 0
+    one = fingerprints.fingerprint_documents(docs.filter("doc_id is null")).collect()
+    assert [(r.n_chars, r.near_next) for r in one] == [(5, 1.0)]
+
+
+def test_chunks_move_with_the_text():
+    text = " ".join(rng.choice(WORDS, 800))
+    a, b = fingerprints.fingerprint(text), fingerprints.fingerprint("a few more words in front, " + text)
+    assert fingerprints.containment(a, b) > 0.9
+    assert fingerprints.containment(a, fingerprints.fingerprint(" ".join(rng.choice([w[::-1] for w in WORDS], 800)))) < 0.05
+
+
+def test_fingerprints_of_one_id_and_many_ranges(spark):
+    """All rows share an id, so their texts' hashes order and deal them."""
+    texts = [f"text {k} " * 9 for k in range(200)]
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    order = [r.text for r in df.orderBy(F.xxhash64("text")).collect()]
+    want = Counter(hashlib.sha256((t[: len(t) - len(t) // 4] + u[: len(t) // 4]).encode()).hexdigest() for t, u in zip(order, [*order[1:], order[0]], strict=True))
+    assert Counter(r.edited_sha256 for r in fingerprints.fingerprint_documents(df).collect()) == want
 
 
 def test_token_files(docs, none):
@@ -209,6 +267,35 @@ def test_toxicity_equalises_groups(docs, none):
     assert toxicity.score_toxicity(none, toxicity.fit([], [])).count() == 0
 
 
+def test_toxicity_of_tables_is_that_of_lists(spark):
+    clean = [f"{' '.join(rng.choice(WORDS, 8))}. {' '.join(rng.choice(WORDS, 8))}." for _ in range(120)]
+    texts = clean + [f"{t} you muslim vermin." for t in clean[:20]] + [clean[0], None]
+    labels = [0] * 120 + [1] * 20 + [1, 0]
+    ids = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 4 != 2][: len(texts)]
+    held = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 4 == 2][:9]
+    rows = [(i, t, "c") for i, t in zip(ids, texts, strict=True)]
+    # texts that are held out, unlabelled, or without id would change the model if they were learned from
+    df = spark.createDataFrame([*rows, *[(i, "the cat", "c") for i in held], (None, "the cat", "c"), (5000, "the cat", "c")], "doc_id long, text string, digest string")
+    known = spark.createDataFrame([*zip(ids, labels, strict=True), *[(i, 1) for i in held], (None, 1), (5000, None)], "doc_id long, toxic int")
+    got, want = toxicity.fit_toxicity(df, known), toxicity.fit([t or "" for t in texts], labels)
+    assert got.words.keys() == want.words.keys()
+    assert all(got.words[w] == pytest.approx(x) for w, x in want.words.items())
+    assert (got.bias, got.slope, got.offset) == (pytest.approx(want.bias), pytest.approx(want.slope), pytest.approx(want.offset))
+    few = toxicity.labelled_sample(df, known, "toxic", 4, 2, 50).collect()
+    assert len(few) == 50
+    scored = {r.doc_id: r for r in toxicity.score_toxicity(df, got).collect()}
+    assert all(scored[i].held_out for i in held)
+    assert not scored[ids[0]].held_out
+    assert scored[ids[121]].score == pytest.approx(got.score("") if texts[121] is None else got.score(texts[121]))
+
+
+@pytest.mark.parametrize("labels", [[], [(9, 0), (5, 0)], [(9, 1)], [(None, 1), (9, None)]])
+def test_models_of_few_labels(spark, docs, labels):
+    known = spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("quality", F.col("toxic"))
+    for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, known)).collect() + rule_quality.score_quality(docs, rule_quality.fit_quality(docs, known)).collect():
+        assert 0 < r.score < 1
+
+
 def test_rules_agree_with_their_column(spark, docs, none):
     texts = [(i, " ".join(rng.choice(WORDS, 30)) if i % 2 else " | ".join(rng.choice(WORDS, 30))) for i in range(200)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
