@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; texts may be long, so both stay small.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+#: Rows of one key that one task joins, and keys of more rows at most.
+HOT_ROWS, HOT_KEYS = 100_000, 10_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -51,6 +53,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_to_one(rows: DataFrame, one: DataFrame, key: str, count: str, salt_by: list[str], most: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined by ``key`` to ``one``, which has one row for each key, with ``count``: how many of ``rows`` have it.
+
+    A key of more than ``most`` rows is dealt to several tasks by a hash of ``salt_by``, and its row
+    of ``one`` goes to each of these. There are at most ``HOT_KEYS`` such keys, so all tasks get their table.
+    """
+    total = one.agg(F.sum(count)).first()[0] or 0
+    most = max(most, total // HOT_KEYS)
+    hot = one.filter(F.col(count) > most).select(F.col(key).alias("_hot"), F.ceil(F.col(count) / most).cast("int").alias("_parts"))
+    salted = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("_parts").cast("long")).cast("int"), F.lit(0))).drop("_hot", "_parts")
+    spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(count) / most).cast("int"), F.lit(1)) - 1))).drop(count)
+    return salted.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def unused_name(df: DataFrame, wish: str) -> str:
     """``wish``, with underscores in front until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}

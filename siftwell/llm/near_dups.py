@@ -1,70 +1,128 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A text is a weighted set of shingles of five words: 1 + ln(tf) times an inverse
-document frequency that is scaled to lie between ``RAREST_SHARE`` and below and
-``FLOOR``, so that a large group of copies doesn't make its own shingles worthless.
-Samples that agree with a probability equal to the weighted Jaccard similarity are
-banded; texts that share a band meet in the group of that band's leader and are
-verified there by their exact weighted Jaccard similarity. Links become classes by
-alternating large and small stars.
+A text is a weighted set of shingles of five words: 1 + ln(tf) times a smooth inverse
+document frequency. Samples that agree with a probability equal to the weighted Jaccard
+similarity are banded; texts that share a band meet in the group of that band's leader
+and are verified there by their exact weighted Jaccard similarity. Links become classes
+by alternating large and small stars.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import id_and_text, id_type, materialize, small_batches
+from siftwell.llm._shared import id_and_text, id_type, join_to_one, materialize, small_batches, unused_name
 
 #: Words in a shingle, least similarity, bands and rows: at 0.8 one link in about 100,000 shares no band.
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 3
 #: Document frequencies are counted in hashed buckets: a table of fixed size, in chunks.
 BUCKETS, CHUNKS, SALTS = 1 << 20, 16, 32
-#: A shingle in this share of documents or less weighs 1; a more frequent one less, but no less than FLOOR.
-RAREST_SHARE, FLOOR = 0.05, 0.7
-#: Texts of a group that one task links; larger groups are split around their leader first.
-GROUP = 5000
-POOL = 1 << 16
+#: Shingles of a group that one task links; larger groups are split around LEADERS of their texts first.
+GROUP, LEADERS = 4_000_000, 16
+POOL, SAMPLED_TOGETHER, HASHED_TOGETHER, PORTION = 1 << 12, 8_192, 1 << 16, 50_000
+
+
+def _quantiles(draw, n: int = POOL, each: int = 256) -> np.ndarray:
+    """``n`` evenly spaced quantiles of a distribution, from many draws."""
+    return np.sort(draw(n * each))[each // 2 :: each].astype(np.float32)
+
 
 _rng = np.random.default_rng(1234567)
-#: Pools of the random numbers of the sampling: gamma(2, 1), ln of gamma(2, 1), uniform; hashes choose from them.
-GAMMA = _rng.gamma(2.0, 1.0, POOL).astype(np.float32)
-LOG_C = np.log(_rng.gamma(2.0, 1.0, POOL)).astype(np.float32)
-BETA = _rng.random(POOL).astype(np.float32)
+#: Pools of the random numbers of the sampling: gamma(2, 1), 8 less the ln of gamma(2, 1), uniform; hashes choose from them.
+GAMMA = _quantiles(lambda n: _rng.gamma(2.0, 1.0, n))
+ABOVE_LOG_C = np.float32(8) - np.log(_quantiles(lambda n: _rng.gamma(2.0, 1.0, n)))
+BETA, PER_GAMMA = ((np.arange(POOL) + 0.5) / POOL).astype(np.float32), 1 / GAMMA
 MULTIPLIERS = _rng.integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WORDS + 1)], np.uint64)
 
-_word_hash: dict[str, int] = {}
-
-
-def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of the runs of five words (of all words, if fewer) and how often each occurs."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    known = _word_hash
-    if len(known) > 300_000:
-        known.clear()
-    h = np.empty(len(words), np.uint64)
-    h[:] = [known.get(w) or known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words]
-    k = min(WORDS, len(words))
-    n = len(words) - k + 1
-    out = h[:n] * POWERS[0]
-    for j in range(1, k):
-        out += h[j : j + n] * POWERS[j]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(29)
-    return np.unique(out, return_counts=True)
+
+#: Words end at what ``str.split`` takes for white space; beyond ASCII it is replaced first. Fixed values.
+OTHER_SPACE, SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+IS_SPACE = np.isin(np.arange(256), list(SPACES))
+#: A random number for each byte; the powers of an odd number weigh a byte's place, and their inverses move a word to place 0.
+BYTES, ODD = _rng.integers(1 << 62, 1 << 63, 256, dtype=np.uint64), 0xD1342543DE82EF95
+PLACES, BACK = (np.array([1, *[x] * (HASHED_TOGETHER - 1)], np.uint64).cumprod(dtype=np.uint64) for x in (ODD, pow(ODD, -1, 1 << 64)))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (lower case, between white space) of several texts, and how many there are of each."""
+    coded = [(t if t.isascii() else OTHER_SPACE.sub(" ", t)).lower().encode() for t in texts]
+    data = np.frombuffer(b" ".join([*coded, b""]), np.uint8)
+    space = IS_SPACE[data]
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    turns = turns if len(data) == 0 or space[0] else np.concatenate(([0], turns))
+    starts, ends = turns[::2], turns[1::2]
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        last = int(np.searchsorted(ends, base + HASHED_TOGETHER, "right"))
+        if last == at:  # a longer word
+            out[at] = xxhash.xxh3_64_intdigest(data[base : ends[at]].tobytes())
+            at += 1
+            continue
+        first, values = starts[at:last] - base, BYTES[data[base : ends[last - 1]]]
+        values *= PLACES[: len(values)]
+        cuts = np.stack([first, ends[at:last] - base], 1).ravel()[:-1]
+        out[at:last] = np.add.reduceat(values, cuts)[::2] * BACK[first]
+        at = last
+    return mixed(out), np.diff(np.searchsorted(starts, np.cumsum([0, *[len(c) + 1 for c in coded]])))
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of several runs, one after another."""
+    return np.repeat(starts - sizes.cumsum() + sizes, sizes) + np.arange(sizes.sum())
+
+
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For several texts, one after another: distinct hashes, in order, of the runs of five words (of all words,
+    if fewer), how often each occurs, and how many there are of each text. Words are lower case, between white space."""
+    h, n = hashed_words(texts)
+    at = n.cumsum() - n
+    whole = h * POWERS[0]
+    for j in range(1, WORDS):
+        whole[:-j] += h[j:] * POWERS[j]
+    for i in np.flatnonzero((n > 0) & (n < WORDS)):
+        whole[at[i]] = (h[at[i] : at[i] + n[i]] * POWERS[: n[i]]).sum()
+    sizes = np.minimum(np.maximum(n - WORDS + 1, 1), n)
+    z = mixed(whole[runs(at, sizes)])
+    begins = sizes.cumsum() - sizes
+    for b, k in zip(begins.tolist(), sizes.tolist(), strict=True):
+        z[b : b + k].sort()
+    new = np.ones(len(z), bool)
+    np.not_equal(z[1:], z[:-1], out=new[1:])
+    new[begins[sizes > 0]] = True
+    first = np.flatnonzero(new)
+    return z[first], np.diff(np.append(first, len(z))), np.diff(np.searchsorted(first, np.append(begins, len(z))))
+
+
+def in_portions(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in lists of few enough characters for a processor's cache (a longer text alone)."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > PORTION:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
 
 
 def buckets(keys: np.ndarray) -> np.ndarray:
@@ -82,12 +140,14 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = np.zeros(BUCKETS, np.uint32), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                keys, _ = shingles(text)
-                table += np.bincount(b, minlength=BUCKETS).astype(np.uint32) if len(b := np.unique(buckets(keys))) > 100_000 else 0
-                if len(b) <= 100_000:
-                    table[b] += 1
-                n += 1
+            for texts in in_portions(batch.column(0).to_pylist()):
+                keys, _, sizes = shingle_sets(texts)
+                b = buckets(keys)
+                # shingles are in order, so those of one bucket and text are neighbours
+                new = np.diff(b, prepend=-1) != 0
+                new[(sizes.cumsum() - sizes)[sizes > 0]] = True
+                np.add.at(table, b[new], 1)
+                n += len(texts)
         salt = TaskContext.get().partitionId() % SALTS
         if n:
             yield packed({(c, salt): table[c * size : (c + 1) * size] for c in range(CHUNKS)}, n)
@@ -120,42 +180,67 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def bucket_weights(table: np.ndarray, n: int) -> np.ndarray:
-    """The scaled inverse document frequency of each bucket."""
-    idf = np.log((1.0 + n) / (1.0 + table.astype(np.float64))) / math.log(1 / RAREST_SHARE)
-    return np.clip(idf, FLOOR, 1.0).astype(np.float32)
+    """The smooth inverse document frequency of each bucket: 1 for a shingle of all documents, more the rarer it is.
 
+    It is scaled by a constant, so it is alike at every size. A bucket is as frequent as all its
+    shingles together, which bounds it: it hardly passes 1.6.
+    """
+    return (1 + np.log((1.0 + n) / (1.0 + table.astype(np.float64))) / math.log(BUCKETS)).astype(np.float32)
 
-def weighted(text: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of a text and their TF-IDF weights."""
-    keys, times = shingles(text)
+
+def weighted_sets(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of several texts, one after another, their TF-IDF weights, and how many there are of each text."""
+    keys, times, sizes = shingle_sets(texts)
     w = weights[buckets(keys)]
     if len(times) and times.max() > 1:
-        w = w * (1 + np.log(times)).astype(np.float32)
-    return keys, w
+        w *= (1 + np.log(times)).astype(np.float32)
+    return keys, w, sizes
+
+
+def weighted(text: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a text and their TF-IDF weights."""
+    return weighted_sets([text], weights)[:2]
 
 
 def samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The consistent weighted samples (columns) of the sets that begin at ``starts``, 32 bits each."""
-    log_w = np.log(weights)
-    low = keys.astype(np.uint32)
+    """The consistent weighted samples (columns) of the sets that begin at ``starts``, 32 bits each.
+
+    A shingle of weight w has r, c (both gamma(2, 1)) and b (uniform), and the level t = floor(ln w / r + b). The
+    shingle of the least ln c - r (t - b + 1) is sampled, with its level; here that number is negated and moved above 0,
+    where floats are in the order of their bits, and its shingle's place is put behind it.
+    """
+    log_w, places = np.log(weights), np.arange(len(keys), dtype=np.uint64)
     out = np.empty((len(starts), len(MULTIPLIERS)), np.uint32)
-    mask, sixteen = np.uint64(POOL - 1), np.uint64(16)
+    z, index = np.empty_like(keys), np.empty_like(keys)
+    which = index.view(np.int64)
+    r, t, b, y = (np.empty(len(keys), np.float32) for _ in range(4))
+    mask, low = np.uint64(POOL - 1), np.uint64(0xFFFFFFFF)
     for j, m in enumerate(MULTIPLIERS):
-        z = keys * m
-        z ^= z >> np.uint64(32)
+        np.multiply(keys, m, out=z)
+        np.right_shift(z, np.uint64(32), out=index)
+        z ^= index
         z *= np.uint64(0x9FB21C651E98DF25)
-        z >>= sixteen
-        r = GAMMA[z & mask]
-        z >>= sixteen
-        log_c = LOG_C[z & mask]
-        beta = BETA[z >> sixteen]
-        t = np.floor(log_w / r + beta)
-        log_a = log_c - r * (t - beta + np.float32(1))
-        bits = log_a.view(np.int32)
-        # float order as unsigned order, then what is sampled: the shingle and its level
-        ordered = (bits ^ (bits >> 31 | np.int32(-(1 << 31)))).view(np.uint32).astype(np.uint64)
-        sampled = low ^ (t.astype(np.int32).view(np.uint32) * np.uint32(2654435761))
-        out[:, j] = np.minimum.reduceat(ordered << np.uint64(32) | sampled, starts) & np.uint64(0xFFFFFFFF)
+        np.right_shift(z, np.uint64(52), out=index)
+        np.take(GAMMA, which, out=r, mode="clip")
+        np.take(PER_GAMMA, which, out=t, mode="clip")
+        np.right_shift(z, np.uint64(40), out=index)
+        index &= mask
+        np.take(ABOVE_LOG_C, which, out=y, mode="clip")
+        np.right_shift(z, np.uint64(28), out=index)
+        index &= mask
+        np.take(BETA, which, out=b, mode="clip")
+        t *= log_w
+        t += b
+        np.floor(t, out=t)
+        np.subtract(t, b, out=b)
+        b += np.float32(1)
+        r *= b
+        y += r
+        z[:] = y.view(np.uint32)
+        z <<= np.uint64(32)
+        z |= places
+        best = (np.maximum.reduceat(z, starts) & low).view(np.int64)
+        out[:, j] = keys[best].astype(np.uint32) ^ (t[best].astype(np.int32).view(np.uint32) * np.uint32(2654435761))
     return out
 
 
@@ -170,90 +255,91 @@ def band_keys(sampled: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def similarity(a: dict[int, float], b: dict[int, float], total_a: float, total_b: float) -> float:
-    """Weighted Jaccard similarity."""
-    both = a.keys() & b.keys()
-    if not both:
-        return 0.0
-    common = math.fsum(min(a[k], b[k]) for k in both)
-    return common / (total_a + total_b - common)
-
-
 class Group:
     """Exact links among the texts of a group, as its connected components.
 
-    Shingles are put in order of their frequency in the group, rare ones first. Two sets that are
-    similar share one of the first shingles that make up the part of their weight that they may
-    differ in, so only such pairs are candidates. A pair within a component is not tried, and
-    one that the triangle inequality rules out (1 - similarity is a metric) by the distances of
-    both to a text that is near one of them isn't either.
+    Texts are rows of shingle numbers and weights. Shingles are in order of their frequency in the
+    group, rare ones first. Two sets that are similar share one of the first shingles that make up
+    the part of their weight that they may differ in, so only such pairs are candidates. Pairs
+    within a component are not tried. 1 - similarity is a metric: where a text has many candidates
+    it is compared with all, and those so near to it that no text beyond the threshold can be
+    similar to them leave with it.
     """
 
     def __init__(self, texts: list[tuple[bytes, str]], weights: np.ndarray, similar: float):
-        self.names = [name for name, _ in texts]
-        self.sets = [dict(zip(k.tolist(), w.tolist(), strict=True)) for k, w in (weighted(t, weights) for _, t in texts)]
-        self.totals = [math.fsum(s.values()) for s in self.sets]
-        self.similar, self.parent = similar, list(range(len(texts)))
-        self.center = list(range(len(texts)))
-        self.away = [0.0] * len(texts)
-
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = x = self.parent[self.parent[x]]
-        return x
-
-    def distance(self, x: int, y: int) -> float:
-        return 1 - similarity(self.sets[x], self.sets[y], self.totals[x], self.totals[y])
-
-    def prefix(self, x: int, frequency: Counter) -> list[int]:
-        rest, out = self.totals[x], []
-        for k in sorted(self.sets[x], key=lambda k: (frequency[k], k)):
-            if rest < self.similar * self.totals[x] - 1e-6:
-                break
-            out.append(k)
-            rest -= self.sets[x][k]
-        return out
+        self.names, self.similar = [name for name, _ in texts], similar
+        keys, w, sizes = zip(*(weighted_sets(part, weights) for part in in_portions([t for _, t in texts])), strict=True)
+        self.sizes, n = np.concatenate(sizes), len(texts)
+        self.starts = np.concatenate(([0], self.sizes.cumsum()))
+        keys, self.cols = np.unique(np.concatenate(keys), return_inverse=True)
+        self.weights = np.concatenate(w).astype(np.float64)
+        rows = np.repeat(np.arange(n), self.sizes)
+        self.totals = np.bincount(rows, self.weights, n)
+        frequency = np.bincount(self.cols, minlength=len(keys))
+        order = np.lexsort((self.cols, frequency[self.cols], rows))
+        w = self.weights[order]
+        before = np.cumsum(w) - w
+        before -= np.repeat(before[self.starts[:-1][self.sizes > 0]], self.sizes[self.sizes > 0])
+        kept = order[self.totals[rows] - before >= similar * self.totals[rows] - 1e-6]
+        #: The first shingles of each text, and the texts of each shingle that is among their first.
+        self.first_cols, first_rows = self.cols[kept], rows[kept]
+        self.first_starts = np.searchsorted(first_rows, np.arange(n + 1))
+        by_col = np.argsort(self.first_cols, kind="stable")
+        self.holders, self.holder_starts = first_rows[by_col], np.searchsorted(self.first_cols[by_col], np.arange(len(keys) + 1))
+        self.dense = np.zeros(len(keys))
+        self.label = np.arange(n)
+
+    def distances(self, x: int, others: np.ndarray) -> np.ndarray:
+        own = slice(self.starts[x], self.starts[x + 1])
+        self.dense[self.cols[own]] = self.weights[own]
+        sizes = self.sizes[others]
+        at = runs(self.starts[others], sizes)
+        common = np.add.reduceat(np.minimum(self.weights[at], self.dense[self.cols[at]]), np.concatenate(([0], sizes.cumsum()[:-1])))
+        self.dense[self.cols[own]] = 0
+        return 1 - common / (self.totals[x] + self.totals[others] - common)
+
+    def candidates(self, x: int, open_: np.ndarray) -> np.ndarray:
+        first = self.first_cols[self.first_starts[x] : self.first_starts[x + 1]]
+        starts = self.holder_starts[first]
+        found = np.unique(self.holders[runs(starts, self.holder_starts[first + 1] - starts)])
+        ratio = np.minimum(self.totals[found], self.totals[x]) >= (self.similar - 1e-9) * np.maximum(self.totals[found], self.totals[x])
+        return found[open_[found] & ratio & (self.label[found] != self.label[x])]
+
+    def unite(self, x: int, others: np.ndarray) -> None:
+        if len(others):
+            labels = np.unique(self.label[np.append(others, x)])
+            self.label[np.isin(self.label, labels)] = labels[0]
 
     def link(self) -> list[tuple[bytes, bytes]]:
         """(text, the first text of its component) of all texts that have links."""
-        frequency: Counter[int] = Counter()
-        for s in self.sets:
-            frequency.update(s.keys())
-        far = 1 - self.similar + 1e-9
-        index: dict[int, dict[int, list[int]]] = {}
-        for x in range(len(self.sets)):
-            known: dict[int, float] = {}
-            candidates: dict[int, list[list[int]]] = {}
-            prefix = self.prefix(x, frequency)
-            for k in prefix:
-                for r, members in index.get(k, {}).items():
-                    candidates.setdefault(r, []).append(members)
-            for r, lists in candidates.items():
-                if self.root(r) == self.root(x):
-                    continue
-                tried: set[int] = set()
-                for y in (y for members in lists for y in members):
-                    if y in tried:
-                        continue
-                    tried.add(y)
-                    if min(self.totals[x], self.totals[y]) < (self.similar - 1e-9) * max(self.totals[x], self.totals[y]):
-                        continue
-                    c = self.center[y]
-                    if c not in known:
-                        known[c] = self.distance(x, c)
-                    if abs(known[c] - self.away[y]) > far:
-                        continue
-                    d = known[c] if c == y else self.distance(x, y)
-                    if d <= far:
-                        if self.center[x] == x:
-                            self.center[x], self.away[x] = c, known[c]
-                        a, b = sorted((self.root(x), self.root(y)))
-                        self.parent[b] = a
-                        break
-            home = self.root(x)
-            for k in prefix:
-                index.setdefault(k, {}).setdefault(home, []).append(x)
-        return [(self.names[x], self.names[self.root(x)]) for x in range(len(self.sets)) if self.root(x) != x]
+        far, open_ = 1 - self.similar + 1e-9, self.sizes > 0
+        for x in range(len(self.names)):
+            if not open_[x]:
+                continue
+            open_[x] = False
+            near = self.candidates(x, open_)
+            if len(near) > 32 and 2 * len(near) > open_.sum():
+                rest = np.flatnonzero(open_)
+                away = self.distances(x, rest)
+                self.unite(x, rest[away <= far])
+                beyond = away[away > far]
+                open_[rest[(away <= far) & (away < (beyond.min() if len(beyond) else np.inf) - far)]] = False
+            elif len(near):
+                self.unite(x, near[self.distances(x, near) <= far])
+        return [(self.names[x], self.names[r]) for x, r in enumerate(self.label.tolist()) if r != x]
+
+
+def similarities(text: str, others: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> list[float]:
+    """Weighted Jaccard similarity of a text to weighted sets."""
+    keys, w = weighted(text, weights)
+    w, out = w.astype(np.float64), []
+    for k, v in others:
+        at = np.searchsorted(keys, k)
+        at[at == len(keys)] = 0
+        both = keys[at] == k if len(keys) else np.zeros(len(k), bool)
+        common = np.minimum(w[at[both]], v[both].astype(np.float64)).sum()
+        out.append(common / (w.sum() + v.sum(dtype=np.float64) - common) if common else 0.0)
+    return out
 
 
 def link_groups(rows: DataFrame, weights, similar: float) -> DataFrame:
@@ -282,39 +368,46 @@ def link_groups(rows: DataFrame, weights, similar: float) -> DataFrame:
     return rows.repartition("leader").sortWithinPartitions("leader", "node").select("leader", "node", "text").mapInArrow(run, "a binary, b binary")
 
 
-def shrink_groups(rows: DataFrame, weights, similar: float, group: int) -> tuple[DataFrame, DataFrame]:
-    """Take each large group apart around its leader: (links, rows of what is left, in groups of new leaders).
+def shrink_groups(rows: DataFrame, weights, similar: float, count: int) -> tuple[DataFrame, DataFrame]:
+    """Take each large group of ``rows`` (leader, node, text, size) apart around ``count`` of its texts: (links, what is left).
 
-    All texts of a group are compared with its leader, in hashed parts. Those that are similar are
-    linked to it and leave, unless one of the others can still be similar to them by the triangle
-    inequality. The others go on under another leader.
+    All texts of a group are compared with these, in hashed parts, and linked to those that they are
+    similar to. A text leaves if one of these is so near that, by the triangle inequality, all that
+    can be similar to the text is similar to that one too. The others go on as a group.
     """
-    parts = 64
-    leaders = rows.filter("leader = node").select("leader", F.col("text").alias("leader_text"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    pairs = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")).join(leaders, ["leader", "part"])
+    parts, far = 64, 1 - similar + 1e-9
+    # Spark keeps the first rows of a group before it deals them out, so no group meets in one task
+    place = F.row_number().over(Window.partitionBy("leader").orderBy(F.xxhash64("node"), "node"))
+    chosen = rows.withColumn("place", place).filter(F.col("place") <= count)
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    dealt = chosen.select("leader", everywhere, F.col("place"), "node", "text", "size").unionByName(rows.select("leader", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"), F.lit(count + 1).alias("place"), "node", "text", "size"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_text = ({}, 0.0), None
+        at, nodes, sets = None, [], []
         for batch in batches:
-            away = []
-            for text, leader_text in zip(batch.column("text").to_pylist(), batch.column("leader_text").to_pylist(), strict=True):
-                if leader_text != held_text:
-                    held_text, held = leader_text, whole(leader_text)
-                own = whole(text)
-                away.append(1 - similarity(own[0], held[0], own[1], held[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), batch.column("text"), pa.array(away, pa.float64())], names=["leader", "node", "text", "away"])
-
-    def whole(text: str) -> tuple[dict[int, float], float]:
-        k, w = weighted(text, weights.value)
-        return dict(zip(k.tolist(), w.tolist(), strict=True)), math.fsum(w.tolist())
-
-    far = 1 - similar + 1e-9
-    measured = materialize(pairs.select("leader", "node", "text", "leader_text").mapInArrow(measure, "leader binary, node binary, text string, away double"), "measured")
-    links = measured.filter((F.col("away") <= far) & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    others = measured.filter(F.col("away") > far).groupBy("leader").agg(F.min("away").alias("nearest"), F.min("node").alias("next"))
-    left = measured.join(others, "leader").filter((F.col("away") > far) | (F.col("away") >= F.col("nearest") - far))
-    # a group's name must stay its own, though two groups may choose one leader: links are exact in either
-    return links, left.select(F.col("next").alias("leader"), "node", "text").dropDuplicates(["leader", "node"])
+            found = []
+            for leader, part, number, node, text, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (leader, part):
+                    at, nodes, sets = (leader, part), [], []
+                if number <= count:
+                    nodes.append(node)
+                    sets.append(weighted(text, weights.value))
+                else:
+                    # a chosen text is done, as all are compared with it
+                    away = [-1.0 if n == node else 1 - x for n, x in zip(nodes, similarities(text, sets, weights.value), strict=True)]
+                    found.append((leader, part, node, text, size, away, [n for n, x in zip(nodes, away, strict=True) if 0 <= x <= far]))
+            if found:
+                kinds = (pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["leader", "part", "node", "text", "size", "away", "linked"])
+
+    dealt = dealt.repartition("leader", "part").sortWithinPartitions("leader", "part", "place", "node").select("leader", "part", "place", "node", "text", "size")
+    measured = materialize(dealt.mapInArrow(measure, "leader binary, part int, node binary, text string, size long, away array<double>, linked array<binary>"), "measured")
+    links = measured.select(F.col("node").alias("a"), F.explode("linked").alias("b"))
+    nearest = measured.select("leader", F.posexplode("away").alias("place", "away")).groupBy("leader", "place").agg(F.min(F.when(F.col("away") > far, F.col("away"))).alias("nearest"))
+    nearest = nearest.groupBy("leader").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("nearest", F.lit(9.0)).alias("x")))), lambda s: s["x"]).alias("nearest"))
+    leaves = F.exists(F.zip_with("away", "nearest", lambda a, n: (a <= far) & (a < n - far)), lambda x: x)
+    left = measured.join(nearest.select("leader", "nearest", everywhere), ["leader", "part"]).filter(~leaves)
+    return links, left.select("leader", "node", "text", "size")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -347,6 +440,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, group: int = GROU
     connected components. Equal texts, empty ones too, are of one class. Texts of fewer than five
     words have one shingle of all of them; a null text is empty. Null ids count only where a class
     has no other. No rows: no rows. Other columns are not read, so their names can't clash.
+
+    A group of more than ``group`` shingles isn't linked by one task; it is taken apart first.
     """
     spark, kind = docs.sparkSession, id_type(docs, id_col)
     small_batches(spark)
@@ -356,34 +451,35 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, group: int = GROU
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [weighted(t, weights.value) for t in batch.column(2).to_pylist()]
-            full = [i for i, (k, _) in enumerate(sets) if len(k)]
-            out: list[bytes | None] = [None] * len(sets)
-            while full:
-                # some 100,000 shingles at a time
-                size, cut = 0, 0
-                while cut < len(full) and (size < 100_000 or not cut):
-                    size += len(sets[full[cut]][0])
-                    cut += 1
-                now, full = full[:cut], full[cut:]
-                lengths = np.array([len(sets[i][0]) for i in now])
-                keys = band_keys(samples(np.concatenate([sets[i][0] for i in now]), np.concatenate([sets[i][1] for i in now]), np.concatenate([[0], lengths.cumsum()[:-1]])))
-                for i, k in zip(now, keys, strict=True):
-                    out[i] = k.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
-
-    signed = materialize(rows.select("doc_id", "node", "text").mapInArrow(banded, f"doc_id {kind}, node binary, bands array<long>"), "bands")
-    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "bands")).alias("x")).select("node", F.col("x.doc_id").alias("rep"), F.col("x.bands").alias("bands")), "nodes")
+            sizes: list[int] = []
+            out: list[list[int] | None] = []
+            for texts in in_portions(batch.column(2).to_pylist()):
+                keys, w, own = weighted_sets(texts, weights.value)
+                sizes += own.tolist()
+                ends, first = own.cumsum(), 0
+                while first < len(own):
+                    # some thousand shingles at a time
+                    begin = ends[first] - own[first]
+                    last = max(first + 1, int(np.searchsorted(ends, begin + SAMPLED_TOGETHER, "right")))
+                    full = own[first:last] > 0
+                    found = iter(band_keys(samples(keys[begin : ends[last - 1]], w[begin : ends[last - 1]], (ends - own)[first:last][full] - begin)).tolist() if full.any() else [])
+                    out += [next(found) if f else None for f in full.tolist()]
+                    first = last
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "node", "size", "bands"])
+
+    signed = materialize(rows.select("doc_id", "node", "text").mapInArrow(banded, f"doc_id {kind}, node binary, size long, bands array<long>"), "bands")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "size", "bands")).alias("x")
+    nodes = materialize(signed.groupBy("node").agg(first, F.count(F.lit(1)).alias("copies")).select("node", F.col("x.doc_id").alias("rep"), F.col("x.size").alias("size"), F.col("x.bands").alias("bands"), "copies"), "nodes")
     exploded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("n > 1").select("band", "leader")
-    members = materialize(exploded.join(shared, "band").select("leader", "node").distinct(), "members")
+    shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("n > 1")
+    members = materialize(join_to_one(exploded, shared, "band", "n", ["node"]).select("leader", "node").distinct(), "members")
     links = []
     if not members.isEmpty():
-        wanted = members.groupBy("node").agg(F.collect_set("leader").alias("leaders")).join(nodes.select("node", "rep"), "node")  # a set has as many leaders as bands at most
+        wanted = members.groupBy("node").agg(F.collect_set("leader").alias("leaders")).join(nodes.select("node", "rep", "size"), "node")  # a set has as many leaders as bands at most
         texts = rows.join(wanted.withColumnRenamed("node", "wanted"), (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-        grouped = texts.select(F.explode("leaders").alias("leader"), "node", "text")
-        sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
-        large = sizes.filter(F.col("n") > group).select("leader")
+        grouped = texts.select(F.explode("leaders").alias("leader"), "node", "text", "size")
+        sizes = wanted.select(F.explode("leaders").alias("leader"), "size").groupBy("leader").agg(F.sum("size").alias("total"))
+        large = sizes.filter(F.col("total") > group).select("leader")
         if large.isEmpty():
             links.append(link_groups(grouped.dropDuplicates(["leader", "node"]), weights, similar))
         else:
@@ -391,9 +487,9 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, group: int = GROU
             links.append(link_groups(all_rows.join(large, "leader", "left_anti"), weights, similar))
             left = all_rows.join(large, "leader", "left_semi")
             while not left.isEmpty():
-                found, rest = shrink_groups(left, weights, similar, group)
+                found, rest = shrink_groups(left, weights, similar, LEADERS)
                 rest = materialize(rest, "rest")
-                large = rest.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("leader")
+                large = rest.groupBy("leader").agg(F.sum("size").alias("total")).filter(F.col("total") > group).select("leader")
                 links += [found, link_groups(rest.join(large, "leader", "left_anti"), weights, similar)]
                 left = rest.join(large, "leader", "left_semi")
     if links:
@@ -401,19 +497,23 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, group: int = GROU
         for more in links[1:]:
             all_links = all_links.union(more)
         roots = components(all_links)
-        named = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        classes = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-        named = named.join(classes, "root").select("node", "class_id", "root")
+        named = nodes.select("node", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        classes = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("texts"))
+        named = join_to_one(named, classes, "root", "texts", ["node"]).select("node", "copies", "class_id", "root")
     else:
-        named = nodes.select("node", F.col("rep").alias("class_id"), F.col("node").alias("root"))
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "node", "root")
+        named = nodes.select("node", "copies", F.col("rep").alias("class_id"), F.col("node").alias("root"))
+    return join_to_one(signed.select("doc_id", "node"), named, "node", "copies", ["doc_id"]).select("doc_id", "class_id", "node", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class of near duplicates: the one of the least id (null last), then of the least digest."""
+    """``docs`` with one row of each class of near duplicates: the one of the least id (null last), then of the least digest.
+
+    Of rows that repeat in id and text any one stays. A null text is empty; all empty texts are one
+    class. Null or shared ids make no class. No rows: no rows. All columns stay, whatever their names.
+    """
     found = near_duplicates(docs, similar, id_col=id_col, text_col=text_col)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("_kept_id"), F.col("x.node").alias("_kept_node"))
-    node = F.unhex(F.md5(F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "utf-8")))
-    numbered = docs.withColumn("_node", node)
-    out = numbered.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")) & (F.col("_node") == F.col("_kept_node")), "left_semi")
-    return out.dropDuplicates(["_node", id_col]).drop("_node")
+    node, kept_id, kept_node = unused_name(docs, "_node"), unused_name(docs, "_kept_id"), unused_name(docs, "_kept_node")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias(kept_id), F.col("x.node").alias(kept_node))
+    numbered = docs.withColumn(node, F.unhex(F.md5(F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "utf-8"))))
+    out = numbered.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (F.col(node) == F.col(kept_node)), "left_semi")
+    return out.dropDuplicates([node, id_col]).drop(node)
