@@ -47,7 +47,7 @@ def checksum(ids: Column) -> Column:
 
 def option_map(text: Column) -> Column:
     """``a ) x , b ) y`` as a map from the first letter of each part to what follows its last bracket."""
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
     return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.substring(p, 1, 1), F.trim(F.substring_index(p, ")", -1)))))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.hashing import hash_mod, hex_key
-from siftwell.functions.ranking import global_rank, hash_bucket, id_bucket, running_sum
+from siftwell.functions.ranking import global_rank, hash_bucket, running_sum
 from siftwell.functions.tokens import END, char_ids, checksum, n_char_ids, with_end
 
 
@@ -20,7 +20,7 @@ def random_split(df: DataFrame, share: float, seed: int = 2357, id_col: str = "d
 
 def modulo_split(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``df`` and split by place in id order modulo ten: 0-6 train, 7-8 val, 9 test."""
-    ranked = global_rank(df, id_bucket(id_col), [id_col], "_rn")
+    ranked = global_rank(df, id_col, [id_col], "_rn")
     k = (F.col("_rn") - 1) % 10
     return ranked.withColumn("split", F.when(k <= 6, "train").when(k <= 8, "val").otherwise("test")).drop("_rn")
 
@@ -38,7 +38,7 @@ def tokenized(docs: DataFrame, end: int = END) -> DataFrame:
 
 def document_starts(lengths: DataFrame, id_col: str = "doc_id", len_col: str = "len") -> DataFrame:
     """``lengths`` and start: ids of all documents before, in id order."""
-    return running_sum(lengths, id_bucket(id_col), [id_col], F.col(len_col), "start")
+    return running_sum(lengths, id_col, [id_col], F.col(len_col), "start")
 
 
 def pack_windows(docs: DataFrame, size: int, stride: int) -> DataFrame:
@@ -108,7 +108,7 @@ def largest_remainder(counts: DataFrame, budget: int, key: str, size: str) -> Da
 
 def budget_cut(df: DataFrame, budget: int, batch: int, id_col: str, len_col: str) -> DataFrame:
     """Rows in id order until the batch that reaches the budget, that batch included."""
-    ranked = global_rank(df, id_bucket(id_col), [id_col], "_rn").withColumn("batch", F.floor((F.col("_rn") - 1) / batch).cast("bigint"))
+    ranked = global_rank(df, id_col, [id_col], "_rn").withColumn("batch", F.floor((F.col("_rn") - 1) / batch).cast("bigint"))
     totals = ranked.groupBy("batch").agg(F.sum(len_col).alias("_len"))
     before = running_sum(totals, F.floor(F.col("batch") / 65536).cast("bigint"), ["batch"], F.col("_len"), "_before").select("batch", "_before")
     return ranked.join(before, "batch").filter(F.col("_before") < budget).drop("_rn", "_before")

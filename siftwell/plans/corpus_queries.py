@@ -196,12 +196,12 @@ def train_val_concat(spark, sf_dir):
 
 @query("batch_chunks", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch, (row_number() OVER (ORDER BY doc_id) - 1) % 32 AS slot FROM documents")
 def batch_chunks(spark, sf_dir):
-    return C.batches(table(spark, sf_dir, "documents").select("doc_id"), 32, ["doc_id"], ranking.id_bucket("doc_id"))
+    return C.batches(table(spark, sf_dir, "documents").select("doc_id"), 32, ["doc_id"], "doc_id")
 
 
 @query("candidate_steps", "SELECT doc_id, b // 2 AS step FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS b FROM documents)")
 def candidate_steps(spark, sf_dir):
-    return C.batches(table(spark, sf_dir, "documents").select("doc_id"), 16, ["doc_id"], ranking.id_bucket("doc_id")).select("doc_id", F.expr("batch div 2").alias("step"))
+    return C.batches(table(spark, sf_dir, "documents").select("doc_id"), 16, ["doc_id"], "doc_id").select("doc_id", F.expr("batch div 2").alias("step"))
 
 
 @query("chunk_divisor", "SELECT b AS batch, c AS asked, (SELECT max(d) FROM range(1, 129) t(d) WHERE d <= c AND b % d = 0) AS chunk FROM range(1, 129) x(b), (SELECT unnest([1, 3, 8, 24]) AS c)")
@@ -269,7 +269,7 @@ def window_draws(spark, sf_dir):
 
 @query("rank_shards", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 4 AS shard FROM documents")
 def rank_shards(spark, sf_dir):
-    ranked = ranking.global_rank(table(spark, sf_dir, "documents").select("doc_id"), ranking.id_bucket("doc_id"), ["doc_id"])
+    ranked = ranking.global_rank(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", ["doc_id"])
     return ranked.select("doc_id", ((F.col("rn") - 1) % 4).alias("shard"))
 
 

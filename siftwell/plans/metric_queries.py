@@ -81,8 +81,7 @@ def json_first(spark, sf_dir):
 
 @query("running_best", "SELECT event_type, event_id, round(value, 4) AS value FROM (SELECT *, min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE b IS NULL OR value < b")
 def running_best(spark, sf_dir):
-    before = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = table(spark, sf_dir, "events").withColumn("b", F.min("value").over(before))
+    e = ranking.running(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_id", ["event_id"], F.col("value"), "b", ["event_type"], "min")
     return e.filter("b is null or value < b").select("event_type", "event_id", F.round("value", 4).alias("value"))
 
 
@@ -110,9 +109,10 @@ def norms(spark, sf_dir):
 
 @query("throughput", "SELECT event_type, event_id, epoch(ts) - epoch(lag(ts) OVER w) AS seconds FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id) QUALIFY seconds > 0")
 def throughput(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    return table(spark, sf_dir, "events").select("event_type", "event_id", (seconds - F.lag(seconds).over(w)).alias("seconds")).filter("seconds > 0")
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", F.col("ts").cast("timestamp").cast("double").alias("at"))
+    # times ascend, so the latest before a row is that of the row before it
+    e = ranking.running(e, "at", ["at", "event_id"], F.col("at"), "before", ["event_type"], "max")
+    return e.select("event_type", "event_id", (F.col("at") - F.col("before")).alias("seconds")).filter("seconds > 0")
 
 
 @query("run_statistics", "SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(max(value), 6) AS top, count(*)::BIGINT * 8192 AS tokens FROM events GROUP BY event_type")
@@ -126,13 +126,6 @@ def uniform_average(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("event_id % 5 = 0").select("event_type", "event_id", F.round(F.avg("value").over(w), 6).alias("mean"))
 
 
-@query("exponential_average", "WITH RECURSIVE s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE event_id < 1000), e(event_type, n, m) AS (SELECT event_type, 1::BIGINT, value FROM s WHERE n = 1 UNION ALL SELECT s.event_type, s.n, e.m + 0.1 * (s.value - e.m) FROM e JOIN s ON s.event_type = e.event_type AND s.n = e.n + 1) SELECT event_type, count(*)::BIGINT AS n, round(arg_max(m, n), 6) AS mean FROM e GROUP BY event_type")
-def exponential_average(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id < 1000").groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"]).alias("v"))
-    mean = F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1), lambda m, x: m + 0.1 * (x - m))
-    return e.select("event_type", F.size("v").cast("bigint").alias("n"), F.round(mean, 6).alias("mean"))
-
-
 def exponential_mean(rows, group: str, order: str, value: str, rate: float = 0.1, width: int = 4096):
     """Per group: n and the mean that begins at the first value and moves by ``rate`` to each later one.
 
@@ -147,8 +140,8 @@ def exponential_mean(rows, group: str, order: str, value: str, rate: float = 0.1
     return faded.groupBy(group).agg(F.sum("n").alias("n"), F.sum("part").alias("part"), F.min_by("first", "block").alias("first")).select(group, "n", (F.col("part") + F.pow(F.lit(keep), F.col("n")) * F.col("first")).alias("mean"))
 
 
-@query("exponential_average_all", "WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, count(*)::BIGINT AS n, round(sum(value * power(0.9::DOUBLE, n - k) * CASE WHEN k = 1 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END), 6) AS mean FROM s GROUP BY event_type")
-def exponential_average_all(spark, sf_dir):
+@query("exponential_average", "WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, count(*)::BIGINT AS n, round(sum(value * power(0.9::DOUBLE, n - k) * CASE WHEN k = 1 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END), 6) AS mean FROM s GROUP BY event_type")
+def exponential_average(spark, sf_dir):
     return exponential_mean(table(spark, sf_dir, "events"), "event_type", "event_id", "value").select("event_type", "n", F.round("mean", 6).alias("mean"))
 
 
@@ -182,7 +175,7 @@ def half_life_warmup(spark, sf_dir):
 
 @query("timestep_cycle", "SELECT vec_id, ((row_number() OVER (ORDER BY vec_id) - 1) % 8 + 0.5::DOUBLE) / 8 AS t FROM embeddings")
 def timestep_cycle(spark, sf_dir):
-    r = ranking.global_rank(table(spark, sf_dir, "embeddings").select("vec_id"), ranking.id_bucket("vec_id"), ["vec_id"])
+    r = ranking.global_rank(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", ["vec_id"])
     return r.select("vec_id", (((F.col("rn") - 1) % 8 + 0.5) / 8).alias("t"))
 
 
@@ -238,11 +231,16 @@ def token_choice(spark, sf_dir):
     return top.select("tok", "expert", F.round("p", 6).alias("p"), F.round(F.col("p") / F.sum("p").over(Window.partitionBy("tok")), 6).alias("share"))
 
 
+def take_by_expert(scores, capacity: int, n_experts: int):
+    """Each expert's best tokens: ``capacity`` times the number of tokens over the number of experts; the lesser token wins a tie."""
+    n = F.broadcast(scores.agg(F.count_distinct("tok").alias("n")))
+    ranked = ranking.global_rank(scores.withColumn("down", -F.col("z")), "down", ["down", "tok"], "rk", ["expert"])
+    return ranked.join(n).filter(F.col("rk") <= F.expr(f"n * {capacity} div {n_experts}")).select("tok", "expert")
+
+
 @query("expert_choice", f"WITH {LOGIT} SELECT tok, expert FROM (SELECT *, row_number() OVER (PARTITION BY expert ORDER BY z DESC, tok) AS rk FROM lg) WHERE rk <= (SELECT count(*) FROM embeddings) * 2 // 8")
 def expert_choice(spark, sf_dir):
-    k = table(spark, sf_dir, "embeddings").count() * 2 // 8
-    w = Window.partitionBy("expert").orderBy(F.desc("z"), "tok")
-    return logits(spark, sf_dir).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select("tok", "expert")
+    return take_by_expert(logits(spark, sf_dir), 2, 8)
 
 
 @query("balance_loss", f"WITH {SOFT} SELECT round(8 * sum(f * pm), 6) AS loss, round(-avg(h), 6) AS entropy FROM (SELECT expert, avg(CASE WHEN rk <= 2 THEN 1.0 ELSE 0.0 END) AS f, avg(p) AS pm, avg(p * ln(p)) * 8 AS h FROM sm GROUP BY expert)")
@@ -274,7 +272,7 @@ def group_limited_routing(spark, sf_dir):
 @query("reorder_tokens", f"WITH {SOFT} SELECT tok, expert, row_number() OVER (ORDER BY expert, tok) - 1 AS place FROM sm WHERE rk <= 2")
 def reorder_tokens(spark, sf_dir):
     top = softmaxed(spark, sf_dir).filter("rk <= 2").select("tok", "expert")
-    return ranking.running_sum(top, F.col("expert") * (1 << 40) + ranking.id_bucket("tok"), ["expert", "tok"], F.lit(1), "place").select("tok", "expert", "place")
+    return ranking.running_sum(top.withColumn("at", F.col("expert") * (1 << 40) + F.col("tok")), "at", ["at"], F.lit(1), "place").select("tok", "expert", "place")
 
 
 @query("combine_experts", f"WITH {SOFT} SELECT tok, round(sum(p * (expert + 1)), 6) AS y FROM sm WHERE rk <= 2 GROUP BY tok")
@@ -383,6 +381,6 @@ def logit_divergence(spark, sf_dir):
 
 @query("fill_placeholders", "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE lang = 'fr'), b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS k FROM benchmark) SELECT doc_id, item_id FROM a JOIN b USING (k)")
 def fill_placeholders(spark, sf_dir):
-    a = ranking.global_rank(table(spark, sf_dir, "documents").filter("lang = 'fr'").select("doc_id"), ranking.id_bucket("doc_id"), ["doc_id"])
-    b = ranking.global_rank(table(spark, sf_dir, "benchmark").select("item_id"), ranking.id_bucket("item_id"), ["item_id"])
+    a = ranking.global_rank(table(spark, sf_dir, "documents").filter("lang = 'fr'").select("doc_id"), "doc_id", ["doc_id"])
+    b = ranking.global_rank(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", ["item_id"])
     return a.join(b, "rn").select("doc_id", "item_id")

@@ -286,7 +286,7 @@ def projection_error(spark, sf_dir):
 @query("layer_slices", "SELECT p_partkey, p_size, (sum(p_size) OVER (ORDER BY p_partkey) - p_size)::BIGINT AS slice_start, sum(p_size) OVER (ORDER BY p_partkey)::BIGINT AS slice_end FROM part WHERE contains(p_type, 'A') OR contains(p_type, 'E')")
 def layer_slices(spark, sf_dir):
     kept = table(spark, sf_dir, "part").filter(F.col("p_type").contains("A") | F.col("p_type").contains("E")).select("p_partkey", "p_size")
-    placed = ranking.running_sum(kept, ranking.id_bucket("p_partkey"), ["p_partkey"], F.col("p_size"), "slice_start")
+    placed = ranking.running_sum(kept, "p_partkey", ["p_partkey"], F.col("p_size"), "slice_start")
     return placed.withColumn("slice_end", F.col("slice_start") + F.col("p_size"))
 
 

@@ -21,13 +21,34 @@ def test_unknown_names_raise(spark):
 
 def test_running_sum_over_many_buckets(spark):
     df = spark.range(1000).withColumn("v", F.col("id") % 7)
-    got = {r.id: r.s for r in ranking.running_sum(df, ranking.id_bucket("id", 64), ["id"], F.col("v"), "s").collect()}
+    got = {r.id: r.s for r in ranking.running_sum(df, "id", ["id"], F.col("v"), "s").collect()}
     want, total = {}, 0
     for i in range(1000):
         want[i], total = total, total + i % 7
     assert got == want
 
 
+def test_rows_of_null_ids_stay(spark):
+    df = spark.createDataFrame([(None, "a"), (3, "b"), (None, "c"), (1, "d"), (3, "e")], "doc_id long, text string")
+    assert sorted(r._rn for r in ranking.global_rank(df, "doc_id", ["doc_id", "text"], "_rn").collect()) == [1, 2, 3, 4, 5]
+    assert {r.text: r._rn for r in ranking.global_rank(df, "doc_id", ["doc_id", "text"], "_rn").filter("doc_id is not null").collect()} == {"d": 3, "b": 4, "e": 5}
+    assert corpus.modulo_split(df).count() == corpus.document_starts(df.withColumn("len", F.lit(2))).count() == 5
+    assert ranking.global_rank(df.limit(0), "doc_id", ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize("fold", ["min", "max", "sum"])
+def test_running_folds(spark, fold):
+    rng = np.random.default_rng(9)
+    rows = [(int(i) ** 3, "ab"[i % 2] if i % 5 else None, float(rng.normal())) for i in range(300)]
+    found = ranking.running(spark.createDataFrame(rows, "i long, g string, v double").repartition(5), "i", ["i"], F.col("v"), "x", ["g"], fold).collect()
+    seen, want = {}, {}
+    for i, g, v in rows:
+        before = seen.setdefault(g, [])
+        want[i] = {"min": min, "max": max, "sum": sum}[fold](before) if before else 0.0 if fold == "sum" else None
+        before.append(v)
+    assert {r.i: r.x for r in found} == {i: x if x is None else pytest.approx(x) for i, x in want.items()}
+
+
 def test_packing_conserves_tokens(spark):
     docs = spark.createDataFrame([(i, "ab" * (i % 9)) for i in range(50)], "doc_id long, text string")
     flat = [x for r in sorted(corpus.tokenized(docs).collect()) for x in r.ids]
@@ -80,7 +101,7 @@ def test_exponential_average_folds_all_events(spark, tmp_path):
     for _, k, v in rows:
         n, m = want.get(k, (0, v))
         want[k] = (n + 1, m + 0.1 * (v - m))
-    got = all_queries()["exponential_average_all"](spark, str(tmp_path)).collect()
+    got = all_queries()["exponential_average"](spark, str(tmp_path)).collect()
     assert {r.event_type: (r.n, r.mean) for r in got} == {k: (n, pytest.approx(m, abs=1e-6)) for k, (n, m) in want.items()}
     narrow = metric_queries.exponential_mean(events, "event_type", "event_id", "value", width=7).collect()
     assert {r.event_type: (r.n, r["mean"]) for r in narrow} == {k: (n, pytest.approx(m)) for k, (n, m) in want.items()}
