@@ -138,15 +138,29 @@ class WordBpe:
         pattern = splits[0]["pattern"]["Regex"].replace(r"\s", SPACE)
         self.pattern = regex.compile(pattern)
         self.cache: dict[str, tuple[bytes, str]] = {}
+        #: Which ids end a word.
+        self.ends = np.array([self.token.get(i, "").endswith(self.suffix) for i in range(max(self.token) + 1)])
+
+    def normalised(self, text: str) -> str:
+        """Text without special strings as the file's normalizer leaves it, but for white space, which no word holds."""
+        if self.known and well_known(text):
+            # the library lowers character by character, so a last sigma is none
+            return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return self.library.normalizer.normalize_str(text)
 
     def words(self, text: str) -> list[str]:
         """Words of text without special strings, normalised, as the file's pre-tokenizer cuts them."""
         if self.known and well_known(text):
-            # the library lowers character by character, so a last sigma is none; no word holds white space
-            return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            return self.pattern.findall(self.normalised(text))
         text = self.library.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Where the words of a normalised text begin and end; each is found from the end of the one before."""
+        if self.known and well_known(text):
+            return [m.span() for m in self.pattern.finditer(text)]
+        return [at for _, at in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def fragment(self, shown: str, ends: bool) -> list[int]:
         """Ids of byte characters; ``ends`` if their word ends with them."""
         return [t.id for t in (self.library.model if ends else self.inner).tokenize(shown)] if shown else []
