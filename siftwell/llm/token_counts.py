@@ -17,15 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import id_and_text, id_type, materialize, small_batches
+from siftwell.llm._shared import id_and_text, id_type, join_to_one, materialize, small_batches
 from siftwell.llm.bpe import byte_bpe
 
 #: Frequent pre-tokens that all tasks hold, with the documents that they are sought in; results don't depend on either.
 FREQUENT, SOUGHT_IN = 100_000, 20_000
+#: Characters of such a pre-token at most, which bounds that table; longer ones are joined.
+LONGEST = 64
 
 
 def frequent_pre_tokens(texts: DataFrame, tokenizer: str, most: int, sought_in: int) -> dict[str, int]:
-    """Pieces of the pre-tokens that a sample has most often: ``most`` at most, each of 64 bytes at most."""
+    """Pieces of the pre-tokens that a sample has most often: ``most`` at most, each of ``LONGEST`` characters at most."""
     n = texts.select("doc_id").count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,7 +35,7 @@ def frequent_pre_tokens(texts: DataFrame, tokenizer: str, most: int, sought_in:
         bpe = byte_bpe(tokenizer)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found.update(w for w in bpe.pre_tokens(text)[0] if len(w) <= 16)
+                found.update(w for w in bpe.pre_tokens(text)[0] if len(w) <= LONGEST)
             if len(found) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["pre_token", "n"])
                 found.clear()
@@ -89,8 +91,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, frequent: in
         for words in batches:
             yield words.map(bpe.n_pieces)
 
-    distinct = counted.select(F.explode("pre_tokens").alias("pre_token")).distinct()
-    vocabulary = distinct.withColumn("pieces", n_pieces("pre_token"))
-    sums = rest.join(vocabulary, "pre_token").groupBy("row").agg(F.sum(F.col("times").cast("long") * F.col("pieces")).alias("others"))
+    distinct = counted.select(F.explode("pre_tokens").alias("pre_token")).groupBy("pre_token").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = materialize(distinct.withColumn("pieces", n_pieces("pre_token")), "vocabulary")
+    # a pre-token that many documents have is dealt to several tasks
+    sums = join_to_one(rest, vocabulary, "pre_token", "n", ["row"]).groupBy("row").agg(F.sum(F.col("times").cast("long") * F.col("pieces")).alias("others"))
     total = (F.col("known") + F.coalesce(F.col("others"), F.lit(0))).cast("long")
     return rows.select("row", "doc_id", "n_bytes", "known").join(sums, "row", "left").select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
