@@ -19,16 +19,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import fresh_path, id_type, materialize, small_batches
+from siftwell.llm._shared import fresh_path, id_type, join_to_one, materialize, small_batches
 from siftwell.llm.files import RolledFile, read_named
 
 # Fixed values of the two formats.
 FRAME_MAGIC, DICTIONARY_MAGIC, TRAINED_MAGIC = 0xFD2FB528, 0x184D2A5D, 0xEC30A437
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
+#: Digests that are checked. Fixed values.
+ALGORITHMS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: Bytes of an archive after which the next is begun, of a dictionary, of payloads it is trained on, and of one decoded record at most.
-ARCHIVE_BYTES, DICTIONARY_BYTES, TRAINING_BYTES, RECORD_BYTES = 16 << 20, 16 << 10, 512 << 10, 1 << 30
+#: Bytes of an archive after which the next is begun, of a dictionary and of payloads it is trained on, and of a dictionary that is read at most.
+ARCHIVE_BYTES, DICTIONARY_BYTES, TRAINING_BYTES, MOST_DICTIONARY = 16 << 20, 16 << 10, 512 << 10, 1 << 28
 ID_PREFIX = "urn:page:"
 
 
@@ -66,7 +68,7 @@ def load_dictionary(data: memoryview) -> tuple[zstandard.ZstdCompressionDict | N
         raise WarcError("the dictionary's frame is cut short")
     content = bytes(data[8:end])
     if content[:4] == struct.pack("<I", FRAME_MAGIC):
-        content = zstandard.ZstdDecompressor().decompress(content, max_output_size=RECORD_BYTES)
+        content = zstandard.ZstdDecompressor().decompress(content, max_output_size=MOST_DICTIONARY)
     elif content[:4] != struct.pack("<I", TRAINED_MAGIC):
         raise WarcError("the leading frame holds no dictionary")
     return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT), end
@@ -106,7 +108,7 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     block = record[cut + 4 : cut + 4 + size]
     if len(block) != size or record[cut + 4 + size :] != b"\r\n\r\n":
         raise WarcError(f"a record's block doesn't have the {size} bytes that its header says")
-    if (said := fields.get("warc-block-digest")) and said != sha1(block):
+    if (said := fields.get("warc-block-digest")) and not agrees(said, block):
         raise WarcError("a block doesn't have the digest that its header says")
     return fields, block
 
@@ -127,9 +129,13 @@ def read_archive(content: bytes | memoryview) -> Iterator[tuple[dict[str, str],
             raise WarcError(f"no frame begins at byte {at}")
         end = frame_end(data, at)
         try:
-            record = decoder.decompress(data[at:end], max_output_size=RECORD_BYTES)
+            # a frame needn't say its size, and may be of any
+            stream = decoder.decompressobj()
+            record = stream.decompress(data[at:end])
         except zstandard.ZstdError as e:
             raise WarcError(f"the frame at byte {at} can't be decoded: {e}") from e
+        if not stream.eof:
+            raise WarcError(f"the frame at byte {at} doesn't end")
         yield parse_record(record)
         at = end
 
@@ -138,6 +144,26 @@ def sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def agrees(said: str, data: bytes) -> bool:
+    """Whether ``algorithm:digest`` is the digest of data: in base 32 or hexadecimal, in any case; an unknown algorithm can't be held against it."""
+    name, _, value = said.strip().partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ALGORITHMS:
+        return True
+    digest = hashlib.new(name, data).digest()
+    return value.strip().lower() == digest.hex() or value.strip().upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
+
+
+def bare_sha1(said: str, payload: bytes | None) -> str:
+    """The payload's SHA-1 in base 32, upper case: of the payload itself, or from what a header says of one that isn't there."""
+    if payload is not None:
+        return sha1(payload).removeprefix("sha1:")
+    name, _, value = said.strip().partition(":")
+    if name.strip().lower().replace("-", "") != "sha1":
+        return said
+    return base64.b32encode(bytes.fromhex(value)).decode() if re.fullmatch(r"[0-9a-fA-F]{40}", value := value.strip()) else value.upper()
+
+
 def split_http(block: bytes) -> tuple[dict[str, str], bytes]:
     """Fields and payload of an HTTP response."""
     cut = block.find(b"\r\n\r\n")
@@ -206,14 +232,14 @@ class ArchiveWriter:
 def with_roles(pages: DataFrame, least_bytes: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """page_id, url, html, digest, refers_to, is_response of each page.
 
-    Only digests and ids are aggregated. The join deals pages by digest; copies of one page that
-    fill a partition are split by the adaptive skew join, as the other side has one row for them.
+    Only digests and ids are aggregated. The join deals pages by digest; a digest that many pages
+    have is dealt to several tasks.
     """
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("html", "utf-8"))))
-    kept = rows.select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("kept"))
+    kept = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")), "payloads")
     response = F.col("page_id").eqNullSafe(F.col("kept")) | (F.octet_length("html") < least_bytes)
-    return rows.join(kept, "digest").select("page_id", "url", "html", "digest", F.when(~response, F.col("kept")).alias("refers_to"), response.alias("is_response"))
+    return join_to_one(rows, kept, "digest", "n", ["page_id"]).select("page_id", "url", "html", "digest", F.when(~response, F.col("kept")).alias("refers_to"), response.alias("is_response"))
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, level: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -252,10 +278,10 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, with_pa
                     http, payload = split_http(block)
                     kind, said = fields["warc-type"], fields.get("warc-payload-digest", "")
                     size = int(http.get("content-length", len(payload)))
-                    if kind == "response" and (sha1(payload) != said or len(payload) != size):
+                    if kind == "response" and (not agrees(said, payload) or len(payload) != size):
                         raise WarcError("a payload doesn't have the digest or length that its headers say")
                     refers_to = fields.get("warc-refers-to", "<>")[1:-1].removeprefix(ID_PREFIX) or None
-                    rows.append((fields["warc-record-id"][1:-1].removeprefix(ID_PREFIX) or None, size, said.removeprefix("sha1:"), kind, refers_to if kind == "revisit" else None, payload))
+                    rows.append((fields["warc-record-id"][1:-1].removeprefix(ID_PREFIX) or None, size, bare_sha1(said, payload if kind == "response" else None), kind, refers_to if kind == "revisit" else None, payload))
                     seen += 1
                     if len(rows) == 512:
                         yield columns(rows)
