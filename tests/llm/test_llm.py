@@ -1,5 +1,6 @@
 """The text operators against brute force, on small tables with nulls, ties, repeats, empty texts and clashing names."""
 
+import base64
 import hashlib
 import zlib
 from collections import Counter
@@ -8,11 +9,13 @@ from itertools import pairwise, permutations
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwell.llm import fingerprints, line_crf, near_dups, packing, rule_quality, token_counts, token_files, toxicity, tree_bpe, warc
+from siftwell.llm._shared import join_to_one
 from siftwell.llm.bpe import byte_bpe, word_bpe
 from siftwell.llm.queries import BYTE_BPE, WORD_BPE
 
@@ -105,6 +108,25 @@ def archive(records):
     return out.data
 
 
+@pytest.mark.parametrize("name", ["sha1", "SHA-256", "md5", "xxh"])
+def test_any_digest_that_agrees(name):
+    record = warc.page_record(1, "u", b"abc", hashlib.sha1(b"abc").digest(), None, True)
+    block = warc.parse_record(record)[1]
+    digest = b"?" if name == "xxh" else hashlib.new(name.lower().replace("-", ""), block).digest()
+    for value in (digest.hex(), digest.hex().upper(), base64.b32encode(digest).decode(), base64.b32encode(digest).decode().lower().rstrip("=")):
+        assert warc.parse_record(record.replace(warc.sha1(block).encode(), f"{name}:{value}".encode()))[1] == block
+    if name != "xxh":
+        with pytest.raises(warc.WarcError):
+            warc.parse_record(record.replace(warc.sha1(block).encode(), f"{name}:{hashlib.md5(b'?').hexdigest()}".encode()))
+    assert warc.bare_sha1(f"sha1:{hashlib.sha1(b'abc').hexdigest()}", None) == warc.sha1(b"abc").removeprefix("sha1:")
+
+
+def test_frames_that_do_not_say_their_size():
+    record = warc.page_record(1, "u", b"abc" * 5000, hashlib.sha1(b"abc" * 5000).digest(), None, True)
+    frame = zstandard.ZstdCompressor(write_content_size=False, write_checksum=True).compress(record)
+    assert [warc.split_http(b)[1] for _, b in warc.read_archive(frame * 2)] == [b"abc" * 5000] * 2
+
+
 def test_archive_dictionary_and_faults():
     body = [(f"<html><body>page {i} " + LONG + "</body></html>").encode() for i in range(80)]
     data = archive([warc.page_record(i, "u", b, hashlib.sha1(b).digest(), None, True) for i, b in enumerate(body)])
@@ -138,6 +160,16 @@ def test_joins_are_exact(text):
         assert bpe.tree(bpe.show(w)) == bpe.fragment(bpe.show(w), True)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("ab'sdtreoé 12!?,. \n\u0301İΣ日"), max_size=300), st.integers(1, 40))
+def test_halves_of_text_join_exactly(text, most):
+    """Cut wherever halving leads: in words, contractions and runs of signs."""
+    bpe = word_bpe(WORD_BPE)
+    parts = tree_bpe.parts_of(bpe, text, most)
+    ids = tree_bpe.merge_parts(bpe, [(k, kind, shown, tree_bpe.encode_part(bpe, kind, shown)) for k, kind, shown in parts])
+    assert np.frombuffer(ids, "<u4").tolist() == bpe.library.encode(text, add_special_tokens=False).ids
+
+
 def naive_chunks(data):
     """Chunk ends by the definition: a byte at a time, a sum over the last 16 bytes for each hash."""
     ends, at = [], 0
@@ -310,7 +342,54 @@ def test_rules_agree_with_their_column(spark, docs, none):
     assert rule_quality.score_quality(none, model).count() == 0
 
 
-@pytest.mark.parametrize("group", [5000, 2])
+def similarity(a, b):
+    common = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
+    return common / (sum(a.values()) + sum(b.values()) - common) if common else 0.0
+
+
+def classes(sets, similar):
+    """The least member of the component of each set, by comparing all pairs."""
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and similarity(sets[a], sets[b]) >= similar:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in sets}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdefgh"), min_size=4, max_size=9), min_size=1, max_size=14), st.sampled_from([0.3, 0.5, 0.8]))
+def test_groups_have_all_links(texts, similar):
+    weights = np.linspace(1, 2, near_dups.BUCKETS, dtype=np.float32)
+    named = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = {k: dict(zip(*(x.tolist() for x in near_dups.weighted(t, weights)), strict=True)) for k, t in named}
+    found = dict(near_dups.Group(named, weights, similar).link())
+    assert {k: found.get(k, k) for k in sets} == classes(sets, similar)
+
+
+def test_words_of_shingles_are_those_of_split():
+    texts = ["a bb  ccc", "", " x\u2003y\u3000z\x85 ", "İ Σ", "q" * 200_000 + " " + "r" * 70_000 + " a bb", "\x1c\x1d", "CCC bb a"]
+    hashes, n = near_dups.hashed_words(texts)
+    words = [w for t in texts for w in t.lower().split()]
+    assert n.tolist() == [len(t.split()) for t in texts]
+    assert len({(w, h) for w, h in zip(words, hashes.tolist(), strict=True)}) == len(set(words)) == len(set(hashes.tolist()))
+
+
+def test_join_to_one_splits_hot_keys(spark):
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("k"))
+    one = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 2)
+    found = join_to_one(rows, one, "k", "n", ["id"], most=100)
+    assert sorted(map(tuple, found.select("id", "k", "v").collect())) == [(i, i if i >= 2000 else 0, 2 * i if i >= 2000 else 0) for i in range(3000)]
+
+
+@pytest.mark.parametrize("group", [4_000_000, 200])
 def test_near_duplicates(spark, docs, none, group):
     base = [list(rng.choice([f"w{k}" for k in range(4000)], 120)) for _ in range(12)]
     rows = []
@@ -324,20 +403,8 @@ def test_near_duplicates(spark, docs, none, group):
     table, n = near_dups.document_frequencies(near_dups._rows(df, "doc_id", "text"))
     weights = near_dups.bucket_weights(table, n)
     sets = {i: dict(zip(*(x.tolist() for x in near_dups.weighted(t, weights)), strict=True)) for i, t in [*rows, (100, rows[0][1])]}
-    parent = {i: i for i in sets}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in sets:
-        for b in sets:
-            if a < b and near_dups.similarity(sets[a], sets[b], sum(sets[a].values()), sum(sets[b].values())) >= 0.8:
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(df, group=group).collect()} == {i: root(i) for i in sets}
-    if group > 2:
+    assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(df, group=group).collect()} == classes(sets, 0.8)
+    if group > 200:
         found = {(r.doc_id, r.class_id) for r in near_dups.near_duplicates(docs).collect()}
         assert {(2, 2), (3, 2), (1, 1), (5, 1), (8, 1), (9, 9), (None, None)} <= found
         kept = near_dups.drop_near_duplicates(docs)
@@ -362,7 +429,11 @@ def test_one_row_of_each_class_is_kept_where_ids_are_null_or_shared(spark):
     """Ids name no classes: several null ids and one id of two texts."""
     texts = {k: " ".join(rng.choice([f"{k}{j}" for j in range(400)], 120)) for k in "abcdef"}
     rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"] + " end"), (4, texts["c"]), (4, texts["d"]), (3, texts["d"] + " end"), (4, texts["e"]), (None, texts["f"]), (2, texts["f"]), (2, texts["f"])]
-    kept = near_dups.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    named = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, _node long, _KEPT_id string")
+    found = near_dups.drop_near_duplicates(named)
+    assert found.columns == named.columns
+    kept = found.select("doc_id", "text").collect()
+    assert near_dups.drop_near_duplicates(named.limit(0)).count() == 0
     digest = lambda t: hashlib.md5(t.encode()).digest()
     want = [(None, texts["a"]), (None, min(texts["b"], texts["b"] + " end", key=digest)), (4, texts["c"]), (3, texts["d"] + " end"), (4, texts["e"]), (2, texts["f"])]
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
