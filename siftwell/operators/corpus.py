@@ -112,3 +112,33 @@ def budget_cut(df: DataFrame, budget: int, batch: int, id_col: str, len_col: str
     totals = ranked.groupBy("batch").agg(F.sum(len_col).alias("_len"))
     before = running_sum(totals, F.floor(F.col("batch") / 65536).cast("bigint"), ["batch"], F.col("_len"), "_before").select("batch", "_before")
     return ranked.join(before, "batch").filter(F.col("_before") < budget).drop("_rn", "_before")
+
+
+#: Where the generators of the splits begin, from a seed.
+SPLIT_SEEDS = {"train": 0, "val": 1, "test": 2}
+
+
+def split_seed(seed: int, split: str) -> int:
+    """Each split draws from a generator of its own."""
+    if split not in SPLIT_SEEDS:
+        raise ValueError(f"no split is named {split!r}; there are {', '.join(SPLIT_SEEDS)}")
+    return seed + SPLIT_SEEDS[split]
+
+
+def sample_documents(df: DataFrame, n: int, seed: int, id_col: str = "doc_id") -> DataFrame:
+    """draw and the columns of ``df``: ``n`` rows, with replacement only if there are fewer rows than that; none of no rows."""
+    rows = df.count()
+    if n <= rows:
+        ranked = global_rank(df.withColumn("_key", hex_key(seed, id_col)), hash_bucket("_key"), ["_key", id_col], "_rn").filter(F.col("_rn") <= n)
+        return ranked.withColumn("draw", (F.col("_rn") - 1).cast("bigint")).drop("_key", "_rn")
+    if not rows:
+        return df.withColumn("draw", F.lit(0).cast("bigint"))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("_at", hash_mod(seed, rows, "draw") + 1)
+    return draws.join(global_rank(df, id_col, [id_col], "_rn"), F.col("_at") == F.col("_rn")).drop("_at", "_rn")
+
+
+def text_of(df: DataFrame, column: str = "text") -> Column:
+    """A corpus's text column; raises if there is none, or it isn't text."""
+    if column not in df.columns or df.schema[column].dataType.simpleString() != "string":
+        raise ValueError(f"the corpus has no text column {column!r}; its columns are {', '.join(df.columns)}")
+    return F.col(column)

@@ -2,19 +2,26 @@
 
 A sample's gradient of a layer is the sum over tokens of outer(b, a). Its score under an
 optimizer is the inner product with a preconditioned validation direction, computed from
-the factors without forming the gradient: sum over tokens of b' (C * b_V a_V') a. Layer
-matrices are as large as a layer, not as the data: they are literals of the plan, so
-scoring needs no join and one aggregation by sample.
+the factors without forming the gradient: sum over tokens of b' D a, with D = C * b_V a_V'.
+Arrow batches are multiplied with the layers' matrices, which go to all tasks in blocks
+of a bounded size; a wide layer is cut into several.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Layers wider than this are vocabulary-sized and aren't scored.
 WIDEST = 32768
+#: Bytes of layer matrices that tasks get at once.
+BLOCK_BYTES = 64 << 20
 BETA2, EPS, STEP, RHO = 0.999, 1e-8, 10, 0.04
 
 
@@ -46,34 +53,64 @@ def times(matrix: np.ndarray, vector: Column) -> Column:
     return F.array(*[dot(literal(row), vector) for row in matrix])
 
 
-def by_layer(matrices: dict[int, Column]) -> Column:
-    out = F.lit(None)
-    for k, c in matrices.items():
-        out = F.when(F.col("layer") == k, c).otherwise(out)
-    return out
-
-
-def scored(rows: DataFrame, per_token: dict[int, Column]) -> DataFrame:
-    """sample_id, step, score: sums over the tokens and layers that have a direction; none at all raises."""
-    if not per_token:
-        raise ValueError("no layer has a validation direction")
-    known = rows.filter(F.col("layer").isin(list(per_token)))
-    return known.groupBy("sample_id", "step").agg(sanitized(F.sum(by_layer(per_token))).alias("score"))
-
-
 def sanitized(x: Column, bound: float = 1e9) -> Column:
     """NaN is 0; infinities are the bounds."""
     return F.when(F.isnan(x), 0.0).otherwise(F.greatest(F.least(x, F.lit(bound)), F.lit(-bound)))
 
 
-def bilinear(direction: dict[int, np.ndarray]) -> dict[int, Column]:
-    """b' D a of each layer's matrix D."""
-    return {k: dot(F.col("b"), times(d, F.col("a"))) for k, d in direction.items()}
+def blocks_of(direction: dict, most: int = BLOCK_BYTES) -> list[list[tuple]]:
+    """The layers' matrices in portions of ``most`` bytes at most, each of (layer, first row, rows); a larger one is cut by rows."""
+    out: list[list[tuple]] = []
+    size = most + 1
+    for layer, d in direction.items():
+        d = np.ascontiguousarray(d, np.float64)
+        step = max(1, most // max(d[:1].nbytes, 1))
+        for first in range(0, len(d), step):
+            part = d[first : first + step]
+            if size + part.nbytes > most:
+                out.append([])
+                size = 0
+            out[-1].append((layer, first, part))
+            size += part.nbytes
+    return out
+
+
+def scored(rows: DataFrame, direction: dict, layer_bound: float = 1e9) -> DataFrame:
+    """sample_id, step, score: sums over tokens of b' D a of the layers that have a direction D (out x in); none at all raises.
+
+    Rows of other layers add nothing. The sum of each layer, and that of all, is sanitised.
+    """
+    if not direction:
+        raise ValueError("no layer has a validation direction")
+    spark = rows.sparkSession
+    known = rows.filter(F.col("layer").isin(list(direction)))
+
+    def multiplied(block: list[tuple]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                layers = batch.column("layer").to_numpy(zero_copy_only=False)
+                x = np.zeros(len(layers))
+                for layer, first, d in shared.value:
+                    at = np.flatnonzero(layers == layer)
+                    if len(at):
+                        a, b = (batch.column(c).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1) for c in ("a", "b"))
+                        x[at] += ((b[:, first : first + len(d)] @ d) * a).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("sample_id"), batch.column("step"), batch.column("layer"), pa.array(x)], names=["sample_id", "step", "layer", "x"])
+
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("sample_id", "step", "layer"))
+        own = [layer for layer, _, _ in block]
+        return known.filter(F.col("layer").isin(own)).select("sample_id", "step", "layer", "a", "b").mapInArrow(run, f"{kinds}, x double")
+
+    parts = reduce(DataFrame.unionByName, [multiplied(b) for b in blocks_of(direction)])
+    per_layer = parts.groupBy("sample_id", "step", "layer").agg(sanitized(F.sum("x"), layer_bound).alias("x"))
+    return per_layer.groupBy("sample_id", "step").agg(sanitized(F.sum("x")).alias("score"))
 
 
 def diagonal_scores(rows: DataFrame, val: dict, kernel: dict[int, np.ndarray]) -> DataFrame:
     """Scores under an elementwise preconditioner (out x in) of each layer that both have."""
-    return scored(rows, bilinear({k: kernel[k] * np.outer(val[k][1], val[k][0]) for k in val if k in kernel}))
+    return scored(rows, {k: kernel[k] * np.outer(val[k][1], val[k][0]) for k in val if k in kernel})
 
 
 def state(proxy2: dict, momentum: dict) -> dict[int, dict[str, np.ndarray]]:
@@ -114,12 +151,23 @@ def inverse_root(m: np.ndarray, eps: float = 1e-6) -> np.ndarray:
 
 def muon_scores(rows: DataFrame, val: dict, momentum: dict[int, np.ndarray], compat: bool = False) -> DataFrame:
     """Sum over tokens of (a' P a_V)(b' b_V); with ``compat`` the product of the two sums of each layer."""
-    left = by_layer({k: dot(literal(inverse_root(momentum[k]) @ val[k][0]), F.col("a")) for k in val})
-    right = by_layer({k: dot(literal(val[k][1]), F.col("b")) for k in val})
+    if any(np.ndim(momentum[k]) != 2 for k in val):
+        raise ValueError("only matrices have a momentum to be made orthogonal")
+    inner = {k: inverse_root(momentum[k]) @ val[k][0] for k in val}
     if not compat:
-        return rows.groupBy("sample_id", "step").agg(sanitized(F.sum(left * right)).alias("score"))
-    per_layer = rows.groupBy("sample_id", "step", "layer").agg((F.sum(left) * F.sum(right)).alias("x"))
-    return per_layer.groupBy("sample_id", "step").agg(sanitized(F.sum("x")).alias("score"))
+        return scored(rows, {k: np.outer(val[k][1], inner[k]) for k in val})
+    # the two factors of each layer, as layers of their own with an input of 1
+    left = scored_layers(rows, {k: inner[k][None, :] for k in val}, "a")
+    right = scored_layers(rows, {k: val[k][1][None, :] for k in val}, "b").withColumnRenamed("x", "y")
+    return left.join(right, ["sample_id", "step", "layer"]).groupBy("sample_id", "step").agg(sanitized(F.sum(F.col("x") * F.col("y"))).alias("score"))
+
+
+def scored_layers(rows: DataFrame, vectors: dict, side: str) -> DataFrame:
+    """sample_id, step, layer, x: sums over tokens of one side's inner product with each layer's vector."""
+    one = F.array(F.lit(1.0))
+    own = rows.select("sample_id", "step", "layer", F.col(side).alias("a"), one.alias("b"))
+    parts = [scored(own.filter(F.col("layer") == k), {k: v}).select("sample_id", "step", F.lit(k).cast(rows.schema["layer"].dataType).alias("layer"), F.col("score").alias("x")) for k, v in vectors.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rotated_scores(rows: DataFrame, val: dict, kernel: dict[int, np.ndarray], left: np.ndarray, right: np.ndarray) -> DataFrame:
@@ -128,7 +176,7 @@ def rotated_scores(rows: DataFrame, val: dict, kernel: dict[int, np.ndarray], le
     for k in val:
         c = kernel[k][: left.shape[0], : right.shape[0]]
         direction[k] = left.T @ (c * np.outer(left @ val[k][1], right @ val[k][0])) @ right
-    return scored(rows, bilinear(direction))
+    return scored(rows, direction)
 
 
 def householder(width: int = 8) -> np.ndarray:
@@ -138,18 +186,89 @@ def householder(width: int = 8) -> np.ndarray:
 
 
 def gradient(rows: DataFrame) -> DataFrame:
-    """layer, o, i, g: the summed outer products of the rows over their number of samples."""
-    spread = rows.select("sample_id", "layer", F.posexplode("b").alias("o", "y"), "a").select("sample_id", "layer", "o", "y", F.posexplode("a").alias("i", "x"))
-    n = rows.select("sample_id").distinct().count()
-    return spread.groupBy("layer", "o", "i").agg((F.sum(F.col("y") * F.col("x")) / n).alias("g"))
-
-
-def exact_dots(rows: DataFrame, val_gradient: DataFrame, width: int = 8) -> DataFrame:
+    """layer, o, i, g: the summed outer products of the rows over their number of samples.
+
+    Each task sums its rows' products as matrices before they are dealt out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            layers = batch.column("layer").to_numpy(zero_copy_only=False)
+            for layer in np.unique(layers):
+                at = pa.array(np.flatnonzero(layers == layer))
+                a, b = (batch.column(c).take(at).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1) for c in ("a", "b"))
+                sums[layer] = sums[layer] + b.T @ a if layer in sums else b.T @ a
+        for layer, g in sums.items():
+            for o, row in enumerate(g):
+                yield pa.RecordBatch.from_arrays([pa.array([layer], pa.int32()), pa.array([o], pa.int32()), pa.array([row.tolist()], pa.list_(pa.float64()))], names=["layer", "o", "row"])
+
+    partial = rows.select(F.col("layer").cast("int").alias("layer"), "a", "b").mapInArrow(run, "layer int, o int, row array<double>")
+    # one row
+    n = F.broadcast(rows.agg(F.count_distinct("sample_id").alias("n")))
+    total = partial.select("layer", "o", F.posexplode("row").alias("i", "x")).groupBy("layer", "o", "i").agg(F.sum("x").alias("x"))
+    return total.join(n).select("layer", "o", "i", (F.col("x") / F.col("n")).alias("g"))
+
+
+def exact_dots(rows: DataFrame, val_gradient: DataFrame) -> DataFrame:
     """Gradient inner products with the exact validation gradient (a table as large as the layers)."""
     mats: dict[int, np.ndarray] = {}
-    for r in val_gradient.collect():
-        mats.setdefault(r.layer, np.zeros((width, width)))[r.o, r.i] = r.g
-    return scored(rows, bilinear(mats))
+    by_row = val_gradient.groupBy("layer", "o").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda s: s["g"]).alias("row"))
+    for layer, own in groupby(sorted(((r.layer, r.o, r.row) for r in by_row.toLocalIterator())), key=lambda r: r[0]):
+        mats[layer] = np.array([row for _, _, row in own])
+    return scored(rows, mats)
+
+
+def gram_dots(rows: DataFrame, val: DataFrame, most: int = 4096) -> DataFrame:
+    """``exact_dots`` without the validation gradient: for each pair of tokens the product of both factors' inner products.
+
+    It is cheaper where the squares of the tokens are fewer than a layer's weights. Validation rows of
+    ``most`` or more go the other way, as all tasks get them.
+    """
+    held = val.select("layer", "sample_id", "a", "b").limit(most).collect()
+    if len(held) >= most:
+        return exact_dots(rows, gradient(val))
+    if not held:
+        raise ValueError("no layer has a validation direction")
+    n = len({r.sample_id for r in held})
+    sides = rows.sparkSession.sparkContext.broadcast({k: tuple(np.array([r[c] for r in held if r.layer == k], float) for c in ("a", "b")) for k in {r.layer for r in held}})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [float(((sides.value[k][0] @ np.array(a)) * (sides.value[k][1] @ np.array(b))).sum()) / n if k in sides.value else 0.0 for k, a, b in zip(*(batch.column(c).to_pylist() for c in ("layer", "a", "b")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("sample_id"), batch.column("step"), pa.array(x, pa.float64())], names=["sample_id", "step", "x"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("sample_id", "step"))
+    found = rows.select("sample_id", "step", "layer", "a", "b").mapInArrow(run, f"{kinds}, x double")
+    return found.groupBy("sample_id", "step").agg(sanitized(F.sum("x")).alias("score"))
+
+
+def unfolded(image: Column, channels: int, height: int, width: int, kernel: int, stride: int = 1, padding: int = 0) -> Column:
+    """The patches of a flat image that a convolution sees, row by row: each is the input of a linear layer."""
+    high, wide = (height + 2 * padding - kernel) // stride + 1, (width + 2 * padding - kernel) // stride + 1
+
+    def pixel(c: int, r: Column, k: Column) -> Column:
+        inside = (r >= 0) & (r < height) & (k >= 0) & (k < width)
+        return F.when(inside, F.get(image, (c * height * width + r * width + k).cast("int"))).otherwise(0.0)
+
+    def patch(p: Column) -> Column:
+        r, k = F.floor(p / wide) * stride - padding, p % wide * stride - padding
+        return F.array(*[pixel(c, r + i, k + j) for c in range(channels) for i in range(kernel) for j in range(kernel)])
+
+    return F.transform(F.sequence(F.lit(0), F.lit(high * wide - 1)), patch)
+
+
+def scaled_norms(squares: Column, scale: float) -> Column:
+    """Squared norms of gradients that were scaled."""
+    return squares * scale**2
+
+
+def train_rows(rows: DataFrame, is_val: str, n_train: int, n_total: int, reduction: str = "mean") -> DataFrame:
+    """Rows of the training part alone, with b as if the loss were of that part: times n_total / n_train for a mean of all, 1 / n_train for a sum."""
+    if reduction not in ("mean", "sum"):
+        raise ValueError(f"no reduction is named {reduction!r}; there are mean, sum")
+    factor = n_total / n_train if reduction == "mean" else 1 / n_train
+    return rows.filter(~F.col(is_val)).withColumn("b", F.transform("b", lambda x: x * factor))
 
 
 def count_sketch(vectors: DataFrame, id_col: str, vector_col: str, size: int, seed: int) -> DataFrame:

@@ -83,12 +83,6 @@ def decode_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(F.transform(ids, lambda i: F.when(i == 0, "\n").otherwise(F.chr(i + 31))), "").cast("binary")).alias("decoded"))
 
 
-@query("special_tokens", "SELECT event_id, k::BIGINT AS k, k::BIGINT % 7 AS slot FROM (SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events) WHERE k IS NOT NULL")
-def special_tokens(spark, sf_dir):
-    k = F.from_json("props", "k bigint")["k"]
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), (k % 7).alias("slot")).filter("k is not null")
-
-
 @query("template_concat", "SELECT p_partkey, coalesce(p_name, '') || coalesce(p_brand, '') || coalesce(p_type, '') AS text FROM part")
 def template_concat(spark, sf_dir):
     named = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("support"), F.col("p_brand").alias("question"), F.col("p_type").alias("correct_answer"))

@@ -27,7 +27,7 @@ CORPORA |= {name: Corpus(share=None, format="json") for k in range(1, 38) for na
 # The columns that a task's text is made of, and what stands between them.
 TASKS: dict[str, tuple[tuple[str, ...], str]] = {
     "humaneval": (("prompt", "canonical_solution"), " \n "), "kodcode": (("question", "solution"), " "), "gsm8k": (("question", "answer"), " "), "mathqa": (("Problem", "answer"), " "), "arc_easy": (("question", "answer"), "\n"),
-    "arc_challenge": (("question", "answer"), "\n"), "hellaswag": (("ctx", "ending"), " "), "logiqa": (("context", "query", "option"), " "), "piqa": (("goal", "solution"), " "), "sciq": (("support", "question", "correct_answer"), ""),
+    "arc_challenge": (("question", "answer"), "\n"), "hellaswag": (("ctx", "ending"), " "), "logiqa": (("context", "query", "option"), " "), "piqa": (("goal", "solution"), " "), "sciq": (("support", "question", "correct_answer"), ""), "medqa": (("question", "answer"), " "),
 }
 
 

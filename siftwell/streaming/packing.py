@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftwell.functions.tokens import char_ids, with_end
 from siftwell.plans.registry import query
+from siftwell.sources.storage import shared_folder
 
 OUT = "shard bigint, n bigint, ids array<int>"
 
@@ -36,20 +35,10 @@ def packed_stream(docs: DataFrame, size: int, shards: int) -> DataFrame:
     return tokens.groupBy("shard").applyInPandasWithState(pack, OUT, "n bigint, rest array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one of this machine only where that is unset in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="siftwell-")
-    return f"{base.rstrip('/')}/siftwell-stream/{uuid.uuid4().hex}"
-
-
 @query("stream_pack")
 def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the stream, once; the query returns what its sink has."""
-    folder, path = shared_folder(spark), f"{sf_dir}/documents.parquet"
+    folder, path = shared_folder(spark, "stream"), f"{sf_dir}/documents.parquet"
     # a pattern, as a stream takes a single file only by one
     docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/documents.parque[t]")
     stream = packed_stream(docs, 513, 4).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
