@@ -50,10 +50,10 @@ def pack_windows(docs: DataFrame, size: int, stride: int) -> DataFrame:
     starts = document_starts(tokenized(docs))
     first = F.greatest(F.lit(0), F.floor((F.col("start") - size) / stride) + 1).cast("bigint")
     last = F.floor((F.col("start") + F.col("len") - 1) / stride).cast("bigint")
-    spread = starts.withColumn("window", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("window") * stride, F.col("start"))
-    high = F.least(F.col("window") * stride + size, F.col("start") + F.col("len"))
-    pieces = spread.filter(high > low).select("window", F.col("start"), F.slice("ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("piece"))
+    places = F.transform(F.sequence(first, last), lambda w: F.struct(w.alias("window"), F.greatest(w * stride, F.col("start")).alias("low"), F.least(w * stride + size, F.col("start") + F.col("len")).alias("high")))
+    # slices are cut before rows are made, so no row but the document's has all of its ids
+    cut = F.transform(F.filter(places, lambda p: p["high"] > p["low"]), lambda p: F.struct(p["window"].alias("window"), F.slice("ids", (p["low"] - F.col("start") + 1).cast("int"), (p["high"] - p["low"]).cast("int")).alias("piece")))
+    pieces = starts.select("start", F.explode(cut).alias("x")).select("x.window", "start", "x.piece")
     whole = pieces.groupBy("window").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda s: s["piece"])).alias("ids"))
     return whole.filter(F.size("ids") == size)
 

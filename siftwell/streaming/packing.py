@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from siftwell.functions.tokens import char_ids, with_end
+from siftwell.functions.tokens import char_ids, checksum, with_end
+from siftwell.plans.corpus_queries import FLAT
 from siftwell.plans.registry import query
 from siftwell.sources.storage import shared_folder
 
@@ -21,26 +23,24 @@ def packed_stream(docs: DataFrame, size: int, shards: int) -> DataFrame:
 
     def pack(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, rest = state.get if state.exists else (0, [])
-        rest = list(rest)
-        for pdf in pdfs:
-            for ids in pdf.sort_values("doc_id").ids:
-                rest.extend(int(i) for i in ids)
-            full = len(rest) // size
-            if full:
-                yield pd.DataFrame({"shard": key[0], "n": range(n, n + full), "ids": [rest[k * size : (k + 1) * size] for k in range(full)]})
-            n, rest = n + full, rest[full * size :]
-        state.update((n, rest))
+        # a trigger's documents of a shard in id order, whatever batches they come in
+        new = pd.concat(list(pdfs)).sort_values("doc_id", kind="stable")
+        flat = np.concatenate([np.asarray(rest, np.int32), *[np.asarray(ids, np.int32) for ids in new.ids]])
+        full = len(flat) // size
+        if full:
+            yield pd.DataFrame({"shard": key[0], "n": range(n, n + full), "ids": list(flat[: full * size].reshape(full, size))})
+        state.update((n + full, flat[full * size :].tolist()))
 
     tokens = docs.select((F.col("doc_id") % shards).alias("shard"), "doc_id", with_end(char_ids(F.col("text"))).alias("ids"))
     return tokens.groupBy("shard").applyInPandasWithState(pack, OUT, "n bigint, rest array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
-@query("stream_pack")
+@query("stream_pack", f"WITH {FLAT}, s AS (SELECT doc_id % 4 AS shard, id, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id, k) - 1 AS pos FROM (SELECT doc_id, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS k FROM tok)) SELECT shard, pos // 513 AS n, sum(id * (pos % 513 + 1))::BIGINT AS digest FROM s GROUP BY 1, 2 HAVING count(*) = 513")
 def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents through the stream, once; the query returns what its sink has."""
+    """All documents through the stream, once; the query returns the windows that its sink has, with a digest of their ids."""
     folder, path = shared_folder(spark, "stream"), f"{sf_dir}/documents.parquet"
     # a pattern, as a stream takes a single file only by one
     docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/documents.parque[t]")
     stream = packed_stream(docs, 513, 4).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{folder}/out")
+    return spark.read.schema(OUT).parquet(f"{folder}/out").select("shard", "n", checksum(F.col("ids")).alias("digest"))

@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import ranking
-from siftwell.operators import corpus, scoring, selection
+from siftwell.operators import corpus, projection, runs, schedules, scoring, selection, tokenize
 from siftwell.plans import metric_queries
 from siftwell.plans.registry import all_queries
-from siftwell.sources import corpora
+from siftwell.sinks import records, token_files
+from siftwell.sources import corpora, storage
 
 
 def test_unknown_names_raise(spark):
@@ -125,3 +126,128 @@ def test_epochs_hold_all_windows_of_the_documents(spark, tmp_path, copies):
     assert sorted(map(tuple, all_queries()["epoch_windows"](spark, str(tmp_path)).collect())) == sorted(want)
     drawn = all_queries()["window_draws"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, drawn)) == [(step, slot, number(13, step, slot) % starts) for step in range(batches) for slot in range(8)]
+
+
+def test_warmup_stable_decay_gives_the_known_vectors(spark):
+    def rates(**kw):
+        return [r.x for r in spark.range(10).select("id", schedules.warmup_stable_decay(F.col("id"), 10, 2, **kw).alias("x")).orderBy("id").collect()]
+
+    assert rates() == pytest.approx([0.5, 1, 1, *[k / 8 for k in range(7, 0, -1)]])
+    assert rates(decay_share=0.5) == pytest.approx([0.5, 1, 1, 1, 1, 1, 0.8, 0.6, 0.4, 0.2])
+    assert rates(least=0.2)[-1] == pytest.approx(0.2 + 0.8 / 8)
+    with pytest.raises(ValueError, match="no decay"):
+        rates(kind="steps")
+    with pytest.raises(ValueError, match="no decay"):
+        schedules.warmup_hold_decay(F.col("id"), 10, 2, 0.5, "steps")
+
+
+def test_matrices_of_projections(spark):
+    for name in projection.INITIALIZERS:
+        p = np.zeros((16, 40))
+        for r in projection.initializer(name)(spark, 16, 40, 3).collect():
+            p[r.o, r.k] = r.p
+        assert (p * p).sum() == pytest.approx(16 if name == "orthonormal" else 40, rel=0.2)
+        if name == "orthonormal":
+            assert np.allclose(p @ p.T, np.eye(16), atol=1e-12)
+    with pytest.raises(ValueError, match="no projection"):
+        projection.initializer("nope")
+    with pytest.raises(ValueError, match="orthonormal"):
+        projection.orthonormal(spark, 3, 2, 1)
+    g = np.random.default_rng(1).normal(size=(12, 5))
+    values = np.linalg.svd(projection.newton_schulz(g, 10), compute_uv=False)
+    assert values.min() > 0.6
+    assert values.max() < 1.3
+    with pytest.raises(ValueError, match="matrices"):
+        projection.newton_schulz(np.ones(3))
+
+
+def test_scores_of_wide_layers_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, i // 2, layer, [float(x) for x in rng.normal(size=96)], [float(x) for x in rng.normal(size=64)]) for i in range(6) for layer in (0, 1, 7) for _ in range(3)]
+    df = spark.createDataFrame(rows, "sample_id long, step long, layer int, a array<double>, b array<double>").repartition(3)
+    direction = {0: rng.normal(size=(64, 96)), 1: rng.normal(size=(64, 96)), 5: rng.normal(size=(64, 96))}
+    want = {}
+    for i, _, layer, a, b in rows:
+        want[i] = want.get(i, 0.0) + (np.array(b) @ direction[layer] @ np.array(a) if layer in direction else 0.0)
+    assert len(scoring.blocks_of(direction, 10_000)) > 12
+    for most in (1 << 26, 10_000):
+        monkeypatch.setattr(scoring.blocks_of, "__defaults__", (most,))
+        assert {r.sample_id: r.score for r in scoring.scored(df, direction).collect()} == {i: pytest.approx(x) for i, x in want.items()}
+    with pytest.raises(ValueError, match="no layer"):
+        scoring.scored(df, {})
+
+
+def test_muon_is_the_product_of_both_sides(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, 0, k, [float(x) for x in rng.normal(size=4)], [float(x) for x in rng.normal(size=3)]) for i in range(4) for k in (0, 1) for _ in range(2)]
+    df = spark.createDataFrame(rows, "sample_id long, step long, layer int, a array<double>, b array<double>")
+    val = {k: (rng.normal(size=4), rng.normal(size=3)) for k in (0, 1)}
+    momentum = {k: rng.normal(size=(3, 4)) for k in (0, 1)}
+    root = {k: scoring.inverse_root(m) for k, m in momentum.items()}
+    each, sums = {}, {}
+    for i, _, k, a, b in rows:
+        x, y = np.array(a) @ root[k] @ val[k][0], np.array(b) @ val[k][1]
+        each[i] = each.get(i, 0.0) + x * y
+        s = sums.setdefault(i, {}).setdefault(k, [0.0, 0.0])
+        s[0], s[1] = s[0] + x, s[1] + y
+    assert {r.sample_id: r.score for r in scoring.muon_scores(df, val, momentum).collect()} == {i: pytest.approx(x) for i, x in each.items()}
+    assert {r.sample_id: r.score for r in scoring.muon_scores(df, val, momentum, compat=True).collect()} == {i: pytest.approx(sum(x * y for x, y in s.values())) for i, s in sums.items()}
+    with pytest.raises(ValueError, match="matrices"):
+        scoring.muon_scores(df, val, {0: np.ones(4), 1: np.ones(4)})
+
+
+def test_convolution_is_linear_over_patches(spark):
+    image, kernel = np.random.default_rng(4).normal(size=(2, 5, 6)), np.random.default_rng(5).normal(size=(2, 3, 3))
+    df = spark.createDataFrame([([float(x) for x in image.ravel()],)], "x array<double>")
+    patches = np.array(df.select(scoring.unfolded(F.col("x"), 2, 5, 6, 3, 2, 1).alias("p")).first().p)
+    padded = np.pad(image, ((0, 0), (1, 1), (1, 1)))
+    want = [(padded[:, r : r + 3, c : c + 3] * kernel).sum() for r in range(0, 5, 2) for c in range(0, 5, 2)]
+    assert patches @ kernel.ravel() == pytest.approx(want)
+
+
+def test_byte_pair_ids_are_the_librarys(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    texts = ["Hello, wörld!  it's", None, "", "a <|endoftext|> b", "\n\n x 123"]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = tokenize.bpe_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {r.doc_id: (r.ids, r.len) for r in found} == {i: (ids := [*library.encode(t or "", add_special_tokens=False).ids, 50256], len(ids)) for i, t in enumerate(texts)}
+    assert tokenize.id_of(path, tokenize.token_of(path, 1234)) == 1234
+
+
+def test_token_files_roll_append_and_find_faults(spark):
+    folder = storage.shared_folder(spark, "bins")
+    rows = [("train", d, i, [i % 7] * (i % 5) if i % 11 else None) for d in ("a/b (c)", None, "x y") for i in range(60)]
+    df = spark.createDataFrame(rows, "split string, domain string, doc_id long, ids array<int>")
+    assert token_files.append_tokens(df.limit(0), folder).count() == 0
+    first = token_files.append_tokens(df.filter("doc_id < 30"), folder, file_ids=20)
+    assert first.count() > 6
+    assert token_files.append_tokens(df.filter("doc_id >= 30"), folder).agg(F.sum("n_docs")).first()[0] == 90
+    found = token_files.read_tokens(spark, folder).collect()
+    assert sorted((r.domain or "", r.ids) for r in found) == sorted((d or "", ids or []) for _, d, _, ids in rows)
+    assert {r.domain for r in token_files.read_tokens(spark, folder, ["x y"]).collect()} == {"x y"}
+    with pytest.raises(Exception, match="16 bits"):
+        token_files.append_tokens(df.withColumn("ids", F.array(F.lit(70000))), folder).count()
+
+
+def test_saved_batches_and_folders_are_checked(spark):
+    log = spark.createDataFrame([(2, 0.5), (1, 0.25)], "sample_id long, dot double")
+    assert [r.sample_id for r in records.validation_batch(log, 2).collect()] == [1, 2]
+    with pytest.raises(Exception, match="3 rows"):
+        records.validation_batch(log, 3).collect()
+    names = spark.createDataFrame([("a_rank_4",), ("a_rank_16",), ("other",)], "name string")
+    assert {r["rank"] for r in runs.rank_folders(names).collect()} == {4, 16}
+    with pytest.raises(Exception, match="differ"):
+        runs.rank_folders(names.union(spark.createDataFrame([("b_rank_4",)], "name string"))).collect()
+    none = spark.createDataFrame([], "step long, loss double")
+    some = spark.createDataFrame([(1, 2.0), (2, 4.0)], "step long, loss double")
+    assert runs.loss_summary(some, none).first().text == "3.000000 N/A N/A"
+    assert runs.loss_mismatches([some, some, some]).count() == 0
+    assert [tuple(r) for r in runs.loss_mismatches([some, some.filter("step = 1")]).collect()] == [(1, 2, 4.0, None)]
+    assert corpus.sample_documents(none, 3, 1, "step").count() == 0
+    assert corpus.split_seed(7, "test") == 9
+    with pytest.raises(ValueError, match="no text column"):
+        corpus.text_of(none)
