@@ -2,9 +2,10 @@
 
 import base64
 import hashlib
+import re
 import zlib
 from collections import Counter
-from itertools import pairwise, permutations
+from itertools import pairwise, permutations, product
 
 import numpy as np
 import pytest
@@ -15,9 +16,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwell.llm import fingerprints, line_crf, near_dups, packing, rule_quality, token_counts, token_files, toxicity, tree_bpe, warc
-from siftwell.llm._shared import join_to_one
+from siftwell.llm._shared import join_to_one, materialize
 from siftwell.llm.bpe import byte_bpe, word_bpe
-from siftwell.llm.queries import BYTE_BPE, WORD_BPE
+from siftwell.llm.queries import BYTE_BPE, QUERIES, WORD_BPE
 
 WORDS = "the cat sat on a mat while seven birds sang loudly over green hills near old towns by rivers".split()
 rng = np.random.default_rng(4)
@@ -437,3 +438,115 @@ def test_one_row_of_each_class_is_kept_where_ids_are_null_or_shared(spark):
     digest = lambda t: hashlib.md5(t.encode()).digest()
     want = [(None, texts["a"]), (None, min(texts["b"], texts["b"] + " end", key=digest)), (4, texts["c"]), (3, texts["d"] + " end"), (4, texts["e"]), (2, texts["f"])]
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("ab#| \n\t\x0b\x1cé\x85"), max_size=80))
+def test_counts_by_their_definition(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = text.split("\n")
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    repeated = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+    dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:k] for k, x in enumerate(lines))
+    assert line_crf.counts(text) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(repeated))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, line_crf.N_FEATURES - 1), min_size=2, max_size=2), min_size=1, max_size=7), st.integers(0, 1000))
+def test_viterbi_finds_the_best_labels(found, seed):
+    r = np.random.default_rng(seed)
+    field = line_crf.LineField(r.normal(size=(line_crf.N_FEATURES, 2)), r.normal(size=(2, 2)))
+    total = lambda path: sum(field.lines[f, y] for x, y in zip(found, path, strict=True) for f in x) + sum(field.pairs[a, b] for a, b in pairwise(path))
+    assert total(field.decode(found)) == pytest.approx(max(map(total, product((0, 1), repeat=len(found)))))
+
+
+def test_verdicts_of_lines(spark, docs):
+    field = line_crf.fit_lines(docs)
+    for r in line_crf.judge_lines(docs, field).collect():
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert r.kept == (not r.base_failed and r.content_share >= line_crf.LEAST_CONTENT)
+
+
+def text_statistics(text):
+    """The statistics of a text, in Python."""
+    words, lines = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w], [x for x in text.split("\n") if x]
+    ratio = lambda a, b: a / b if b else 0.0
+    n, count = len(text), lambda chars: sum(c in chars for c in text)
+    return {
+        "log_words": np.log1p(len(words)), "word_length": ratio(n, len(words)), "distinct_words": ratio(len(set(words)), len(words)), "distinct_lines": ratio(len(set(lines)), len(lines)), "words_per_line": ratio(len(words), len(lines)),
+        "bars": ratio(count("|"), n), "symbols": ratio(count("#*$%&<>{}[]=^~@_"), n), "digits": ratio(count("0123456789"), n), "capitals": ratio(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n), "stops": ratio(count(".!?"), len(words)),
+        "commas": ratio(count(","), len(words)), "marks": ratio(count("!"), n), "slashes": ratio(count("/"), n),
+    }
+
+
+def rule_score(model, text):
+    stats = text_statistics(text)
+    return 1 / (1 + np.exp(-model.bias - sum(w for rule, w in model.rules if all(stats[f] > at if greater else stats[f] <= at for f, greater, at in rule))))
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    r = np.random.default_rng(21)
+    vocabulary = [f"word{k}" for k in range(900)]
+    prose = lambda n: ". ".join(" ".join(r.choice(vocabulary, 9)).capitalize() for _ in range(n)) + "."
+    texts = [prose(12) for _ in range(140)]
+    texts += [f"{t} You filthy vermin." for t in texts[:40]] + [" | ".join(r.choice(vocabulary, 60)) + " ###" for _ in range(40)]
+    texts += [texts[60] + " end", texts[61], texts[61], None, "", prose(900)]
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(None, prose(12), None), (None, prose(12), "x"), (61, prose(12), "en")]
+    labels = [(k, int(not 180 <= k < 220), int(140 <= k < 180)) for k in range(220)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, known = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    stages, now, at = dict(corpus_pipeline.STAGES), docs, str(tmp_path)
+    plain = lambda df: sorted(map(repr, map(tuple, df.collect())))
+
+    model = toxicity.fit_toxicity(now, known)
+    kept = [x for x in rows if model.score(x[1] or "") < 0.3]
+    assert 30 <= len(rows) - len(kept) <= 60
+    now = materialize(stages["toxicity"](spark, now, at), "t")
+    assert plain(now) == sorted(map(repr, kept))
+
+    rules = rule_quality.fit_quality(now, known)
+    kept = [x for x in kept if rule_score(rules, x[1] or "") >= 0.3]
+    assert len([x for x in kept if x[1] and "|" in x[1]]) == 0
+    now = materialize(stages["quality classifier"](spark, now, at), "q")
+    assert plain(now) == sorted(map(repr, kept))
+
+    table, n = near_dups.document_frequencies(near_dups._rows(now, "doc_id", "text"))
+    weights = near_dups.bucket_weights(table, n)
+    distinct = sorted({x[1] or "" for x in kept}, key=lambda t: hashlib.md5(t.encode()).digest())
+    sets = {k: dict(zip(*(v.tolist() for v in near_dups.weighted(t, weights)), strict=True)) for k, t in enumerate(distinct)}
+    class_of = {t: c for (_, c), t in zip(sorted(classes(sets, 0.8).items()), distinct, strict=True)}
+    best = {}
+    for x in sorted(kept, key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).digest())):
+        best.setdefault(class_of[x[1] or ""], x)
+    now = materialize(stages["near duplicates"](spark, now, at), "n")
+    assert plain(now.select("doc_id", F.coalesce("text", F.lit("")))) == sorted(repr((x[0], x[1] or "")) for x in best.values())
+
+    pieces = corpus_pipeline.run(spark, at).collect()
+    assert {p.doc_id for p in pieces} == {x[0] for x in best.values()}
+    encode = byte_bpe(BYTE_BPE).library.encode
+    assert sum(p.length for p in pieces) == sum(len(encode(x[1] or "", add_special_tokens=False).ids) + 1 for x in best.values())
+    for d in (docs.limit(0), now.limit(0)):
+        assert all(stage(spark, d, at).count() == 0 for stage in stages.values())
+
+
+def test_packing_is_near_the_bound(spark):
+    """As few sequences as the sum of all lengths needs, or hardly more."""
+    r = np.random.default_rng(2)
+    counts = Counter(int(x) for x in r.integers(1, 1025, 3000))
+    used = sum(times for times, _ in packing.plan(counts, 1024))
+    assert used <= max(-(-sum(n * c for n, c in counts.items()) // 1024), sum(c for n, c in counts.items() if n > 512)) * 1.01 + 1
+
+
+def test_registered_queries(spark):
+    """All queries of the text operators run on the smallest tables, one row for each row of theirs."""
+    sf = "/root/testdata/sf0.001"
+    n = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages")}
+    for name, run in QUERIES.items():
+        found = run(spark, sf)
+        if name in ("op1_pack", "pipeline"):
+            assert found.select("doc_id").distinct().count() <= n["documents"]
+        else:
+            assert found.count() == n["pages" if name == "op2_warc" else "documents"]
