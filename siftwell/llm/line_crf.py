@@ -151,12 +151,15 @@ def fit(texts: list[str], epochs: int = 4, rate: float = 0.3, ridge: float = 1e-
 
 
 def fit_lines(docs: DataFrame, most: int = SAMPLE, text_col: str = "text") -> LineField:
-    """A field fitted to about ``most`` texts, chosen by a hash."""
+    """A field fitted to ``most`` texts at most: those of the least hashes, so they don't depend on partitions.
+
+    Equal texts are chosen once. A null text is empty; no texts give a field without weights.
+    """
     n = docs.select(F.lit(1)).count()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    chosen = docs.select(text.alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(n, 1))) + 1)
+    chosen = docs.select(text.alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.2 * (most + 100) / max(n, 1))) + 1)
     # equal texts are chosen together, so a large group of copies counts once
-    return fit(sorted(r.text for r in chosen.distinct().limit(2 * most).collect()))
+    return fit(sorted(r.text for r in chosen.distinct().orderBy(F.pmod(F.xxhash64("text"), F.lit(1_000_000)), F.xxhash64("text")).limit(most).collect()))
 
 
 def counts(text: str) -> tuple[int, int, int, int, int]:

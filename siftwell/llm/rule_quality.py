@@ -178,8 +178,13 @@ def fit(values: dict[str, np.ndarray], y: np.ndarray, trees: int = 40, depth: in
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
-    """A model of ``labels.quality``, fitted to at most about ``most`` rows whose crc32(doc_id) mod 5 is not 0."""
-    sample = labelled_sample(docs, labels, "quality", 5, 0, most, id_col, text_col)
+    """A model of ``labels.quality``, fitted to at most ``most`` rows whose crc32(doc_id) mod 5 is not 0.
+
+    Rows with a null id or label aren't used; a null text is empty; rows that repeat count as often.
+    With no row, or one label only, every score is the smoothed share of label 1. Only the statistics
+    of the sample reach the driver. Other columns are not read, so their names can't clash.
+    """
+    sample = labelled_sample(docs, labels, "quality", 5, 0, most, id_col, text_col).select("text", "y").repartition(16)
     pdf = with_statistics(sample, "text", "x", set(FEATURES)).select("y", "x.*").toPandas().sort_values(["y", *FEATURES])
     return fit({f: pdf[f].to_numpy(float) for f in FEATURES}, pdf.y.to_numpy(float))
 
@@ -203,6 +208,10 @@ def score_quality(docs: DataFrame, model: RuleModel, threshold: float = THRESHOL
 
 
 def drop_low_quality(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text's score is under ``threshold``; all columns stay."""
+    """``docs`` without the rows whose text's score is under ``threshold``; all columns stay, whatever their names.
+
+    A null text is empty; an empty text has a score like any other. Rows that repeat have equal
+    scores, so all or none of them stay; ids aren't read. No rows: no rows.
+    """
     name = unused_name(docs, "_score")
     return _with_score(docs, model, text_col, name).filter(F.col(name) >= threshold).drop(name)

@@ -363,7 +363,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text's score reaches ``threshold``; all columns stay."""
+    """``docs`` without the rows whose text's score reaches ``threshold``; all columns stay, whatever their names.
+
+    A null or empty text has the score of a text without any weighted word. Rows that repeat have
+    equal scores, so all or none of them stay; ids aren't read. No rows: no rows.
+    """
     small_batches(docs.sparkSession)
     name = unused_name(docs, "_score")
     return docs.withColumn(name, score_column(docs, model, text_col)).filter(F.col(name) < threshold).drop(name)
