@@ -4,6 +4,10 @@ Toxic documents go, then documents of low quality, then all but one of each clas
 near duplicates; what is left is packed into sequences. Models are fitted to the labels
 beside the documents, in samples of bounded size; every stage decides about all that
 its predecessor kept.
+
+Every stage takes documents with nulls in any column, empty and very long texts, repeated
+rows, shared or null ids, other columns of any name, and no rows at all: what it makes of
+these is said at the operator that it calls. A null text counts as an empty one.
 """
 
 from __future__ import annotations

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.hashing import hash_mod, hex_key
 from siftwell.functions.ranking import global_rank, hash_bucket, running_sum
-from siftwell.functions.tokens import END, char_ids, checksum, n_char_ids, with_end
+from siftwell.functions.tokens import END, checksum, n_char_ids
 
 
 def random_split(df: DataFrame, share: float, seed: int = 2357, id_col: str = "doc_id") -> DataFrame:
@@ -31,9 +35,31 @@ def positional_split(text: Column, share: float = 0.8) -> tuple[Column, Column]:
     return F.substring(text, F.lit(1), cut), F.substring(text, cut + 1, F.length(text))
 
 
+def char_lists(texts: pa.Array, end: int | None) -> pa.ListArray:
+    """The character ids of all texts of a batch, each followed by ``end``: from the bytes, as all characters that have an id are ASCII."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    kept = (data == 10) | ((data >= 32) & (data <= 126))
+    before = np.concatenate([[0], np.cumsum(kept)])
+    counts = np.diff(before[offsets - offsets[0]])
+    sizes = counts + (end is not None)
+    out = np.full(sizes.sum(), -1 if end is None else end, np.int32)
+    found = data[kept]
+    out[np.arange(len(found)) + (np.repeat(np.arange(n), counts) if end is not None else 0)] = np.where(found == 10, 0, found.astype(np.int32) - 31)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]), pa.int32()), pa.array(out))
+
+
 def tokenized(docs: DataFrame, end: int = END) -> DataFrame:
-    """doc_id, ids (characters and the end id) and len."""
-    return docs.select("doc_id", with_end(char_ids(F.col("text")), end).alias("ids"), (n_char_ids(F.col("text")) + 1).alias("len"))
+    """doc_id, ids (characters and the end id) and len. A null text is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = char_lists(batch.column(1), end)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, ids.value_lengths().cast(pa.int64())], names=["doc_id", "ids", "len"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, len bigint")
 
 
 def document_starts(lengths: DataFrame, id_col: str = "doc_id", len_col: str = "len") -> DataFrame:

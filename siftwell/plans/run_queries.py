@@ -338,7 +338,8 @@ def second_moments(spark, sf_dir):
 
 def char_docs(spark, sf_dir):
     split = F.when(F.col("doc_id") % 10 == 9, "val").otherwise("train")
-    return table(spark, sf_dir, "documents").select(split.alias("split"), F.col("source").alias("domain"), "doc_id", tokens.with_end(tokens.char_ids(F.col("text"))).alias("ids"))
+    docs = table(spark, sf_dir, "documents")
+    return C.tokenized(docs).join(docs.select("doc_id", split.alias("split"), F.col("source").alias("domain")), "doc_id")
 
 
 @query("token_bins", f"WITH {FLAT} SELECT CASE WHEN doc_id % 10 = 9 THEN 'val' ELSE 'train' END AS split, source AS domain, count(*)::BIGINT AS docs, sum(len(ids))::BIGINT AS tokens, sum(list_sum(ids))::BIGINT AS total, sum(list_sum(list_transform(range(1, len(ids) + 1), lambda k: ids[k] * k)))::BIGINT AS digest FROM tok JOIN documents USING (doc_id) GROUP BY 1, 2")

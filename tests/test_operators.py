@@ -1,10 +1,11 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.functions import ranking
+from siftwell.functions import ranking, tokens
 from siftwell.operators import corpus, projection, runs, schedules, scoring, selection, tokenize
 from siftwell.plans import metric_queries
 from siftwell.plans.registry import all_queries
@@ -251,3 +252,11 @@ def test_saved_batches_and_folders_are_checked(spark):
     assert corpus.split_seed(7, "test") == 9
     with pytest.raises(ValueError, match="no text column"):
         corpus.text_of(none)
+
+
+def test_character_lists_are_those_of_columns(spark):
+    texts = ["a b\n~", None, "", "é日x\t\r", "\x7f \U0001f642z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {r.doc_id: r.ids for r in df.select("doc_id", tokens.with_end(tokens.char_ids(F.coalesce("text", F.lit("")))).alias("ids")).collect()}
+    assert {r.doc_id: r.ids for r in corpus.tokenized(df).collect()} == want
+    assert corpus.char_lists(pa.array(texts).slice(1, 3), None).to_pylist() == [x[:-1] for x in list(want.values())[1:4]]
