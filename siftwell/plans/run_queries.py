@@ -20,7 +20,9 @@ from siftwell.sinks import records, token_files
 from siftwell.sources import corpora
 from siftwell.sources.storage import shared_folder
 
-STEP = F.col("event_id")
+
+def step():
+    return F.col("event_id")
 
 
 def hashed(seed: str, *keys: str) -> str:
@@ -37,7 +39,7 @@ def hashed01(seed: str, *keys: str) -> str:
 
 @query("cos_inf_schedule", "SELECT event_id, round(CASE WHEN event_id < 100 THEN event_id / 100.0::DOUBLE + (1 - event_id / 100.0::DOUBLE) / 10 WHEN event_id < 600 THEN 0.01 + 0.495 * (1 + cos(pi() * (event_id - 100) / 500.0)) ELSE 0.01 END, 9) AS lr FROM events")
 def cos_inf_schedule(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.round(S.cos_inf(STEP, 800, 100, 10, 10, 200), 9).alias("lr"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(S.cos_inf(step(), 800, 100, 10, 10, 200), 9).alias("lr"))
 
 
 WSD_T = "greatest((event_id - 720) / 180.0::DOUBLE, 0)"
@@ -49,14 +51,14 @@ WSD = {
 
 @query("wsd_schedule_all", f"SELECT event_id, kind, round(CASE WHEN event_id < 100 THEN event_id / 100.0::DOUBLE + (1 - event_id / 100.0::DOUBLE) / 100 WHEN event_id < 720 THEN 1 WHEN event_id >= 900 THEN 0.1 ELSE CASE kind {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {x}' for k, x in WSD.items())} END END, 9) AS lr FROM events, (SELECT unnest({list(WSD)}) AS kind)")
 def wsd_schedule_all(spark, sf_dir):
-    rates = F.array(*[F.struct(F.lit(k).alias("kind"), F.round(S.warmup_hold_decay(STEP, 900, 100, 0.2, k, 0.1), 9).alias("lr")) for k in S.DECAYS])
+    rates = F.array(*[F.struct(F.lit(k).alias("kind"), F.round(S.warmup_hold_decay(step(), 900, 100, 0.2, k, 0.1), 9).alias("lr")) for k in S.DECAYS])
     return table(spark, sf_dir, "events").select("event_id", F.explode(rates).alias("x")).select("event_id", "x.*")
 
 
 @query("warmup_stable_decay", "SELECT event_id, round(CASE WHEN event_id < 100 THEN (event_id + 1) / 100.0::DOUBLE WHEN event_id < 501 THEN 1 ELSE 0.2 + 0.8 * (1 - (event_id + 1 - 501) / 500.0::DOUBLE) END, 9) AS lr FROM events WHERE event_id < 1000")
 def warmup_stable_decay(spark, sf_dir):
     """The schedule has 1000 steps; there is no rate beyond it."""
-    return table(spark, sf_dir, "events").filter("event_id < 1000").select("event_id", F.round(S.warmup_stable_decay(STEP, 1000, 100, 0.5, least=0.2), 9).alias("lr"))
+    return table(spark, sf_dir, "events").filter("event_id < 1000").select("event_id", F.round(S.warmup_stable_decay(step(), 1000, 100, 0.5, least=0.2), 9).alias("lr"))
 
 
 @query("prodigy_rates", "SELECT event_id, round(value * 0.001 * sqrt(1 - power(0.999, event_id % 1000 + 1)) / (1 - power(0.9, event_id % 1000 + 1)), 9) AS lr FROM events")
@@ -72,7 +74,7 @@ def horizon_sweep(spark, sf_dir):
 
 @query("should_log", "SELECT event_id FROM events WHERE event_id = 1 OR event_id % 25 = 0")
 def should_log(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter(RUN.should_log(STEP, 25)).select("event_id")
+    return table(spark, sf_dir, "events").filter(RUN.should_log(step(), 25)).select("event_id")
 
 
 # logs and comparisons
