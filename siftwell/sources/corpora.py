@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,8 +26,8 @@ CORPORA |= {name: Corpus(share=None, format="json") for k in range(1, 38) for na
 
 # The columns that a task's text is made of, and what stands between them.
 TASKS: dict[str, tuple[tuple[str, ...], str]] = {
-    "humaneval": (("prompt", "canonical_solution"), " \n "), "kodcode": (("question", "solution"), " "), "gsm8k": (("question", "answer"), " "), "mathqa": (("Problem", "answer"), " "), "arc_easy": (("question", "answer"), "\n"),
-    "arc_challenge": (("question", "answer"), "\n"), "hellaswag": (("ctx", "ending"), " "), "logiqa": (("context", "query", "option"), " "), "piqa": (("goal", "solution"), " "), "sciq": (("support", "question", "correct_answer"), ""), "medqa": (("question", "answer"), " "),
+    "humaneval": (("prompt", "canonical_solution"), " \n "), "kodcode": (("question", "solution"), "\n"), "gsm8k": (("question", "answer"), "\n"), "mathqa": (("Problem", "answer"), " "), "arc_easy": (("question", "answer"), " "),
+    "arc_challenge": (("question", "answer"), " "), "hellaswag": (("ctx", "ending"), " "), "logiqa": (("context", "query", "option"), " "), "piqa": (("goal", "solution"), " "), "sciq": (("support", "question", "correct_answer"), ""), "medqa": (("question", "answer"), " "),
 }
 
 
@@ -61,6 +61,13 @@ def task_text(df: DataFrame, task: str) -> DataFrame:
     return df.withColumn("text", F.concat_ws(separator, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
 
 
+def split_name(split: Column) -> Column:
+    """The split that a source's own name stands for: train, or val for its test or validation part; others raise."""
+    name = F.lower(split)
+    held = ("test", "val", "valid", "validation")
+    return F.when(name == "train", "train").when(name.isin(*held), "val").when(split.isNull(), F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("no split is named "), split)).cast("string"))
+
+
 def materialize_once(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` to ``path`` unless a finished table is there already; read it."""
     spark = df.sparkSession
