@@ -168,3 +168,20 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     if column not in df.columns or df.schema[column].dataType.simpleString() != "string":
         raise ValueError(f"the corpus has no text column {column!r}; its columns are {', '.join(df.columns)}")
     return F.col(column)
+
+
+def image_crop(width: Column, height: Column, size: int, draw: Column) -> Column:
+    """(new_width, new_height, left, top): an image's short side is made ``size``, and a square cut out of the long one.
+
+    ``draw``: a whole random number. Null for images with a side under ``size``.
+    """
+    longer = lambda long, short: F.ceil(F.lit(float(size)) / short * long)
+    side = F.lit(size).cast("bigint")
+    new_width, new_height = F.when(width >= height, longer(width, height)).otherwise(side), F.when(width >= height, side).otherwise(longer(height, width))
+    place = lambda long: F.pmod(draw, long - size + 1)
+    return F.when(F.least(width, height) >= size, F.struct(new_width.alias("new_width"), new_height.alias("new_height"), place(new_width).alias("left"), place(new_height).alias("top")))
+
+
+def pixel_value(x: Column) -> Column:
+    """A byte of a pixel, from -1 to 1."""
+    return x / 255.0 * 2 - 1

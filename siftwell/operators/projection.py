@@ -108,3 +108,19 @@ def newton_schulz(g: np.ndarray, steps: int = 5) -> np.ndarray:
         s = x @ x.T
         x = a * x + (b * s + c * (s @ s)) @ x
     return x.T if g.shape[0] > g.shape[1] else x
+
+
+def choose_sizes(n_in: Column, n_out: Column, total: int, least: int = 1) -> Column:
+    """(k_in, k_out) near the ratio sqrt(n_out / n_in) whose product is nearest to ``total``.
+
+    A first guess and all within 2 of it are tried; of equals the guess wins, then the smallest.
+    Null for layers smaller than ``least`` either way.
+    """
+    n_in, n_out, low = n_in.cast("bigint"), n_out.cast("bigint"), F.lit(least).cast("bigint")
+    k_in = F.greatest(low, F.least(n_in, F.greatest(F.lit(1).cast("bigint"), F.bround(math.sqrt(total) * F.sqrt(n_out / n_in)).cast("bigint"))))
+    k_out = F.greatest(low, F.least(n_out, F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(total) / k_in))))
+    steps = [(0, 0), *[(d, e) for d in range(-2, 3) for e in range(-2, 3)]]
+    tried = F.array(*[F.struct(F.abs((k_in + d) * (k_out + e) - total).alias("error"), F.lit(n).alias("turn"), (k_in + d).alias("k_in"), (k_out + e).alias("k_out")) for n, (d, e) in enumerate(steps)])
+    fits = F.filter(tried, lambda s: s["k_in"].between(low, n_in) & s["k_out"].between(low, n_out))
+    best = F.array_min(fits)
+    return F.when((F.least(n_in, n_out) >= low) & (F.least(n_in, n_out) > 0), F.struct(best["k_in"].alias("k_in"), best["k_out"].alias("k_out")))

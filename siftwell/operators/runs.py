@@ -86,3 +86,22 @@ def special_tokens(config: Column) -> Column:
     table = F.map_entries(F.from_json(F.coalesce(F.get_json_object(config, "$.added_tokens_decoder"), F.lit("{}")), "map<string,string>"))
     added = F.transform(table, lambda e: F.struct(F.lit("added").alias("key"), e["key"].cast("bigint").alias("id"), F.get_json_object(e["value"], "$.content").alias("content")))
     return F.concat(named, F.filter(added, lambda s: s["content"].isNotNull()))
+
+
+def throughput(seconds: Column, n_tokens: Column, loading: Column, flops_per_token: float, peak_flops: float, model_ranks: int = 1) -> dict[str, Column]:
+    """Tokens a second of a device, its share of the peak and TFLOPS, and the share of time that went into loading data.
+
+    All are null where no time went by.
+    """
+    tps = n_tokens / F.nullif(seconds * model_ranks, F.lit(0.0))
+    return {"tps": tps, "mfu": 100 * flops_per_token * tps / peak_flops, "tflops": flops_per_token * tps / 1e12, "loading_share": 100 * loading / F.nullif(seconds, F.lit(0.0))}
+
+
+def weight_deltas(now: DataFrame, before: DataFrame, name: str = "name", values: str = "w") -> DataFrame:
+    """module, n, magnitude, relative: means over the parameters of a module (a name's first two parts) of the norm
+    of the change and of that over the parameter's norm. Parameters that one side lacks are left out."""
+    square = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    change = F.zip_with(F.col(values), F.col("_before"), lambda a, b: a - b)
+    both = now.select(name, values).join(before.select(name, F.col(values).alias("_before")), name)
+    each = both.select(F.substring_index(name, ".", 2).alias("module"), square(change).alias("_d"), square(F.col(values)).alias("_n"))
+    return each.groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("magnitude"), F.avg(F.col("_d") / (F.col("_n") + 1e-8)).alias("relative"))

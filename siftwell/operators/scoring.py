@@ -170,15 +170,37 @@ def scored_layers(rows: DataFrame, vectors: dict, side: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def rotated_scores(rows: DataFrame, val: dict, kernel: dict[int, np.ndarray], left: np.ndarray, right: np.ndarray) -> DataFrame:
-    """Scores after ``left`` b and ``right`` a (rotations, or projections to fewer rows), elementwise there."""
+def rotated_scores(rows: DataFrame, val: dict, kernel: dict[int, np.ndarray], left: np.ndarray | dict, right: np.ndarray | dict) -> DataFrame:
+    """Scores after ``left`` b and ``right`` a (rotations, or projections to fewer rows; of each layer if dicts), elementwise there.
+
+    Layers that have no rotation are scored as under plain descent.
+    """
     direction = {}
     for k in val:
-        c = kernel[k][: left.shape[0], : right.shape[0]]
-        direction[k] = left.T @ (c * np.outer(left @ val[k][1], right @ val[k][0])) @ right
+        u, w = (m.get(k) if isinstance(m, dict) else m for m in (left, right))
+        a, b = val[k]
+        if u is None or w is None or k not in kernel:
+            direction[k] = np.outer(b, a)
+        else:
+            direction[k] = u.T @ (kernel[k][: u.shape[0], : w.shape[0]] * np.outer(u @ b, w @ a)) @ w
     return scored(rows, direction)
 
 
+def rotated_state(states: dict[int, dict], t: int) -> tuple[dict, dict, dict]:
+    """Kernels, left and right rotations of each layer from an optimizer's state.
+
+    A state has its second moments ``v`` in rotated coordinates, and either ``Q`` (two matrices whose columns
+    are the basis) or ``projector`` (two matrices whose rows are); layers with neither are left out.
+    """
+    kernel, left, right = {}, {}, {}
+    for k, s in states.items():
+        if "v" not in s or not ("Q" in s or "projector" in s):
+            continue
+        left[k], right[k] = (m.T for m in s["Q"]) if "Q" in s else s["projector"]
+        kernel[k] = 1 / (np.sqrt(s["v"] / (1 - BETA2**t if t > 0 else 1.0)) + EPS)
+    return kernel, left, right
+
+
 def householder(width: int = 8) -> np.ndarray:
     """An orthogonal matrix that SQL can write down: I - 2 u u' / u'u with u = 1, 2, ..., width."""
     u = np.arange(1.0, width + 1)

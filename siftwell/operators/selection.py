@@ -67,3 +67,14 @@ def selection_stats(probabilities: DataFrame, score: str = "score") -> DataFrame
 
 def cosine(product: Column, norm_a: Column, norm_b: Column, eps: float = 1e-12) -> Column:
     return product / F.greatest(norm_a * norm_b, F.lit(eps))
+
+
+def replay_metric(rows: DataFrame, metric: str) -> Column:
+    """The logged dot, or its cosine; asking for a cosine of rows that were logged without norms raises."""
+    if metric == "dot_product":
+        return F.col("dot")
+    if metric != "cosine":
+        raise ValueError(f"no metric is named {metric!r}; there are dot_product, cosine")
+    if not {"train_grad_norm", "val_grad_norm"} <= set(rows.columns):
+        raise ValueError("a cosine needs train_grad_norm and val_grad_norm")
+    return cosine(F.col("dot"), F.col("train_grad_norm"), F.col("val_grad_norm"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,24 @@ def signum(g: Column, m: Column, momentum: float = 0.9) -> dict[str, Column]:
 def trust_ratio(weight_norm: Column, update_norm: Column) -> Column:
     """Norm of the weights over that of the update, 1 if either is 0."""
     return F.when((weight_norm > 0) & (update_norm > 0), weight_norm / update_norm).otherwise(1.0)
+
+
+def with_previous(states: DataFrame, param: str, step: str, moment: str = "v", name: str = "previous") -> DataFrame:
+    """``states`` and the moment at the same parameter's step before; at the first step its own."""
+    return states.withColumn(name, F.coalesce(F.lag(moment).over(Window.partitionBy(param).orderBy(step)), F.col(moment)))
+
+
+def adopt_kernel(previous: Column, t: Column, beta2: float = 0.999, eps: float = 1e-8) -> Column:
+    """1 over the corrected root of the moment of the step before (corrected as of step t - 1, at least 1)."""
+    return 1 / F.greatest(F.sqrt(previous / (1 - F.pow(F.lit(beta2), F.greatest(t - 1, F.lit(1))))), F.lit(eps))
+
+
+def raw_moment(gradients: DataFrame, param: str, t: str, g: str, beta2: float = 0.999) -> DataFrame:
+    """param, v: the moving average of squared gradients since 0 at each parameter's last step (t = 1, 2, ..., without correction).
+
+    In closed form, so that no series is held: each square weighs (1 - beta2) * beta2 ** (steps after it).
+    """
+    # a row for each parameter
+    last = gradients.groupBy(param).agg(F.max(t).alias("_last"))
+    weight = (1 - beta2) * F.pow(F.lit(beta2), F.col("_last") - F.col(t))
+    return gradients.join(last, param).groupBy(param).agg(F.sum(weight * F.col(g) ** 2).alias("v"))
