@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import ranking, tokens
-from siftwell.operators import corpus, projection, runs, schedules, scoring, selection, tokenize
+from siftwell.operators import corpus, layers, projection, runs, schedules, scoring, selection, tokenize, updates
 from siftwell.plans import metric_queries
 from siftwell.plans.registry import all_queries
 from siftwell.sinks import records, token_files
@@ -260,3 +260,98 @@ def test_character_lists_are_those_of_columns(spark):
     want = {r.doc_id: r.ids for r in df.select("doc_id", tokens.with_end(tokens.char_ids(F.coalesce("text", F.lit("")))).alias("ids")).collect()}
     assert {r.doc_id: r.ids for r in corpus.tokenized(df).collect()} == want
     assert corpus.char_lists(pa.array(texts).slice(1, 3), None).to_pylist() == [x[:-1] for x in list(want.values())[1:4]]
+
+
+def test_task_texts_by_separator(spark):
+    said = lambda task, **c: corpora.task_text(spark.createDataFrame([tuple(c.values())], ", ".join(f"{k} string" for k in c)), task).first().text
+    assert said("gsm8k", question="q", answer="a") == "q\na"
+    assert said("kodcode", question="q", solution="s") == "q\ns"
+    assert said("arc_easy", question="q", answer="a") == said("arc_challenge", question="q", answer="a") == "q a"
+    assert said("humaneval", prompt="p", canonical_solution=None) == "p \n "
+
+
+def test_split_names(spark):
+    df = spark.createDataFrame([("Train",), ("test",), ("validation",), (None,)], "s string")
+    assert [r[0] for r in df.select(corpora.split_name(F.col("s"))).collect()] == ["train", "val", "val", None]
+    with pytest.raises(Exception, match="no split is named"):
+        spark.createDataFrame([("dev",)], "s string").select(corpora.split_name(F.col("s"))).collect()
+
+
+def test_projection_sizes_are_the_nearest(spark):
+    shapes = [(n, m) for n in (1, 2, 7, 40, 300) for m in (1, 3, 8, 90, 1000)]
+    df = spark.createDataFrame(shapes, "n int, m int").withColumn("k", projection.choose_sizes(F.col("n"), F.col("m"), 256))
+    for r in df.collect():
+        k_in = max(1, min(r.n, max(1, round(16 * (r.m / r.n) ** 0.5))))
+        k_out = max(1, min(r.m, max(1, 256 // k_in)))
+        tried = [(k_in, k_out)] + [(a, b) for a in range(k_in - 2, k_in + 3) for b in range(k_out - 2, k_out + 3) if 1 <= a <= r.n and 1 <= b <= r.m]
+        assert (r.k.k_in, r.k.k_out) == min(tried, key=lambda p: abs(p[0] * p[1] - 256))
+    assert df.select(projection.choose_sizes(F.lit(2), F.lit(9), 256, least=3)).first()[0] is None
+
+
+def test_raw_moment_is_the_fold(spark):
+    g = np.random.default_rng(3).normal(size=200)
+    v = 0.0
+    for x in g:
+        v = 0.999 * v + 0.001 * x * x
+    df = spark.createDataFrame([("p", t + 1, float(x)) for t, x in enumerate(g)] + [("q", 1, 2.0)], "p string, t long, g double").repartition(5)
+    got = {r.p: r.v for r in updates.raw_moment(df, "p", "t", "g").collect()}
+    assert got["p"] == pytest.approx(v, rel=1e-9) and got["q"] == pytest.approx(0.004)
+    assert updates.raw_moment(df.limit(0), "p", "t", "g").count() == 0
+
+
+def test_embedding_norms_count_a_token_once(spark):
+    rows = spark.createDataFrame([(1, "e", 5, [1.0, 2.0]), (1, "e", 5, [3.0, -2.0]), (2, "e", 5, [1.0, 1.0]), (2, "e", 6, [1.0, 0.0]), (3, "e", None, [2.0, 0.0]), (4, "e", 5, None)], "sample_id long, layer string, tok long, b array<double>").withColumn("a", F.lit(None).cast("array<double>"))
+    got = {r.sample_id: r.norm2 for r in layers.squared_norms(layers.vector_gradients(rows, "embedding")).collect()}
+    assert got == {1: 16.0, 2: 3.0, 3: 4.0}
+    with pytest.raises(ValueError, match="no kind"):
+        layers.vector_gradients(rows, "nope")
+
+
+def test_layer_norm_gradients_by_numpy(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(6, 8)), rng.normal(size=(6, 8))
+    rows = spark.createDataFrame([(k // 2, "n", a[k].tolist(), b[k].tolist()) for k in range(6)], "sample_id long, layer string, a array<double>, b array<double>")
+    hat = (a - a.mean(1, keepdims=True)) / np.sqrt(a.var(1, keepdims=True) + 1e-5)
+    want = {(s, part, i): g[2 * s : 2 * s + 2, i].sum() for part, g in (("weight", hat * b), ("bias", b)) for s in range(3) for i in range(8)}
+    got = {(r.sample_id, r.part, r.i): r.g for r in layers.vector_gradients(rows, "layernorm").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    train, val = ([layers.vector_gradients(rows.filter(c), "layernorm")] for c in ("sample_id < 2", "sample_id = 2"))
+    vec = lambda s: np.array([want[s, p, i] for p in ("weight", "bias") for i in range(8)])
+    for r in layers.dot_totals(train, val).collect():
+        assert (r.dot, r.train_grad_norm, r.val_grad_norm) == pytest.approx((vec(r.sample_id) @ vec(2), np.linalg.norm(vec(r.sample_id)), np.linalg.norm(vec(2))))
+    assert layers.dot_totals(train, [val[0].limit(0)]).first().dot == 0
+
+
+def test_cosines_need_norms(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, 4.0)], "dot double, train_grad_norm double, val_grad_norm double")
+    assert rows.select(selection.replay_metric(rows, "cosine")).first()[0] == 0.125
+    with pytest.raises(ValueError, match="train_grad_norm"):
+        selection.replay_metric(rows.drop("val_grad_norm"), "cosine")
+
+
+def test_layers_without_a_stored_rotation_are_scored_plainly(spark):
+    rows = spark.createDataFrame([(1, 0, k, [1.0, 2.0], [3.0, 4.0]) for k in range(2)], "sample_id long, step long, layer int, a array<double>, b array<double>")
+    val = {k: (np.array([1.0, -1.0]), np.array([0.5, 2.0])) for k in range(2)}
+    turn = np.array([[0.6, 0.8], [-0.8, 0.6]])
+    states = {0: {"v": np.ones((2, 2)), "Q": (turn, turn)}, 1: {"v": np.ones((2, 2))}}
+    kernel, left, right = scoring.rotated_state(states, 3)
+    assert set(kernel) == {0}
+    a, b = np.array([1.0, 2.0]), np.array([3.0, 4.0])
+    va, vb = val[0]
+    one = (turn.T @ b) @ (kernel[0] * np.outer(turn.T @ vb, turn.T @ va)) @ (turn.T @ a)
+    assert scoring.rotated_scores(rows, val, kernel, left, right).first().score == pytest.approx(one + (b @ vb) * (a @ va))
+
+
+def test_crops_lie_inside(spark):
+    df = spark.createDataFrame([(w, h, d) for w in (255, 256, 300, 1001) for h in (256, 257, 999) for d in (0, 10**12 + 7, -5)], "w long, h long, d long").select("w", "h", corpus.image_crop(F.col("w"), F.col("h"), 256, F.col("d")).alias("x"))
+    for r in df.collect():
+        assert (r.x is None) == (r.w < 256)
+        if r.x:
+            assert min(r.x.new_width, r.x.new_height) == 256 and 0 <= r.x.left <= r.x.new_width - 256 and 0 <= r.x.top <= r.x.new_height - 256
+
+
+def test_weight_deltas_leave_out_new_parameters(spark):
+    now = spark.createDataFrame([("layers.0.w", [3.0, 4.0]), ("layers.0.v", [1.0, 0.0]), ("head", [2.0]), ("layers.1.w", [1.0])], "name string, w array<double>")
+    before = spark.createDataFrame([("layers.0.w", [0.0, 0.0]), ("layers.0.v", [1.0, 0.0]), ("head", [1.0])], "name string, w array<double>")
+    got = {r.module: (r.n, r.magnitude, r.relative) for r in runs.weight_deltas(now, before).collect()}
+    assert got == {"layers.0": (2, 2.5, pytest.approx(0.5)), "head": (1, 1.0, pytest.approx(0.5))}
