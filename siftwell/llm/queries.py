@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import fingerprints, line_crf, near_dups, packing, rule_quality, token_counts, token_files, toxicity, tree_bpe, warc
+from siftwell.llm import fingerprints, line_crf, near_dups, ngram_join, packing, rule_quality, token_counts, token_files, toxicity, tree_bpe, turns, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,18 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), similar=0.8).select("doc_id", "class_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), percent=90)
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,6 +89,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
     "op10_near_dups": op10_near_dups,
+    "op11_whitening": op11_whitening,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_turn_repair": op13_turn_repair,
     "pipeline": pipeline,
 }
 #: SQL for those that SQL can express; tokenizers, models and files are beyond it.

@@ -545,6 +545,8 @@ def test_registered_queries(spark):
     sf = "/root/testdata/sf0.001"
     n = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages")}
     for name, run in QUERIES.items():
+        if name in ("op11_whitening", "op12_ngram_join", "op13_turn_repair"):  # test_pairs_turns.py compares their rows
+            continue
         found = run(spark, sf)
         if name in ("op1_pack", "pipeline"):
             assert found.select("doc_id").distinct().count() <= n["documents"]
