@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,11 @@ from siftwell.llm.near_dups import BACK, BYTES, HASHED_TOGETHER, PLACES, POWERS,
 #: Words in a shingle, and least similarity in hundredths.
 WORDS, PERCENT = 3, 90
 #: Document frequencies are counted in hashed buckets, a table of fixed size in chunks; partial sums are salted.
-BUCKET_BITS, CHUNKS, SALTS = 22, 16, 32
+BUCKET_BITS, CHUNKS, SALTS = 24, 32, 32
+#: Shingles that a task counts together, and the level of a bucket that one shingle of one document is in.
+TOGETHER_COUNTED, ALONE = 1 << 22, 6
 #: Classes of shingles by whose counts the suffix filter bounds what two sets differ in.
-CLASSES = 32
+CLASSES = 64
 #: Rows of a shingle's group, and pairs of one set, that one task joins.
 TOGETHER = 10_000
 #: Candidate pairs for each row of the groups, beyond which groups are linked through one member first.
@@ -89,36 +92,51 @@ def buckets(keys: np.ndarray) -> np.ndarray:
 def frequency_levels(texts: DataFrame) -> np.ndarray:
     """How frequent the shingles of each bucket are in documents, in 256 levels of some tenth more each.
 
-    Tasks send compressed partial counts, which are summed in two rounds; the driver gets a byte for each
-    bucket. A bucket is as frequent as all its shingles together, so at any size the frequent ones stand out
-    from the others' noise. Any order that is one for all sets gives the same links.
+    Tasks send the buckets that they have met and their counts, which are summed in two rounds; the driver gets a
+    byte for each bucket. A bucket is as frequent as all its shingles together, so at any size the frequent ones
+    stand out from the others' noise. Any order that is one for all sets gives the same links.
     """
     size = (1 << BUCKET_BITS) // CHUNKS
-    names = ["chunk", "salt", "counts"]
 
-    def packed(sums: dict[int, np.ndarray], salt: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([salt] * len(sums), pa.int32()), pa.array([zlib.compress(v.astype("<u8").tobytes(), 1) for v in sums.values()], pa.binary())], names=names)
+    def packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "salt", "counts"])
+
+    def written(places: np.ndarray, counts: np.ndarray) -> bytes:
+        """Places in order, as steps, and counts."""
+        steps = np.diff(places, prepend=0).astype("<u4")
+        return zlib.compress(np.concatenate([steps, np.minimum(counts, (1 << 32) - 1).astype("<u4")]).tobytes(), 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BUCKET_BITS, np.uint32)
+        salt, held, n = TaskContext.get().partitionId() % SALTS, [], 0
+
+        def counted() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(found, np.arange(CHUNKS + 1) * size)
+            return packed([(c, salt, written(found[a:b] - c * size, times[a:b])) for c, (a, b) in enumerate(pairwise(cuts.tolist())) if b > a])
+
         for batch in batches:
             for some in in_portions(batch.column(0).to_pylist()):
-                np.add.at(table, buckets(shingle_sets(some)[0]), 1)
-        found = {c: part for c, part in enumerate(table.reshape(CHUNKS, size)) if part.any()}
-        if found:
-            yield packed(found, TaskContext.get().partitionId() % SALTS)
+                held.append(buckets(shingle_sets(some)[0]).astype(np.int32))
+                n += len(held[-1])
+                if n >= TOGETHER_COUNTED:
+                    yield counted()
+                    held, n = [], 0
+        if n:
+            yield counted()
 
     def add(batches: Iterator[pa.RecordBatch], last: bool = False) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(data), "<u8")
-                sums[c] = sums[c] + part if c in sums else part
-        if sums and last:
-            levels = {c: np.minimum(np.log1p(v.astype(float)) * 10, 255).astype(np.uint8) for c, v in sums.items()}
-            yield pa.RecordBatch.from_arrays([pa.array(levels.keys(), pa.int32()), pa.array([0] * len(levels), pa.int32()), pa.array([v.tobytes() for v in levels.values()], pa.binary())], names=names)
-        elif sums:
-            yield packed(sums, 0)
+                steps, counts = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1)
+                table = sums.setdefault(c, np.zeros(size, np.int64))
+                table[steps.cumsum(dtype=np.int64)] += counts
+        for c, table in sums.items():
+            if last:
+                yield packed([(c, 0, np.minimum(np.log1p(table) * 10, 255).astype(np.uint8).tobytes())])
+            else:
+                places = np.flatnonzero(table)
+                yield packed([(c, 0, written(places, table[places]))])
 
     schema = "chunk int, salt int, counts binary"
     partial = texts.select("text").mapInArrow(count, schema).repartition("chunk", "salt").mapInArrow(add, schema)
@@ -129,26 +147,35 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
 
 
 def signed(texts: DataFrame, levels: np.ndarray, percent: int, kind: str) -> DataFrame:
-    """doc_id, key (of the text), node (digest of the set; null if it is empty), size, prefix (its first shingles), classes (counts of its shingles by class)."""
+    """doc_id, key (of the text), node (digest of the set; null if it is empty), size, prefix, at, classes (counts of its shingles by class).
+
+    The prefix is the set's first shingles without those that no other document can have, which stand before them; at
+    is its first one's place.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prefixes, classes = [], [], [], []
+            nodes, sizes, prefixes, places, classes = [], [], [], [], []
             for some in in_portions(batch.column(2).to_pylist()):
                 keys, n = shingle_sets(some)
                 row, level = np.repeat(np.arange(len(some)), n), shared.value[buckets(keys)]
                 # within a text the hashes are in order already
                 rare = keys[np.argsort(row * 256 + level, kind="stable")].view(np.int64)
+                alone = np.bincount(row[level <= ALONE], minlength=len(some)).tolist()
                 split = np.bincount(row * CLASSES + (keys & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(some) * CLASSES).reshape(-1, CLASSES)
+                split = np.minimum(split, 255).astype(np.uint8)
                 for i, (at, k) in enumerate(zip((n.cumsum() - n).tolist(), n.tolist(), strict=True)):
                     nodes.append(xxhash.xxh3_128_digest(keys[at : at + k].tobytes()) if k else None)
                     sizes.append(k)
-                    prefixes.append(rare[at : at + k + 1 - (percent * k + 99) // 100] if k else rare[:0])
-                    classes.append(split[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int32()))], names=["doc_id", "key", "node", "size", "prefix", "classes"])
+                    end = k + 1 - (percent * k + 99) // 100 if k else 0
+                    places.append(min(alone[i], end))
+                    prefixes.append(rare[at + places[-1] : at + end])
+                    classes.append(split[i].tobytes())
+            columns = [pa.array(c, t) for c, t in ((nodes, pa.binary()), (sizes, pa.int64()), (prefixes, pa.list_(pa.int64())), (places, pa.int64()), (classes, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "key", "node", "size", "prefix", "at", "classes"])
 
-    return texts.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key binary, node binary, size long, prefix array<long>, classes array<int>")
+    return texts.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key binary, node binary, size long, prefix array<long>, at long, classes binary")
 
 
 def least_common(size: Column, other: Column, percent: int) -> Column:
@@ -157,7 +184,7 @@ def least_common(size: Column, other: Column, percent: int) -> Column:
 
 
 def can_be_similar(x: str, y: str, percent: int, first: bool) -> Column:
-    """Length, positional and suffix filter of rows ``x`` and ``y`` of a shingle's group; y isn't the larger set.
+    """Length and positional filter of rows ``x`` and ``y`` of a shingle's group; y isn't the larger set.
 
     With ``first`` the shared shingle counts as the first that the two share: a similar pair passes at that one.
     Without, no more is said than that they share it.
@@ -165,10 +192,7 @@ def can_be_similar(x: str, y: str, percent: int, first: bool) -> Column:
     sx, sy, px, py = (F.col(f"{a}.{c}") for c in ("size", "pos") for a in (x, y))
     rest = F.least(sx - px, sy - py)
     common = rest if first else rest + F.least(px, py)
-    # what is in the sets of one class and can't be in both
-    apart = F.aggregate(F.zip_with(F.col(f"{x}.classes"), F.col(f"{y}.classes"), lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v)
-    need = least_common(sx, sy, percent)
-    return (sy <= sx) & (sy * 100 >= sx * percent) & (common >= need) & (apart <= sx + sy - 2 * need)
+    return (sy <= sx) & (sy * 100 >= sx * percent) & (common >= least_common(sx, sy, percent))
 
 
 def pair(x: str, y: str) -> list[Column]:
@@ -176,11 +200,11 @@ def pair(x: str, y: str) -> list[Column]:
 
 
 def shared_rows(nodes: DataFrame, percent: int) -> DataFrame:
-    """Rows (token, nid, size, pos, classes, indexed) of the prefix shingles that two sets or more have.
+    """Rows (token, nid, size, pos, indexed, n) of the prefix shingles that two sets or more have.
 
     A row is indexed if the shingle stands so early that a set of no smaller size can be similar.
     """
-    rows = nodes.select("nid", "size", "classes", F.posexplode("prefix").alias("pos", "token"))
+    rows = nodes.select("nid", "size", "at", F.posexplode("prefix").alias("k", "token")).select("nid", "size", (F.col("at") + F.col("k")).alias("pos"), "token")
     rows = rows.withColumn("indexed", F.col("pos") <= F.col("size") - least_common(F.col("size"), F.col("size"), percent))
     groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("indexed").alias("indexed_n")).filter("n > 1 and indexed_n > 0").select("token", "n")
     return materialize(join_to_one(rows, materialize(groups, "groups"), "token", "n", ["nid"], TOGETHER), "shared")
@@ -199,8 +223,8 @@ def open_groups(rows: DataFrame) -> tuple[DataFrame, int, int]:
 
 def star_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of a member of each group, chosen by a hash, and the others."""
-    groups = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "nid").alias("h"), "nid", "size", "pos", "classes", "comp")).alias("x"), F.count(F.lit(1)).alias("m"))
-    met = join_to_one(rows, groups.select("token", "x", "m"), "token", "m", ["nid"], TOGETHER).select("x", F.struct("nid", "size", "pos", "classes", "comp").alias("y")).filter("x.comp <> y.comp")
+    groups = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "nid").alias("h"), "nid", "size", "pos", "comp")).alias("x"), F.count(F.lit(1)).alias("m"))
+    met = join_to_one(rows, groups.select("token", "x", "m"), "token", "m", ["nid"], TOGETHER).select("x", F.struct("nid", "size", "pos", "comp").alias("y")).filter("x.comp <> y.comp")
     return met.filter(can_be_similar("x", "y", percent, False) | can_be_similar("y", "x", percent, False)).select(*pair("x", "y")).distinct()
 
 
@@ -222,6 +246,22 @@ def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return out[0].union(out[1]).distinct()
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the suffix filter: by the counts of both sets' shingles in classes they needn't differ in too many."""
+    for c in "ab":
+        own = nodes.join(pairs.groupBy(F.col(c).alias("nid")).agg(F.count(F.lit(1)).alias("n")), "nid").select(F.col("nid").alias(c), F.col("size").alias(f"size_{c}"), F.col("classes").alias(f"classes_{c}"), "n")
+        pairs = join_to_one(pairs, own, c, "n", ["b" if c == "a" else "a"], TOGETHER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int32) for k in (3, 5))
+            sizes = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(4).to_numpy(zero_copy_only=False)
+            need = -(-sizes * percent // (100 + percent))
+            yield batch.select(["a", "b"]).filter(pa.array(np.abs(x - y).sum(axis=1) <= sizes - 2 * need))
+
+    return pairs.select("a", "b", "size_a", "classes_a", "size_b", "classes_b").mapInArrow(run, "a long, b long")
+
+
 def sets_of(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """(nid, shingles): the sets of the nodes ``wanted`` (nid), from one text of each."""
     keyed = materialize(wanted.join(nodes, "nid").select("nid", "rep.doc_id", F.col("rep.key").alias("wanted_key"), "copies").withColumnRenamed("doc_id", "rep_id"), "wanted")
@@ -275,8 +315,7 @@ def similar_links(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     rows = shared_rows(nodes, percent)
     if rows.isEmpty():
         return None
-    sets = sets_of(texts, nodes, rows.select("nid").distinct())
-    links, tried, labels, before, turn = None, None, None, None, 0
+    sets, links, tried, labels, before, turn = None, None, None, None, None, 0
     while True:
         named = rows.withColumn("comp", F.col("nid")) if labels is None else rows.join(labels, rows["nid"] == labels["node"], "left").withColumn("comp", F.coalesce("root", "nid")).drop("node", "root")
         found, n, pairs = open_groups(named.drop("n"))
@@ -287,7 +326,12 @@ def similar_links(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
         star = pairs > PAIRS_A_ROW * n and (before is None or 2 * pairs <= before)
         new = star_pairs(found, percent, turn) if star else all_pairs(found, percent)
         new = materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        good = materialize(verified(new, sets, percent), "similar")
+        likely = materialize(plausible(new, nodes, percent), "likely")
+        # sets are made of the nodes of likely pairs alone, and once
+        wanted = likely.select(F.col("a").alias("nid")).union(likely.select("b")).distinct()
+        more = sets_of(texts, nodes, wanted if sets is None else wanted.join(sets, "nid", "left_anti"))
+        sets = more if sets is None else sets.union(more)
+        good = materialize(verified(likely, sets, percent), "similar")
         links = good if links is None else links.union(good)
         if not good.isEmpty():
             labels = materialize(components(links), "labels")
@@ -313,7 +357,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc
     texts = id_and_text(docs, id_col, text_col).withColumn("key", F.unhex(F.md5(F.encode("text", "utf-8"))))
     all_rows = materialize(signed(texts, frequency_levels(texts), percent, kind), "signed")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("rep")
-    grouped = all_rows.filter("size > 0").groupBy("node").agg(rep, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", "prefix", "classes")])
+    grouped = all_rows.filter("size > 0").groupBy("node").agg(rep, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", "prefix", "at", "classes")])
     # numbered before it is written, so the numbers stay
     nodes = materialize(grouped.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     labels = similar_links(texts, nodes, percent)
