@@ -5,7 +5,7 @@ of their first shingles (the prefix), so prefixes are joined by shingle. What th
 sizes and the places of a shared shingle say about the most that two sets can have in common
 leaves few pairs: the length, positional and suffix filters. Each pair left is verified once, by
 its sets. Pairs that are already of one component are not tried, and a group of a shingle that
-many sets have is first linked through one of its members, so that large groups of copies are
+many sets have is first linked through some of its members, so that large groups of copies are
 never paired in full.
 """
 
@@ -35,8 +35,8 @@ TOGETHER_COUNTED, ALONE = 1 << 22, 6
 CLASSES = 64
 #: Rows of a shingle's group, and pairs of one set, that one task joins.
 TOGETHER = 10_000
-#: Candidate pairs for each row of the groups, beyond which groups are linked through one member first.
-PAIRS_A_ROW = 2
+#: Candidate pairs for each row of the groups, beyond which groups are linked through some members first, and how many.
+PAIRS_A_ROW, CENTRES = 2, 8
 #: Keys of texts that all tasks get at most; more are joined by a shuffle.
 MOST_SENT = 1 << 20
 
@@ -222,10 +222,17 @@ def open_groups(rows: DataFrame) -> tuple[DataFrame, int, int]:
 
 
 def star_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of a member of each group, chosen by a hash, and the others."""
-    groups = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "nid").alias("h"), "nid", "size", "pos", "comp")).alias("x"), F.count(F.lit(1)).alias("m"))
-    met = join_to_one(rows, groups.select("token", "x", "m"), "token", "m", ["nid"], TOGETHER).select("x", F.struct("nid", "size", "pos", "comp").alias("y")).filter("x.comp <> y.comp")
-    return met.filter(can_be_similar("x", "y", percent, False) | can_be_similar("y", "x", percent, False)).select(*pair("x", "y")).distinct()
+    """Pairs (a, b) of some members of each group, chosen by hashes, and all others.
+
+    The least hashes choose them, so groups that share members mostly choose the same ones.
+    """
+    least = [F.min(F.struct(F.xxhash64(F.lit(turn * CENTRES + k), "nid").alias("h"), "nid", "size", "pos", "comp")) for k in range(CENTRES)]
+    groups = rows.groupBy("token").agg(F.array_distinct(F.transform(F.array(*least), lambda x: x.dropFields("h"))).alias("xs"), F.count(F.lit(1)).alias("m"))
+    met = join_to_one(rows, groups, "token", "m", ["nid"], TOGETHER).select(F.struct("nid", "size", "pos", "comp").alias("y"), "xs")
+    # filtered before rows are made of them
+    apart = F.filter("xs", lambda x: (x["comp"] != F.col("y.comp")) & (F.least(x["size"], F.col("y.size")) * 100 >= F.greatest(x["size"], F.col("y.size")) * percent))
+    spread = met.select("y", F.explode(apart).alias("x"))
+    return spread.filter(can_be_similar("x", "y", percent, False) | can_be_similar("y", "x", percent, False)).select(*pair("x", "y")).distinct()
 
 
 def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -322,7 +329,7 @@ def similar_links(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
         if not pairs:
             return labels
         found = materialize(found, "rows")
-        # groups are linked through one member as long as that halves what is left to try
+        # groups are linked through some members as long as that halves what is left to try
         star = pairs > PAIRS_A_ROW * n and (before is None or 2 * pairs <= before)
         new = star_pairs(found, percent, turn) if star else all_pairs(found, percent)
         new = materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
