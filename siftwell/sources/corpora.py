@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.functions.tokens import domain_file
+from siftwell.sources.archives import latex_corpus
+
 
 @dataclass(frozen=True)
 class Corpus:
@@ -20,7 +23,7 @@ class Corpus:
 # Names that users give, and the share of documents held back for validation.
 CORPORA: dict[str, Corpus] = {
     "c4": Corpus(share=0.0001), "fineweb": Corpus(share=0.0001), "finewebedu": Corpus(share=0.0001), "openwebtext2": Corpus(), "redpajama": Corpus(), "redpajamav2": Corpus(text="raw_content"),
-    "slimpajama": Corpus(), "slimpajama_chunk1": Corpus(), "wikitext": Corpus(share=None, format="text"), "shakespeare-char": Corpus(share=None, format="text"), "arxiv": Corpus(share=None),
+    "slimpajama": Corpus(), "slimpajama_chunk1": Corpus(), "wikitext": Corpus(share=None, format="text"), "shakespeare-char": Corpus(share=None, format="text"), "arxiv": Corpus(share=None, format="latex"),
 }
 CORPORA |= {name: Corpus(share=None, format="json") for k in range(1, 38) for name in {f"recipe_{k}", f"recipe_{k:02d}"}}
 
@@ -31,6 +34,22 @@ TASKS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+# The domains of a corpus that is kept in a file for each, and what a split's files begin with.
+DOMAINS = (
+    "Pile-CC", "Github", "StackExchange", "HackerNews", "Wikipedia (en)", "ArXiv", "DM Mathematics", "PubMed Abstracts", "PubMed Central", "NIH ExPorter", "EuroParl", "PhilPapers", "USPTO Backgrounds", "FreeLaw", "Gutenberg (PG-19)", "Enron Emails",
+)
+SPLIT_FILES = {"train": "train", "val": "validation", "test": "test"}
+
+
+def domain_files(spark: SparkSession, folder: str, domains: tuple[str, ...] = DOMAINS) -> DataFrame:
+    """name, split, path: where each domain's file of each split is. A name that isn't a domain's raises."""
+    if unknown := sorted(set(domains) - set(DOMAINS)):
+        raise ValueError(f"no domain is named {', '.join(unknown)}; there are {', '.join(DOMAINS)}")
+    names = spark.createDataFrame([(d,) for d in domains], "name string")
+    splits = F.explode(F.create_map(*[F.lit(x) for kv in SPLIT_FILES.items() for x in kv])).alias("split", "head")
+    return names.select("name", splits).select("name", "split", F.concat(F.lit(f"{folder.rstrip('/')}/"), "split", F.lit("/"), "head", F.lit("-"), domain_file(F.col("name")), F.lit(".bin")).alias("path"))
+
+
 def corpus(name: str) -> Corpus:
     """The corpus of a name in any case; unknown names raise."""
     found = CORPORA.get(name.lower())
@@ -44,6 +63,8 @@ def read_corpus(spark: SparkSession, name: str, path: str) -> DataFrame:
     kind = corpus(name)
     if kind.format == "text":
         return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+    if kind.format == "latex":
+        return latex_corpus(spark, path)
     reader = spark.read.json(path, pathGlobFilter="shard_*.jsonl") if kind.format == "json" else spark.read.parquet(path)
     return reader if kind.text == "text" else reader.withColumnRenamed(kind.text, "text")
 
