@@ -51,15 +51,17 @@ def char_lists(texts: pa.Array, end: int | None) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]), pa.int32()), pa.array(out))
 
 
-def tokenized(docs: DataFrame, end: int = END) -> DataFrame:
-    """doc_id, ids (characters and the end id) and len. A null text is empty."""
+def tokenized(docs: DataFrame, end: int = END, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids (characters and the end id), len and the columns ``keep``. A null text is empty."""
+    kept = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = char_lists(batch.column(1), end)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, ids.value_lengths().cast(pa.int64())], names=["doc_id", "ids", "len"])
+            ids = char_lists(batch.column(len(kept)), end)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids, ids.value_lengths().cast(pa.int64())], names=[*kept, "ids", "len"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, len bigint")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(*kept, "text").mapInArrow(run, f"{kinds}, ids array<int>, len bigint")
 
 
 def document_starts(lengths: DataFrame, id_col: str = "doc_id", len_col: str = "len") -> DataFrame:
@@ -185,3 +187,16 @@ def image_crop(width: Column, height: Column, size: int, draw: Column) -> Column
 def pixel_value(x: Column) -> Column:
     """A byte of a pixel, from -1 to 1."""
     return x / 255.0 * 2 - 1
+
+
+def common_divisor(a: Column, b: Column) -> Column:
+    """The greatest common divisor of two whole numbers above 0, by Euclid's steps."""
+    # 48 steps are enough for 32-bit numbers
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(48)), F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")), lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("bigint")).otherwise(F.pmod(s["a"], F.greatest(s["b"], F.lit(1).cast("bigint")))).alias("b")))
+    return steps["a"]
+
+
+def chunk_size(batch: Column, asked: Column) -> Column:
+    """The largest divisor of a batch that is no larger than asked for; 1 where less than one is asked for."""
+    found = F.filter(F.sequence(F.lit(1).cast("bigint"), F.greatest(asked.cast("bigint"), F.lit(1).cast("bigint"))), lambda d: batch % d == 0)
+    return F.array_max(found)

@@ -2,7 +2,7 @@
 
 A sample's gradient of such a parameter has as many numbers as the layer is wide (for an embedding,
 as many for each token of the sample), so it is a table of numbers: sample_id, layer, part, token, i, g.
-Linear layers and convolutions go through ``scoring``.
+Linear layers and convolutions go through ``blocks``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.operators import scoring
+from siftwell.operators import blocks
 
 #: What tells one number of a parameter from another.
 PLACE = ["layer", "part", "token", "i"]
@@ -60,8 +60,8 @@ def mean_gradients(gradients: DataFrame) -> DataFrame:
 
 
 def conv1d_gradient(rows: DataFrame) -> DataFrame:
-    """layer, o, i, g as ``scoring.gradient``, of layers that hold their weights input by output."""
-    return scoring.gradient(rows).select("layer", F.col("i").alias("o"), F.col("o").alias("i"), "g")
+    """layer, o, i, g: the mean gradients of layers that hold their weights input by output."""
+    return blocks.entries(blocks.gradient(rows)).select("layer", F.col("i").alias("o"), F.col("o").alias("i"), F.col("x").alias("g"))
 
 
 def squared_norms(gradients: DataFrame) -> DataFrame:

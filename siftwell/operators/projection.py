@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +29,63 @@ def gaussian(spark: SparkSession, rows: int, cols: int, seed: int) -> DataFrame:
     return grid(spark, rows, cols).withColumn("p", F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * v) / math.sqrt(rows))
 
 
+#: Rows of a tall matrix that one task takes, and triangles that one task merges.
+TALL_ROWS, FAN = 8192, 16
+
+
+def triangle(tall: DataFrame, parts: int) -> DataFrame:
+    """``values``: the rows of the triangle R of a tall matrix (a row ``values`` for each of its rows), in ``parts`` triangles, one below another.
+
+    A task goes through its rows with the triangle of those before, so it holds one batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = None
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
+            r = np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r")
+        if r is not None:
+            r = r * np.where(np.diag(r)[: len(r)] < 0, -1.0, 1.0)[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(r.tolist(), pa.list_(pa.float64()))], names=["values"])
+
+    return tall.select("values").repartition(parts).mapInArrow(run, "values array<double>")
+
+
+def with_orthonormal_columns(tall: DataFrame, rows: int) -> DataFrame:
+    """``tall`` (k, values: a row of a tall matrix of ``rows`` rows) with orthonormal columns of the same span, R's diagonal positive.
+
+    Triangles of parts are merged in a tree; the last one, as small as the matrix is narrow, goes to all tasks,
+    which solve their rows by it. Once more removes what rounding left.
+    """
+
+    def solved(r: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
+                q = np.linalg.solve(np.array(r).T, x.T).T
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q.tolist(), pa.list_(pa.float64()))], names=["k", "values"])
+
+        return run
+
+    for _ in range(2):
+        parts = max(1, -(-rows // TALL_ROWS))
+        r = triangle(tall, parts)
+        while parts > 1:
+            parts = -(-parts // FAN)
+            r = triangle(r, parts)
+        # as many rows as the matrix has columns: the zeros before the diagonal tell their order
+        last = sorted((list(row.values) for row in r.select("values").toLocalIterator()), key=lambda row: next((i for i, x in enumerate(row) if x), len(row)))
+        tall = tall.mapInArrow(solved(last), "k bigint, values array<double>")
+    return tall
+
+
 def orthonormal(spark: SparkSession, rows: int, cols: int, seed: int) -> DataFrame:
-    """Orthonormal rows in double precision: the Q of Gaussian numbers (the matrix fits the driver, as a projection does)."""
+    """o, k, p: orthonormal rows, of Gaussian numbers by Gram and Schmidt's process, row after row."""
     if rows > cols:
         raise ValueError(f"{rows} rows of {cols} numbers can't be orthonormal")
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((cols, rows)))
-    q = q * np.sign(np.diag(r))
-    return spark.createDataFrame([(o, k, float(q[k, o])) for o in range(rows) for k in range(cols)], "o bigint, k bigint, p double")
+    number = lambda o: F.sqrt(-2 * F.ln(hash01(f"{seed}u", o, F.col("k")))) * F.cos(2 * F.pi() * hash01(f"{seed}v", o, F.col("k")))
+    tall = spark.range(cols).withColumnRenamed("id", "k").withColumn("values", F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), number))
+    return with_orthonormal_columns(tall, cols).select(F.posexplode("values").alias("o", "p"), "k").select(F.col("o").cast("bigint").alias("o"), "k", "p")
 
 
 #: Makers of projection matrices by name: (spark, rows, cols, seed).
@@ -93,23 +144,18 @@ def restricted(vectors: DataFrame, slices: DataFrame, wanted: list[str], vector:
     return vectors.withColumn(vector, F.concat(*parts))
 
 
+def matching_layers(layers: DataFrame, patterns: list[str], name: str = "layer") -> DataFrame:
+    """The layers whose name has any of the patterns in it; none at all raises when the rows are made."""
+    any_of = F.exists(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(F.col(name), p)) if patterns else F.lit(False)
+    n = layers.agg(F.assert_true(F.count_if(any_of) > 0, F.lit(f"no layer matches {', '.join(patterns)}")).alias("_checked"))  # one row
+    return layers.filter(any_of).join(F.broadcast(n), F.col("_checked").isNull()).drop("_checked")
+
+
 def target_layers(layers: DataFrame, name: str = "layer", kind: str = "kind", out: str = "out", widest: int = 32768) -> DataFrame:
     """Linear layers but the output head and those as wide as a vocabulary."""
     return layers.filter((F.col(kind) == "Linear") & ~F.col(name).contains("lm_head") & (F.col(out) <= widest))
 
 
-def newton_schulz(g: np.ndarray, steps: int = 5) -> np.ndarray:
-    """An approximately orthogonal matrix near ``g``'s: singular values are driven near 1 by an odd quintic polynomial."""
-    if g.ndim != 2:
-        raise ValueError("only matrices have singular values")
-    a, b, c = 3.4445, -4.7750, 2.0315  # fixed values: the polynomial's coefficients
-    x = (g.T if g.shape[0] > g.shape[1] else g) / (np.linalg.norm(g) + 1e-7)
-    for _ in range(steps):
-        s = x @ x.T
-        x = a * x + (b * s + c * (s @ s)) @ x
-    return x.T if g.shape[0] > g.shape[1] else x
-
-
 def choose_sizes(n_in: Column, n_out: Column, total: int, least: int = 1) -> Column:
     """(k_in, k_out) near the ratio sqrt(n_out / n_in) whose product is nearest to ``total``.
 

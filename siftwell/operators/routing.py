@@ -47,12 +47,30 @@ def updated_biases(chosen: DataFrame, biases: DataFrame, rate: float = 1e-3) ->
     return moved.select("expert", "n", (F.col("bias") + F.col("_step") - F.avg("_step").over(every)).alias("bias"))
 
 
+def log_probability(logits: DataFrame) -> DataFrame:
+    """``logits`` and lp: the log-softmax over a token's experts, finite however far apart the logits are."""
+    every = Window.partitionBy("tok")  # a row for each expert
+    top = F.max("z").over(every)
+    return logits.withColumn("_top", top).withColumn("lp", F.col("z") - F.col("_top") - F.ln(F.sum(F.exp(F.col("z") - F.col("_top"))).over(every))).drop("_top")
+
+
 def balance_loss(logits: DataFrame, k: int, log_space: bool = False) -> DataFrame:
-    """One row: experts times the mean over experts of (share of tokens that choose it) times (its mean probability)."""
-    p = with_probability(logits)
-    counted = p.join(top_experts(p, k).select("tok", "expert", F.lit(1.0).alias("_in")), ["tok", "expert"], "left")
-    mean = F.exp(F.ln(F.avg(F.exp(F.ln("p"))))) if log_space else F.avg("p")
-    experts = counted.groupBy("expert").agg(F.avg(F.coalesce("_in", F.lit(0.0))).alias("f"), mean.alias("m"))
+    """One row: experts times the mean over experts of (share of tokens that choose it) times (its mean probability).
+
+    With ``log_space`` probabilities are averaged as their logarithms, by the logarithm of a sum of exponentials
+    over the tokens, so none is lost below the smallest number.
+    """
+    if not log_space:
+        p = with_probability(logits)
+        mean = p.groupBy("expert").agg(F.avg("p").alias("m"), F.count(F.lit(1)).alias("n"))
+    else:
+        lp = log_probability(logits)
+        p = lp.withColumn("p", F.exp("lp"))
+        # a row for each expert
+        tops = F.broadcast(lp.groupBy("expert").agg(F.max("lp").alias("_top")))
+        mean = lp.join(tops, "expert").groupBy("expert", "_top").agg(F.sum(F.exp(F.col("lp") - F.col("_top"))).alias("s"), F.count(F.lit(1)).alias("n")).select("expert", F.exp(F.col("_top") + F.ln("s") - F.ln("n")).alias("m"), "n")
+    chosen = top_experts(p, k).groupBy("expert").agg(F.count(F.lit(1)).alias("_in"))
+    experts = mean.join(chosen, "expert", "left").withColumn("f", F.coalesce("_in", F.lit(0)) / F.col("n"))
     return experts.agg((F.avg(F.col("f") * F.col("m")) * F.count(F.lit(1))).alias("loss"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the formats.
@@ -60,12 +60,44 @@ def tags(names: DataFrame, corpus: str, name: str = "name") -> DataFrame:
     return own.select(scale.alias("scale"), F.coalesce(F.expr(r"try_cast(nullif(regexp_extract(_name, 'seed(\\d+)', 1), '') as bigint)"), F.lit(0).cast("bigint")).alias("seed"))
 
 
+#: Arguments that stand elsewhere in a name, or in none: fixed values.
+NEVER_NAMED = ("batch_size", "acc_steps", "run_prefix", "experiment_name", "moe", "weight_average", "exponential_weight_average")
+
+
 def experiment_name(args: Column, defaults: dict[str, str], key_args: list[str] = (), ignored: list[str] = ()) -> Column:
-    """The key arguments' values, then key=value of every other argument that isn't at its default, in key order."""
-    known = F.create_map(*[F.lit(x) for kv in sorted(defaults.items()) for x in kv])
-    changed = F.map_filter(args, lambda k, v: ~k.isin(*key_args, *ignored, "") & ~v.eqNullSafe(F.try_element_at(known, k)))
-    pairs = F.transform(F.array_sort(F.map_entries(changed)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None"))))
-    return F.array_join(F.concat(F.array(*[F.coalesce(F.try_element_at(args, F.lit(k)), F.lit("None")) for k in key_args]) if key_args else F.array().cast("array<string>"), pairs), "_")
+    """A run's name from its arguments (a map of text in their order): batch x accumulation steps, key-value of the key
+    arguments, and after two underscores key-value of each other one that has a default and isn't at it.
+
+    A model's value begins with moe_ and ends in _WA or _EWA where these are True; ``run_prefix`` stands first; an
+    ``experiment_name`` that is given is the name. Values that are null are written None.
+    """
+    known = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]) if defaults else F.lit(None).cast("map<string,string>")
+    value = lambda k: F.coalesce(F.try_element_at(args, F.lit(k)), F.lit("None"))
+    on = lambda k: F.coalesce(F.try_element_at(args, F.lit(k)) == "True", F.lit(False))
+    model = F.concat(F.when(on("moe"), "moe_").otherwise(""), value("model"), F.when(on("weight_average"), "_WA").otherwise(""), F.when(on("exponential_weight_average"), "_EWA").otherwise(""))
+    named = [F.when(F.map_contains_key(args, k), F.concat(F.lit(f"{k}-"), model if k == "model" else value(k))) for k in key_args]
+    prefix = F.concat_ws("_", F.try_element_at(args, F.lit("run_prefix")), F.concat(value("batch_size"), F.lit("x"), value("acc_steps")), *named)
+    changed = F.map_filter(args, lambda k, v: ~k.isin(*key_args, *ignored, *NEVER_NAMED) & F.map_contains_key(known, k) & ~v.eqNullSafe(F.try_element_at(known, k))) if defaults else F.map_filter(args, lambda k, v: F.lit(False))
+    rest = F.array_join(F.transform(F.map_entries(changed), lambda e: F.concat(e["key"], F.lit("-"), F.coalesce(e["value"], F.lit("None")))), "_")
+    return F.coalesce(F.try_element_at(args, F.lit("experiment_name")), F.when(rest != "", F.concat(prefix, F.lit("__"), rest)).otherwise(prefix))
+
+
+def checkpoints(saved: DataFrame, run: str, folder: str, keep: int) -> DataFrame:
+    """``saved`` with step (the number in step-<n>; other names are left out), purge (not among the ``keep`` newest of its run) and newest."""
+    numbered = saved.withColumn("step", F.expr(f"try_cast(nullif(regexp_extract({folder}, '^step-(\\\\d+)$', 1), '') as bigint)")).filter("step is not null")
+    # Spark keeps the first of a run before it sorts it
+    latest = numbered.withColumn("_n", F.row_number().over(Window.partitionBy(run).orderBy(F.desc("step")))).filter(F.col("_n") <= keep)
+    bounds = latest.groupBy(F.col(run).alias("_run")).agg(F.min("step").alias("_least"), F.max("step").alias("_most"))
+    met = numbered.join(bounds, F.col(run).eqNullSafe(F.col("_run")))
+    return met.withColumn("purge", F.col("step") < F.col("_least")).withColumn("newest", F.col("step") == F.col("_most")).drop("_run", "_least", "_most")
+
+
+def mean_loss(batches: DataFrame, group: str, batch: str, loss: str, most: int = -1) -> DataFrame:
+    """``group``, batches, loss: the mean of the batches' losses, of the first ``most`` in order (-1: of all)."""
+    kept = batches
+    if most >= 0:
+        kept = batches.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(batch))).filter(F.col("_n") <= most)
+    return kept.groupBy(group).agg(F.count(F.lit(1)).alias("batches"), F.avg(loss).alias("loss"))
 
 
 def rank_folders(names: DataFrame, name: str = "name", pattern: str = r"rank_(\d+)") -> DataFrame:
@@ -105,3 +137,19 @@ def weight_deltas(now: DataFrame, before: DataFrame, name: str = "name", values:
     both = now.select(name, values).join(before.select(name, F.col(values).alias("_before")), name)
     each = both.select(F.substring_index(name, ".", 2).alias("module"), square(change).alias("_d"), square(F.col(values)).alias("_n"))
     return each.groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("magnitude"), F.avg(F.col("_d") / (F.col("_n") + 1e-8)).alias("relative"))
+
+
+def clipped_loss(tokens: DataFrame, now: str, old: str, advantage: str, clip: float = 0.2, entropy_weight: float = 0.0, divergence_weight: float = 0.0) -> DataFrame:
+    """One row: the clipped policy loss of tokens' log-probabilities, the divergence estimate r - 1 - ln r, the entropy
+    (the mean of -ln p), the share of clipped ratios, and total: loss - weight * entropy + weight * divergence."""
+    ratio, adv = F.exp(F.col(now) - F.col(old)), F.col(advantage)
+    bounded = F.greatest(F.lit(1 - clip), F.least(F.lit(1 + clip), ratio))
+    sums = tokens.agg((-F.avg(F.least(ratio * adv, bounded * adv))).alias("loss"), F.avg(ratio - 1 - (F.col(now) - F.col(old))).alias("kl"), (-F.avg(now)).alias("entropy"), F.avg((F.abs(ratio - 1) > clip).cast("double")).alias("clipped"))
+    return sums.withColumn("total", F.col("loss") - entropy_weight * F.col("entropy") + divergence_weight * F.col("kl"))
+
+
+def filled(places: DataFrame, items: DataFrame, rank: str) -> DataFrame:
+    """Places with the items of the same rank; raises if there aren't as many of both."""
+    # one row
+    counts = F.broadcast(places.agg(F.count(F.lit(1)).alias("_p")).join(items.agg(F.count(F.lit(1)).alias("_i"))).select(F.assert_true(F.col("_p") == F.col("_i"), F.concat(F.col("_p").cast("string"), F.lit(" places for "), F.col("_i").cast("string"), F.lit(" items"))).alias("_checked")))
+    return places.join(items, rank).join(counts, F.col("_checked").isNull()).drop("_checked")

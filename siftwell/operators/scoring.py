@@ -3,25 +3,17 @@
 A sample's gradient of a layer is the sum over tokens of outer(b, a). Its score under an
 optimizer is the inner product with a preconditioned validation direction, computed from
 the factors without forming the gradient: sum over tokens of b' D a, with D = C * b_V a_V'.
-Arrow batches are multiplied with the layers' matrices, which go to all tasks in blocks
-of a bounded size; a wide layer is cut into several.
+``blocks`` has the layers' matrices and multiplies them; here is what works on columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from itertools import groupby
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Layers wider than this are vocabulary-sized and aren't scored.
 WIDEST = 32768
-#: Bytes of layer matrices that tasks get at once.
-BLOCK_BYTES = 64 << 20
 BETA2, EPS, STEP, RHO = 0.999, 1e-8, 10, 0.04
 
 
@@ -33,13 +25,6 @@ def factors(embeddings: DataFrame, n_layers: int = 2, n_tokens: int = 2, width:
     return spread.select("sample_id", "step", "label", "f.*")
 
 
-def means(rows: DataFrame, power: int = 1) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """layer -> mean of a and b (to a power) over samples and tokens: as large as the layers."""
-    spread = rows.select("layer", F.posexplode(F.arrays_zip("a", "b")).alias("i", "x"))
-    found = spread.groupBy("layer", "i").agg(F.avg(F.col("x.a") ** power).alias("a"), F.avg(F.col("x.b") ** power).alias("b")).orderBy("layer", "i").collect()
-    return {k: (np.array([r.a for r in found if r.layer == k]), np.array([r.b for r in found if r.layer == k])) for k in sorted({r.layer for r in found})}
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -58,213 +43,6 @@ def sanitized(x: Column, bound: float = 1e9) -> Column:
     return F.when(F.isnan(x), 0.0).otherwise(F.greatest(F.least(x, F.lit(bound)), F.lit(-bound)))
 
 
-def blocks_of(direction: dict, most: int = BLOCK_BYTES) -> list[list[tuple]]:
-    """The layers' matrices in portions of ``most`` bytes at most, each of (layer, first row, rows); a larger one is cut by rows."""
-    out: list[list[tuple]] = []
-    size = most + 1
-    for layer, d in direction.items():
-        d = np.ascontiguousarray(d, np.float64)
-        step = max(1, most // max(d[:1].nbytes, 1))
-        for first in range(0, len(d), step):
-            part = d[first : first + step]
-            if size + part.nbytes > most:
-                out.append([])
-                size = 0
-            out[-1].append((layer, first, part))
-            size += part.nbytes
-    return out
-
-
-def scored(rows: DataFrame, direction: dict, layer_bound: float = 1e9) -> DataFrame:
-    """sample_id, step, score: sums over tokens of b' D a of the layers that have a direction D (out x in); none at all raises.
-
-    Rows of other layers add nothing. The sum of each layer, and that of all, is sanitised.
-    """
-    if not direction:
-        raise ValueError("no layer has a validation direction")
-    spark = rows.sparkSession
-    known = rows.filter(F.col("layer").isin(list(direction)))
-
-    def multiplied(block: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                layers = batch.column("layer").to_numpy(zero_copy_only=False)
-                x = np.zeros(len(layers))
-                for layer, first, d in shared.value:
-                    at = np.flatnonzero(layers == layer)
-                    if len(at):
-                        a, b = (batch.column(c).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1) for c in ("a", "b"))
-                        x[at] += ((b[:, first : first + len(d)] @ d) * a).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("sample_id"), batch.column("step"), batch.column("layer"), pa.array(x)], names=["sample_id", "step", "layer", "x"])
-
-        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("sample_id", "step", "layer"))
-        own = [layer for layer, _, _ in block]
-        return known.filter(F.col("layer").isin(own)).select("sample_id", "step", "layer", "a", "b").mapInArrow(run, f"{kinds}, x double")
-
-    parts = reduce(DataFrame.unionByName, [multiplied(b) for b in blocks_of(direction)])
-    per_layer = parts.groupBy("sample_id", "step", "layer").agg(sanitized(F.sum("x"), layer_bound).alias("x"))
-    return per_layer.groupBy("sample_id", "step").agg(sanitized(F.sum("x")).alias("score"))
-
-
-def diagonal_scores(rows: DataFrame, val: dict, kernel: dict[int, np.ndarray]) -> DataFrame:
-    """Scores under an elementwise preconditioner (out x in) of each layer that both have."""
-    return scored(rows, {k: kernel[k] * np.outer(val[k][1], val[k][0]) for k in val if k in kernel})
-
-
-def state(proxy2: dict, momentum: dict) -> dict[int, dict[str, np.ndarray]]:
-    """Optimizer state of each layer: second moments and momentum as products of factor means."""
-    return {k: {"v": np.outer(proxy2[k][1], proxy2[k][0]), "m": np.outer(momentum[k][1], momentum[k][0])} for k in proxy2}
-
-
-def kernels(kind: str, st: dict[int, dict[str, np.ndarray]], previous_v: dict[int, np.ndarray] | None = None) -> dict[int, np.ndarray]:
-    """The elementwise preconditioner that an optimizer's state gives; missing state means plain descent."""
-    out = {}
-    for k, s in st.items():
-        v, m = s["v"], s["m"]
-        corrected = v / (1 - BETA2**STEP)
-        if kind in ("adamw", "ademamix"):
-            out[k] = 1 / (np.sqrt(corrected) + EPS)
-        elif kind == "adopt":
-            before = (previous_v or {}).get(k, 0.5 * v)
-            out[k] = 1 / np.maximum(np.sqrt(before / (1 - BETA2 ** max(STEP - 1, 1))), EPS)
-        elif kind == "mars":
-            out[k] = 1 / (np.sqrt(v) + EPS)
-        elif kind == "sophia":
-            out[k] = 1 / np.maximum(RHO * v, 1e-12)
-        elif kind in ("lion", "sign"):
-            out[k] = np.sign(m)
-        elif kind == "cadamw":
-            mask = (m / (np.sqrt(corrected) + EPS) * s.get("g", m) > 0).astype(float)
-            out[k] = mask * (mask.size / (mask.sum() + 1)) / (np.sqrt(corrected) + EPS)
-        else:
-            out[k] = np.ones_like(v)
-    return out
-
-
-def inverse_root(m: np.ndarray, eps: float = 1e-6) -> np.ndarray:
-    """(M'M + eps I) ** -1/2 with eigenvalues not under eps."""
-    w, q = np.linalg.eigh(m.T @ m + eps * np.eye(m.shape[1]))
-    return (q / np.sqrt(np.maximum(w, eps))) @ q.T
-
-
-def muon_scores(rows: DataFrame, val: dict, momentum: dict[int, np.ndarray], compat: bool = False) -> DataFrame:
-    """Sum over tokens of (a' P a_V)(b' b_V); with ``compat`` the product of the two sums of each layer."""
-    if any(np.ndim(momentum[k]) != 2 for k in val):
-        raise ValueError("only matrices have a momentum to be made orthogonal")
-    inner = {k: inverse_root(momentum[k]) @ val[k][0] for k in val}
-    if not compat:
-        return scored(rows, {k: np.outer(val[k][1], inner[k]) for k in val})
-    # the two factors of each layer, as layers of their own with an input of 1
-    left = scored_layers(rows, {k: inner[k][None, :] for k in val}, "a")
-    right = scored_layers(rows, {k: val[k][1][None, :] for k in val}, "b").withColumnRenamed("x", "y")
-    return left.join(right, ["sample_id", "step", "layer"]).groupBy("sample_id", "step").agg(sanitized(F.sum(F.col("x") * F.col("y"))).alias("score"))
-
-
-def scored_layers(rows: DataFrame, vectors: dict, side: str) -> DataFrame:
-    """sample_id, step, layer, x: sums over tokens of one side's inner product with each layer's vector."""
-    one = F.array(F.lit(1.0))
-    own = rows.select("sample_id", "step", "layer", F.col(side).alias("a"), one.alias("b"))
-    parts = [scored(own.filter(F.col("layer") == k), {k: v}).select("sample_id", "step", F.lit(k).cast(rows.schema["layer"].dataType).alias("layer"), F.col("score").alias("x")) for k, v in vectors.items()]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def rotated_scores(rows: DataFrame, val: dict, kernel: dict[int, np.ndarray], left: np.ndarray | dict, right: np.ndarray | dict) -> DataFrame:
-    """Scores after ``left`` b and ``right`` a (rotations, or projections to fewer rows; of each layer if dicts), elementwise there.
-
-    Layers that have no rotation are scored as under plain descent.
-    """
-    direction = {}
-    for k in val:
-        u, w = (m.get(k) if isinstance(m, dict) else m for m in (left, right))
-        a, b = val[k]
-        if u is None or w is None or k not in kernel:
-            direction[k] = np.outer(b, a)
-        else:
-            direction[k] = u.T @ (kernel[k][: u.shape[0], : w.shape[0]] * np.outer(u @ b, w @ a)) @ w
-    return scored(rows, direction)
-
-
-def rotated_state(states: dict[int, dict], t: int) -> tuple[dict, dict, dict]:
-    """Kernels, left and right rotations of each layer from an optimizer's state.
-
-    A state has its second moments ``v`` in rotated coordinates, and either ``Q`` (two matrices whose columns
-    are the basis) or ``projector`` (two matrices whose rows are); layers with neither are left out.
-    """
-    kernel, left, right = {}, {}, {}
-    for k, s in states.items():
-        if "v" not in s or not ("Q" in s or "projector" in s):
-            continue
-        left[k], right[k] = (m.T for m in s["Q"]) if "Q" in s else s["projector"]
-        kernel[k] = 1 / (np.sqrt(s["v"] / (1 - BETA2**t if t > 0 else 1.0)) + EPS)
-    return kernel, left, right
-
-
-def householder(width: int = 8) -> np.ndarray:
-    """An orthogonal matrix that SQL can write down: I - 2 u u' / u'u with u = 1, 2, ..., width."""
-    u = np.arange(1.0, width + 1)
-    return np.eye(width) - 2 * np.outer(u, u) / (u @ u)
-
-
-def gradient(rows: DataFrame) -> DataFrame:
-    """layer, o, i, g: the summed outer products of the rows over their number of samples.
-
-    Each task sums its rows' products as matrices before they are dealt out.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
-        for batch in batches:
-            layers = batch.column("layer").to_numpy(zero_copy_only=False)
-            for layer in np.unique(layers):
-                at = pa.array(np.flatnonzero(layers == layer))
-                a, b = (batch.column(c).take(at).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1) for c in ("a", "b"))
-                sums[layer] = sums[layer] + b.T @ a if layer in sums else b.T @ a
-        for layer, g in sums.items():
-            for o, row in enumerate(g):
-                yield pa.RecordBatch.from_arrays([pa.array([layer], pa.int32()), pa.array([o], pa.int32()), pa.array([row.tolist()], pa.list_(pa.float64()))], names=["layer", "o", "row"])
-
-    partial = rows.select(F.col("layer").cast("int").alias("layer"), "a", "b").mapInArrow(run, "layer int, o int, row array<double>")
-    # one row
-    n = F.broadcast(rows.agg(F.count_distinct("sample_id").alias("n")))
-    total = partial.select("layer", "o", F.posexplode("row").alias("i", "x")).groupBy("layer", "o", "i").agg(F.sum("x").alias("x"))
-    return total.join(n).select("layer", "o", "i", (F.col("x") / F.col("n")).alias("g"))
-
-
-def exact_dots(rows: DataFrame, val_gradient: DataFrame) -> DataFrame:
-    """Gradient inner products with the exact validation gradient (a table as large as the layers)."""
-    mats: dict[int, np.ndarray] = {}
-    by_row = val_gradient.groupBy("layer", "o").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda s: s["g"]).alias("row"))
-    for layer, own in groupby(sorted(((r.layer, r.o, r.row) for r in by_row.toLocalIterator())), key=lambda r: r[0]):
-        mats[layer] = np.array([row for _, _, row in own])
-    return scored(rows, mats)
-
-
-def gram_dots(rows: DataFrame, val: DataFrame, most: int = 4096) -> DataFrame:
-    """``exact_dots`` without the validation gradient: for each pair of tokens the product of both factors' inner products.
-
-    It is cheaper where the squares of the tokens are fewer than a layer's weights. Validation rows of
-    ``most`` or more go the other way, as all tasks get them.
-    """
-    held = val.select("layer", "sample_id", "a", "b").limit(most).collect()
-    if len(held) >= most:
-        return exact_dots(rows, gradient(val))
-    if not held:
-        raise ValueError("no layer has a validation direction")
-    n = len({r.sample_id for r in held})
-    sides = rows.sparkSession.sparkContext.broadcast({k: tuple(np.array([r[c] for r in held if r.layer == k], float) for c in ("a", "b")) for k in {r.layer for r in held}})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [float(((sides.value[k][0] @ np.array(a)) * (sides.value[k][1] @ np.array(b))).sum()) / n if k in sides.value else 0.0 for k, a, b in zip(*(batch.column(c).to_pylist() for c in ("layer", "a", "b")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("sample_id"), batch.column("step"), pa.array(x, pa.float64())], names=["sample_id", "step", "x"])
-
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("sample_id", "step"))
-    found = rows.select("sample_id", "step", "layer", "a", "b").mapInArrow(run, f"{kinds}, x double")
-    return found.groupBy("sample_id", "step").agg(sanitized(F.sum("x")).alias("score"))
-
-
 def unfolded(image: Column, channels: int, height: int, width: int, kernel: int, stride: int = 1, padding: int = 0) -> Column:
     """The patches of a flat image that a convolution sees, row by row: each is the input of a linear layer."""
     high, wide = (height + 2 * padding - kernel) // stride + 1, (width + 2 * padding - kernel) // stride + 1

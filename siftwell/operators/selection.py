@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,22 +38,23 @@ def greedy(rows: DataFrame, k: int, eta: float, penalty: float, temperature: flo
 
     ``rows``: step, sample_id, score, g (a sample's flat gradient factors). Each round's score is
     eta * score - eta**2 * penalty * (g . mean of the chosen); the largest is taken, or one drawn
-    at ``temperature``. A step is one batch of candidates, so its size is that of a batch.
+    at ``temperature``: the largest of exponents (no further than 50 below the best) and Gumbel noise of a
+    hash. Scores that are no numbers are the least. A step is one batch of candidates, so its size is that of a batch.
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample_id")
         g, score = np.stack(pdf.g), np.nan_to_num(pdf.score.to_numpy(float), nan=-1e9)
         open_, total, out = np.ones(len(pdf), bool), np.zeros(g.shape[1]), []
-        rng = np.random.default_rng(seed + int(pdf.step.iloc[0]))
+        step, ids = int(pdf.step.iloc[0]), pdf.sample_id.tolist()
         for r in range(min(k, len(pdf))):
             now = eta * score - (eta**2 * penalty * (g @ total) / r if r else 0.0)
             if temperature is None:
                 pick = int(np.argmax(np.where(open_, now, -np.inf)))
             else:
-                z = np.clip((now - now[open_].max()) / max(temperature, 1e-6), -50, 50)
-                p = np.where(open_, np.exp(z), 0.0)
-                pick = int(rng.choice(len(p), p=p / p.sum())) if p.sum() > 0 else int(rng.choice(np.flatnonzero(open_)))
+                z = np.clip((now - now[open_].max()) / max(temperature, 1e-6), -50, 0)
+                u = np.array([(int(hashlib.md5(f"{seed}:{step}:{r}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in ids])
+                pick = int(np.argmax(np.where(open_, z - np.log(-np.log(u)), -np.inf)))
             open_[pick] = False
             total += g[pick]
             out.append(pick)

@@ -113,6 +113,14 @@ def domain_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_type", tokens.domain_file(F.concat("p_type", F.lit(" (x)/y"))).alias("file")).distinct()
 
 
+@query("domain_files", f"WITH n AS (SELECT unnest({list(corpora.DOMAINS)}) AS name, unnest(range({len(corpora.DOMAINS)})) AS k), d AS (SELECT doc_id % {len(corpora.DOMAINS)} AS k, count(*)::BIGINT AS docs FROM documents GROUP BY 1) SELECT name, s AS split, '/pile/' || s || '/' || CASE s WHEN 'val' THEN 'validation' ELSE s END || '-' || translate(name, '/ ()', '-_') || '.bin' AS path, docs FROM n JOIN d USING (k), (SELECT unnest(['train', 'val', 'test']) AS s)")
+def domain_files(spark, sf_dir):
+    """The files of each domain, with as many documents as are dealt to it."""
+    named = F.get(F.array(*[F.lit(d) for d in corpora.DOMAINS]), (F.col("doc_id") % len(corpora.DOMAINS)).cast("int"))
+    dealt = table(spark, sf_dir, "documents").groupBy(named.alias("name")).agg(F.count(F.lit(1)).alias("docs"))
+    return corpora.domain_files(spark, "/pile").join(dealt, "name")
+
+
 @query("corpus_registry", "SELECT count(*)::BIGINT AS n, sum(length(text))::BIGINT AS chars FROM documents")
 def corpus_registry(spark, sf_dir):
     return corpora.read_corpus(spark, "SlimPajama", f"{sf_dir}/documents.parquet").agg(F.count(F.lit(1)).alias("n"), F.sum(L(F.length("text"))).alias("chars"))
@@ -170,10 +178,11 @@ def document_chunks(spark, sf_dir):
     return C.document_chunks(table(spark, sf_dir, "documents"), 20001, 3)
 
 
-@query("random_windows", f"WITH n AS (SELECT sum(length({KEPT}) + 1)::BIGINT AS n FROM documents) SELECT k AS draw, (('0x' || substr(md5(concat_ws(':', '11', k)), 1, 13))::BIGINT % (n - 512))::BIGINT AS \"at\" FROM n, range(1000) r(k)")
+@query("random_windows", f"WITH n AS (SELECT sum(length({KEPT}) + 1)::BIGINT AS n FROM documents) SELECT doc_id AS draw, (('0x' || substr(md5(concat_ws(':', '11', doc_id)), 1, 13))::BIGINT % (n - 512))::BIGINT AS \"at\" FROM n, documents")
 def random_windows(spark, sf_dir):
     n = table(spark, sf_dir, "documents").agg(F.sum(tokens.n_char_ids(F.col("text")) + 1).alias("n"))
-    return spark.range(1000).withColumnRenamed("id", "draw").join(F.broadcast(n)).select("draw", hashing.hash_mod(11, F.col("n") - 512, "draw").alias("at"))
+    draws = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("draw"))
+    return draws.join(F.broadcast(n)).select("draw", hashing.hash_mod(11, F.col("n") - 512, "draw").alias("at"))
 
 
 @query("window_counts", f"WITH n AS (SELECT sum(length({KEPT}) + 1)::BIGINT AS n FROM documents) SELECT n - 512 - 1 AS starts, (n // 512 - 1) // 8 AS batches, n // 513 AS disjoint FROM n")
@@ -198,32 +207,37 @@ def candidate_steps(spark, sf_dir):
     return C.batches(table(spark, sf_dir, "documents").select("doc_id"), 16, ["doc_id"], "doc_id").select("doc_id", F.expr("batch div 2").alias("step"))
 
 
-@query("chunk_divisor", "SELECT b AS batch, c AS asked, (SELECT max(d) FROM range(1, 129) t(d) WHERE d <= c AND b % d = 0) AS chunk FROM range(1, 129) x(b), (SELECT unnest([1, 3, 8, 24]) AS c)")
+@query("chunk_divisor", "SELECT p_partkey, p_size * 2 AS batch, 1 + p_partkey % 24 AS asked, d AS chunk, round(d / (p_size * 2)::DOUBLE, 9) AS loss_scale FROM (SELECT p_partkey, p_size, (SELECT max(d) FROM range(1, 25) t(d) WHERE d <= 1 + p_partkey % 24 AND (p_size * 2) % d = 0) AS d FROM part)")
 def chunk_divisor(spark, sf_dir):
-    asked = spark.range(1, 129).withColumnRenamed("id", "batch").withColumn("asked", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (1, 3, 8, 24)])))
-    divisors = F.filter(F.sequence(F.lit(1).cast("bigint"), F.col("asked")), lambda d: F.col("batch") % d == 0)
-    return asked.withColumn("chunk", F.array_max(divisors))
+    """Parts as batches that are cut into chunks of the largest size, up to the one asked for, that divides them; the share of the loss that a chunk has."""
+    asked = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 2).alias("batch"), (F.col("p_partkey") % 24 + 1).alias("asked"))
+    found = asked.withColumn("chunk", C.chunk_size(F.col("batch"), F.col("asked")))
+    return found.withColumn("loss_scale", F.round(F.col("chunk") / F.col("batch"), 9))
 
 
-@query("epoch_permutation", "SELECT e AS epoch, i AS w, row_number() OVER (PARTITION BY e ORDER BY md5(concat_ws(':', (7 + e)::VARCHAR, i)), i) - 1 AS place FROM range(3) x(e), range(2000) y(i)")
+@query("epoch_permutation", "SELECT e AS epoch, doc_id, row_number() OVER (PARTITION BY e ORDER BY md5(concat_ws(':', (7 + e)::VARCHAR, doc_id)), doc_id) - 1 AS place FROM documents, range(3) x(e)")
 def epoch_permutation(spark, sf_dir):
-    rows = spark.range(2000).withColumnRenamed("id", "w").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))))
-    key = F.md5(F.concat_ws(":", (F.col("epoch") + 7).cast("string"), F.col("w").cast("string")))
-    ranked = ranking.running_sum(rows.withColumn("key", key), ranking.hash_bucket("key"), ["key", "w"], F.lit(1), "place", ["epoch"])
-    return ranked.select("epoch", "w", "place")
+    """The documents in the order of each of three epochs."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("epoch"))
+    key = F.md5(F.concat_ws(":", (F.col("epoch") + 7).cast("string"), F.col("doc_id").cast("string")))
+    ranked = ranking.running_sum(rows.withColumn("key", key), ranking.hash_bucket("key"), ["key", "doc_id"], F.lit(1), "place", ["epoch"])
+    return ranked.select("epoch", "doc_id", "place")
 
 
-@query("step_slices", "SELECT step, rank, (step * 4 + rank) // 100 AS epoch, (step * 4 + rank) % 100 * 8 AS first FROM range(500) a(step), range(4) b(rank)")
+@query("step_slices", "SELECT event_id, event_id // 4 AS step, event_id % 4 AS rank, event_id // 100 AS epoch, event_id % 100 * 8 AS first FROM events")
 def step_slices(spark, sf_dir):
-    grid = spark.range(500).withColumnRenamed("id", "step").withColumn("rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
-    b = F.col("step") * 4 + F.col("rank")
-    return grid.select("step", "rank", F.floor(b / 100).alias("epoch"), (b % 100 * 8).alias("first"))
+    """Events as the batches that four ranks read step by step; an epoch has a hundred."""
+    b = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", F.expr("event_id div 4").alias("step"), (b % 4).alias("rank"), F.expr("event_id div 100").alias("epoch"), (b % 100 * 8).alias("first"))
 
 
-@query("draws_with_replacement", "SELECT step, slot, ('0x' || substr(md5(concat_ws(':', '13', step, slot)), 1, 13))::BIGINT % 5000 AS row FROM range(200) a(step), range(8) b(slot)")
+@query("draws_with_replacement", "SELECT vec_id, vec_id // 8 AS step, vec_id % 8 AS slot, ('0x' || substr(md5(concat_ws(':', '13', vec_id // 8, vec_id % 8)), 1, 13))::BIGINT % (SELECT count(*) FROM embeddings) AS row FROM embeddings")
 def draws_with_replacement(spark, sf_dir):
-    grid = spark.range(200).withColumnRenamed("id", "step").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))))
-    return grid.withColumn("row", hashing.hash_mod(13, 5000, "step", "slot"))
+    """As many draws of vectors as there are, in batches of eight."""
+    e = table(spark, sf_dir, "embeddings")
+    n = F.broadcast(e.agg(F.count(F.lit(1)).alias("n")))  # one row
+    drawn = e.select("vec_id", F.expr("vec_id div 8").alias("step"), (F.col("vec_id") % 8).alias("slot")).join(n)
+    return drawn.withColumn("row", hashing.hash_mod(13, F.col("n"), "step", "slot")).drop("n")
 
 
 SEQ, BATCH, WORLD = 512, 8, 4
@@ -267,11 +281,13 @@ def rank_shards(spark, sf_dir):
     return ranked.select("doc_id", ((F.col("rn") - 1) % 4).alias("shard"))
 
 
-@query("rank_batches", "SELECT w AS world, CASE WHEN 96 % w = 0 THEN 96 // w END AS batch, gcd(8, w) AS acc_gcd FROM range(1, 17) t(w)")
+@query("rank_batches", "SELECT p_partkey, 1 + p_partkey % 16 AS world, CASE WHEN (p_size * 8) % (1 + p_partkey % 16) = 0 THEN p_size * 8 // (1 + p_partkey % 16) END AS batch, gcd(p_size::BIGINT, 1 + p_partkey % 16) AS ranks_by_steps, p_size // gcd(p_size::BIGINT, 1 + p_partkey % 16) AS steps FROM part")
 def rank_batches(spark, sf_dir):
-    w = F.col("world")
-    common = F.array_max(F.filter(F.sequence(F.lit(1).cast("bigint"), w), lambda d: (w % d == 0) & (F.lit(8) % d == 0)))
-    return spark.range(1, 17).withColumnRenamed("id", "world").select("world", F.when(96 % w == 0, F.expr("96 div world")).alias("batch"), common.alias("acc_gcd"))
+    """Parts as runs: batches dealt to ranks (null where they can't be dealt evenly), and accumulation steps by their common divisor with the ranks."""
+    runs = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 16 + 1).alias("world"))
+    common = C.common_divisor(F.col("p_size").cast("bigint"), F.col("world"))
+    dealt = runs.withColumn("batch", F.when(F.col("p_size") * 8 % F.col("world") == 0, F.expr("p_size * 8 div world"))).withColumn("ranks_by_steps", common)
+    return dealt.select("p_partkey", "world", "batch", "ranks_by_steps", F.expr("p_size div ranks_by_steps").alias("steps"))
 
 
 @query("task_quota", "SELECT lang, doc_id, rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws(':', '17', doc_id)), doc_id) AS rank FROM documents) WHERE rank <= greatest(1, 100 // (SELECT count(DISTINCT lang) FROM documents))")
@@ -302,10 +318,11 @@ def topic_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy((F.col("source") == "src3").alias("topic")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("proxy_schedule", "SELECT i AS iter, i > 0 AND i % 25 = 0 AS refresh, 42 + 10000 * (i // 25) AS seed, greatest(1, (i + 31) // 32) AS batches FROM range(400) t(i)")
+@query("proxy_schedule", "SELECT event_id AS iter, event_id > 0 AND event_id % 25 = 0 AS refresh, 42 + 10000 * (event_id // 25) AS seed, greatest(1, (event_id + 31) // 32) AS batches FROM events")
 def proxy_schedule(spark, sf_dir):
-    i = F.col("iter")
-    return spark.range(400).withColumnRenamed("id", "iter").select("iter", ((i > 0) & (i % 25 == 0)).alias("refresh"), (F.expr("iter div 25") * 10000 + 42).alias("seed"), F.greatest(F.lit(1).cast("bigint"), F.expr("(iter + 31) div 32")).alias("batches"))
+    """Events as steps: when the proxy set is drawn anew, by which seed, and how many batches a set of as many samples has."""
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(i.alias("iter"), ((i > 0) & (i % 25 == 0)).alias("refresh"), (F.expr("event_id div 25") * 10000 + 42).alias("seed"), F.greatest(F.lit(1).cast("bigint"), F.expr("(event_id + 31) div 32")).alias("batches"))
 
 
 @query("infinite_loop", "SELECT e AS epoch, doc_id FROM documents, range(3) t(e)")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import ranking
+from siftwell.operators import runs as RUN
 from siftwell.plans.corpus_queries import table
 from siftwell.plans.registry import query
 
@@ -47,17 +48,23 @@ def parse_log(spark, sf_dir):
     return parsed_logs(log_lines(spark, sf_dir)).select("opt", "mode", F.round("loss", 3).alias("loss"), F.round("acc", 5).alias("acc"), F.round("entropy", 4).alias("entropy"))
 
 
-@query("compare_modes", f"WITH {LOGS}, dim AS (SELECT * FROM (VALUES ('click', 1, 'Click'), ('view', 2, 'View'), ('purchase', 3, 'Purchase'), ('absent', 4, 'Absent')) t(opt, ord, shown)), w AS (SELECT opt, max(CASE WHEN mode = 'standard' THEN loss END) AS standard, max(CASE WHEN mode = 'selection' THEN loss END) AS selection FROM lp GROUP BY opt) SELECT ord, shown, round(standard, 3) AS standard, round(selection, 3) AS selection, round(selection - standard, 3) AS delta FROM dim LEFT JOIN w USING (opt)")
+@query("compare_modes", f"WITH {LOGS}, dim AS (SELECT * FROM (VALUES ('click', 1, 'Click'), ('view', 2, 'View'), ('purchase', 3, 'Purchase'), ('absent', 4, 'Absent')) t(opt, ord, shown)), w AS (SELECT opt, max(CASE WHEN mode = 'standard' THEN loss END) AS standard, max(CASE WHEN mode = 'selection' THEN loss END) AS selection, max(CASE WHEN mode = 'standard' THEN acc END) AS sa, max(CASE WHEN mode = 'selection' THEN acc END) AS xa FROM lp GROUP BY opt), j AS (SELECT * FROM dim LEFT JOIN w USING (opt)) SELECT ord, shown, round(standard, 3) AS standard, round(selection, 3) AS selection, round(selection - standard, 3) AS delta, round(100 * (xa - sa), 3) AS accuracy_delta, (SELECT count(standard) + count(selection) FROM j)::BIGINT AS found, (SELECT 2 * count(*) FROM j)::BIGINT AS expected FROM j")
 def compare_modes(spark, sf_dir):
+    """Both modes' last loss and accuracy by optimizer in a fixed order, what selection changes, and how many runs were found of those expected."""
     dim = spark.createDataFrame([("click", 1, "Click"), ("view", 2, "View"), ("purchase", 3, "Purchase"), ("absent", 4, "Absent")], "opt string, ord int, shown string")
-    wide = parsed_logs(log_lines(spark, sf_dir)).groupBy("opt").pivot("mode", ["standard", "selection"]).agg(F.max("loss"))
-    return dim.join(wide, "opt", "left").select("ord", "shown", F.round("standard", 3).alias("standard"), F.round("selection", 3).alias("selection"), F.round(F.col("selection") - F.col("standard"), 3).alias("delta"))
+    wide = parsed_logs(log_lines(spark, sf_dir)).groupBy("opt").pivot("mode", ["standard", "selection"]).agg(F.max("loss").alias("loss"), F.max("acc").alias("acc"))
+    both = dim.join(wide, "opt", "left")
+    n = F.broadcast(both.agg((F.count("standard_loss") + F.count("selection_loss")).alias("found"), (2 * n_rows()).alias("expected")))  # one row
+    delta = lambda c: F.col(f"selection_{c}") - F.col(f"standard_{c}")
+    return both.join(n).select("ord", "shown", F.round("standard_loss", 3).alias("standard"), F.round("selection_loss", 3).alias("selection"), F.round(delta("loss"), 3).alias("delta"), F.round(100 * delta("acc"), 3).alias("accuracy_delta"), "found", "expected")
 
 
-@query("best_of", f"WITH {EV}, m AS (SELECT opt, round(avg(value), 6) AS v FROM ev GROUP BY opt) SELECT opt, v, v >= max(v) OVER () - 1e-6 AS best FROM m")
+@query("best_of", f"WITH {EV}, m AS (SELECT opt, round(avg(value), 6) AS v FROM ev GROUP BY opt) SELECT opt, v, v >= max(v) OVER () - 1e-6 AS best, row_number() OVER (ORDER BY v DESC, opt) = 1 AS first_best FROM m")
 def best_of(spark, sf_dir):
     m = runs(spark, sf_dir).groupBy("opt").agg(F.round(F.avg("value"), 6).alias("v"))
-    return m.join(F.broadcast(m.agg(F.max("v").alias("top")))).select("opt", "v", (F.col("v") >= F.col("top") - 1e-6).alias("best"))
+    # one row: the best value, and the first run that has it
+    top = F.broadcast(m.agg(F.max("v").alias("top"), F.min(F.struct((-F.col("v")).alias("v"), "opt"))["opt"].alias("first")))
+    return m.join(top).select("opt", "v", (F.col("v") >= F.col("top") - 1e-6).alias("best"), (F.col("opt") == F.col("first")).alias("first_best"))
 
 
 @query("log_names", f"WITH {EV} SELECT DISTINCT concat_ws('_', mode, opt, CASE WHEN seed = 0 THEN NULL ELSE 'seed' || seed END) || '.log' AS name, seed FROM ev")
@@ -120,6 +127,20 @@ def run_statistics(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(n_rows().alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("top"), (n_rows() * 8192).alias("tokens"))
 
 
+@query("norms_between_logs", "SELECT event_type, event_id // 100 AS log, round(max(value), 6) AS top, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def norms_between_logs(spark, sf_dir):
+    """Events as steps with a gradient norm: its maximum and mean since the log before."""
+    return table(spark, sf_dir, "events").groupBy("event_type", F.expr("event_id div 100").alias("log")).agg(F.round(F.max("value"), 6).alias("top"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("validation_steps", "WITH b AS (SELECT event_type, event_id // 20 AS batch, avg(value) AS loss FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY batch) AS n FROM b) SELECT m AS most, event_type, count(*)::BIGINT AS batches, round(avg(loss), 6) AS loss FROM r, (SELECT unnest([-1, 10]) AS m) WHERE m < 0 OR n <= m GROUP BY ALL")
+def validation_steps(spark, sf_dir):
+    """Events as validation batches of 20: the mean of their losses, of all and of the first ten."""
+    batches = table(spark, sf_dir, "events").groupBy("event_type", F.expr("event_id div 20").alias("batch")).agg(F.avg("value").alias("loss"))
+    parts = [RUN.mean_loss(batches, "event_type", "batch", "loss", most).select(F.lit(most).alias("most"), "event_type", "batches", F.round("loss", 6).alias("loss")) for most in (-1, 10)]
+    return parts[0].unionByName(parts[1])
+
+
 @query("uniform_average", "SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type, event_id // 500 ORDER BY event_id), 6) AS mean FROM events WHERE event_id % 5 = 0")
 def uniform_average(spark, sf_dir):
     w = Window.partitionBy("event_type", F.expr("event_id div 500")).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -145,32 +166,33 @@ def exponential_average(spark, sf_dir):
     return exponential_mean(table(spark, sf_dir, "events"), "event_type", "event_id", "value").select("event_type", "n", F.round("mean", 6).alias("mean"))
 
 
-STEPS, WARM = 400, 40
+WARM = 40
 
 
-def steps(spark):
-    return spark.range(STEPS).withColumnRenamed("id", "i")
+def steps(spark, sf_dir):
+    """Events as steps of runs of 400."""
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 400).alias("i"))
 
 
-@query("cosine_schedule", "SELECT i, round(CASE WHEN i < 40 THEN (i + 1) / 40.0::DOUBLE ELSE 0.1 + 0.45 * (1 + cos(pi() * (i - 40) / 360.0)) END, 9) AS lr FROM range(400) t(i)")
+@query("cosine_schedule", "SELECT event_id, i, round(CASE WHEN i < 40 THEN (i + 1) / 40.0::DOUBLE ELSE 0.1 + 0.45 * (1 + cos(pi() * (i - 40) / 360.0)) END, 9) AS lr FROM (SELECT event_id, event_id % 400 AS i FROM events)")
 def cosine_schedule(spark, sf_dir):
     i = F.col("i")
-    return steps(spark).select("i", F.round(F.when(i < WARM, (i + 1) / F.lit(40.0)).otherwise(0.1 + 0.45 * (1 + F.cos(F.pi() * (i - WARM) / 360.0))), 9).alias("lr"))
+    return steps(spark, sf_dir).select("event_id", "i", F.round(F.when(i < WARM, (i + 1) / F.lit(40.0)).otherwise(0.1 + 0.45 * (1 + F.cos(F.pi() * (i - WARM) / 360.0))), 9).alias("lr"))
 
 
-@query("wsd_schedule", "SELECT i, kind, round(CASE WHEN i < 40 THEN i / 40.0::DOUBLE WHEN i < 300 THEN 1.0 ELSE CASE kind WHEN 'linear' THEN 1 - (i - 300) / 100.0::DOUBLE WHEN 'cosine' THEN 0.5 * (1 + cos(pi() * (i - 300) / 100.0)) WHEN 'sqrt' THEN 1 - sqrt((i - 300) / 100.0::DOUBLE) WHEN 'square' THEN 1 - power((i - 300) / 100.0::DOUBLE, 2) END END, 9) AS lr FROM range(400) t(i), (SELECT unnest(['linear', 'cosine', 'sqrt', 'square']) AS kind)")
+@query("wsd_schedule", "SELECT event_id, i, kind, round(CASE WHEN i < 40 THEN i / 40.0::DOUBLE WHEN i < 300 THEN 1.0 ELSE CASE kind WHEN 'linear' THEN 1 - (i - 300) / 100.0::DOUBLE WHEN 'cosine' THEN 0.5 * (1 + cos(pi() * (i - 300) / 100.0)) WHEN 'sqrt' THEN 1 - sqrt((i - 300) / 100.0::DOUBLE) WHEN 'square' THEN 1 - power((i - 300) / 100.0::DOUBLE, 2) END END, 9) AS lr FROM (SELECT event_id, event_id % 400 AS i FROM events), (SELECT unnest(['linear', 'cosine', 'sqrt', 'square']) AS kind)")
 def wsd_schedule(spark, sf_dir):
     x = (F.col("i") - 300) / F.lit(100.0)
     fall = F.when(F.col("kind") == "linear", 1 - x).when(F.col("kind") == "cosine", 0.5 * (1 + F.cos(F.pi() * x))).when(F.col("kind") == "sqrt", 1 - F.sqrt(x)).otherwise(1 - x * x)
     lr = F.when(F.col("i") < WARM, F.col("i") / F.lit(40.0)).when(F.col("i") < 300, 1.0).otherwise(fall)
-    return steps(spark).withColumn("kind", F.explode(F.array(*[F.lit(k) for k in ("linear", "cosine", "sqrt", "square")]))).select("i", "kind", F.round(lr, 9).alias("lr"))
+    return steps(spark, sf_dir).withColumn("kind", F.explode(F.array(*[F.lit(k) for k in ("linear", "cosine", "sqrt", "square")]))).select("event_id", "i", "kind", F.round(lr, 9).alias("lr"))
 
 
-@query("half_life_warmup", "SELECT i, round(least(i / 100.0::DOUBLE, 1) * 5, 9) AS alpha, round(least(exp(ln(0.9) * ln(0.9999) / ((1 - least(i / 100.0::DOUBLE, 1)) * ln(0.9999) + least(i / 100.0::DOUBLE, 1) * ln(0.9))), 0.9999), 9) AS beta FROM range(400) t(i)")
+@query("half_life_warmup", "SELECT event_id, i, round(least(i / 100.0::DOUBLE, 1) * 5, 9) AS alpha, round(least(exp(ln(0.9) * ln(0.9999) / ((1 - least(i / 100.0::DOUBLE, 1)) * ln(0.9999) + least(i / 100.0::DOUBLE, 1) * ln(0.9))), 0.9999), 9) AS beta FROM (SELECT event_id, event_id % 400 AS i FROM events)")
 def half_life_warmup(spark, sf_dir):
     a = F.least(F.col("i") / F.lit(100.0), F.lit(1.0))
     slow, fast = F.ln(F.lit(0.9999)), F.ln(F.lit(0.9))
-    return steps(spark).select("i", F.round(a * 5, 9).alias("alpha"), F.round(F.least(F.exp(fast * slow / ((1 - a) * slow + a * fast)), F.lit(0.9999)), 9).alias("beta"))
+    return steps(spark, sf_dir).select("event_id", "i", F.round(a * 5, 9).alias("alpha"), F.round(F.least(F.exp(fast * slow / ((1 - a) * slow + a * fast)), F.lit(0.9999)), 9).alias("beta"))
 
 
 @query("timestep_cycle", "SELECT vec_id, ((row_number() OVER (ORDER BY vec_id) - 1) % 8 + 0.5::DOUBLE) / 8 AS t FROM embeddings")
@@ -195,11 +217,11 @@ def downsample(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type", F.expr("event_id div 100").alias("block")).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.sqrt(F.avg(F.col("value") ** 2)), 6).alias("rms"), F.round(F.min_by("value", "event_id"), 6).alias("first"))
 
 
-@query("interval_asof", "SELECT i, CASE WHEN i >= 250 THEN 50 WHEN i >= 100 THEN 10 ELSE 1 END::BIGINT AS every FROM range(400) t(i)")
+@query("interval_asof", "SELECT event_id, i, CASE WHEN i >= 250 THEN 50 WHEN i >= 100 THEN 10 ELSE 1 END::BIGINT AS every FROM (SELECT event_id, event_id % 400 AS i FROM events)")
 def interval_asof(spark, sf_dir):
     # a schedule has a handful of entries
     schedule = spark.createDataFrame([(0, 1), (100, 10), (250, 50)], "at bigint, every bigint")
-    return steps(spark).join(F.broadcast(schedule), F.col("at") <= F.col("i")).groupBy("i").agg(F.max_by("every", "at").alias("every"))
+    return steps(spark, sf_dir).join(F.broadcast(schedule), F.col("at") <= F.col("i")).groupBy("event_id", "i").agg(F.max_by("every", "at").alias("every"))
 
 
 @query("keep_last", "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 5")
@@ -208,12 +230,11 @@ def keep_last(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_type", "event_id", F.row_number().over(w).alias("n")).filter("n <= 5").drop("n")
 
 
-@query("checkpoint_purge", "SELECT 'step-' || s AS folder, s <= (SELECT max(i * 50) FROM range(1, 101) t(i)) - 3 * 50 AS purge FROM (SELECT i * 50 AS s FROM range(1, 101) t(i))")
+@query("checkpoint_purge", "WITH c AS (SELECT event_type AS run, 'step-' || event_id * 50 AS folder, event_id * 50 AS s FROM events WHERE event_id % 10 = 0), k AS (SELECT run, max(s) AS newest, min(s) AS least FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY s DESC) AS n FROM c) WHERE n <= 3 GROUP BY run) SELECT run, folder, s < least AS purge, s = newest AS newest FROM c JOIN k USING (run)")
 def checkpoint_purge(spark, sf_dir):
-    named = spark.range(1, 101).select(F.concat(F.lit("step-"), (F.col("id") * 50).cast("string")).alias("folder"))
-    step = F.regexp_extract("folder", r"step-(\d+)", 1).cast("bigint")
-    newest = named.select(step.alias("s")).orderBy(F.desc("s")).limit(3).agg(F.min("s").alias("least"))
-    return named.join(F.broadcast(newest)).select("folder", (step < F.col("least")).alias("purge"))
+    """Every tenth event as a checkpoint of its type's run: which go when the three newest of a run stay, and which is the one to start from."""
+    saved = table(spark, sf_dir, "events").filter("event_id % 10 = 0").select(F.col("event_type").alias("run"), F.concat(F.lit("step-"), (F.col("event_id") * 50).cast("string")).alias("folder"))
+    return RUN.checkpoints(saved, "run", "folder", 3).select("run", "folder", "purge", "newest")
 
 
 def logits(spark, sf_dir):
@@ -287,9 +308,10 @@ def permute_offsets(spark, sf_dir):
     return c.withColumn("start", F.sum("aligned").over(Window.orderBy("expert")) - F.col("aligned"))
 
 
-@query("round_robin", "SELECT tok, slot, (tok * 2 + slot) % 8 AS expert FROM range(1000) a(tok), range(2) b(slot)")
+@query("round_robin", "SELECT vec_id AS tok, slot, (vec_id * 2 + slot) % 8 AS expert FROM embeddings, range(2) b(slot)")
 def round_robin(spark, sf_dir):
-    return spark.range(1000).select(F.col("id").alias("tok"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("slot")).withColumn("expert", (F.col("tok") * 2 + F.col("slot")) % 8)
+    """Tokens dealt to experts in turn, two each."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tok"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("slot")).withColumn("expert", (F.col("tok") * 2 + F.col("slot")) % 8)
 
 
 ANSWER = "CASE WHEN o_orderkey % 3 = 0 THEN 'so 12 and then #### ' || printf('%d', o_orderkey) || ' ok' WHEN o_orderkey % 3 = 1 THEN 'first 7, then ' || o_orderkey ELSE 'none' END"
@@ -327,11 +349,12 @@ def group_advantages(spark, sf_dir):
     return rewards(spark, sf_dir).select("id", F.round(F.exp(F.col("r") / 0.5) / F.avg(F.exp(F.col("r") / 0.5)).over(w) - 1, 6).alias("exponential"), F.round(F.col("r") - F.avg("r").over(w), 6).alias("centred"))
 
 
-@query("clipped_policy_loss", "WITH x AS (SELECT exp((l_discount - l_tax) / 2) AS ratio, l_quantity - 25 AS adv, (l_discount - l_tax) / 2 AS d FROM lineitem) SELECT round(-avg(least(ratio * adv, greatest(0.98, least(1.02, ratio)) * adv)), 6) AS loss, round(avg(ratio - 1 - d), 6) AS kl, round(avg(CASE WHEN abs(ratio - 1) > 0.02 THEN 1.0 ELSE 0.0 END), 6) AS clipped FROM x")
+@query("clipped_policy_loss", "WITH x AS (SELECT exp((l_discount - l_tax) / 2) AS ratio, l_quantity - 25 AS adv, (l_discount - l_tax) / 2 AS d, l_discount / 2 - 1 AS now FROM lineitem), t AS (SELECT -avg(least(ratio * adv, greatest(0.98, least(1.02, ratio)) * adv)) AS loss, avg(ratio - 1 - d) AS kl, -avg(now) AS entropy, avg(CASE WHEN abs(ratio - 1) > 0.02 THEN 1.0 ELSE 0.0 END) AS clipped FROM x) SELECT round(loss, 6) AS loss, round(kl, 6) AS kl, round(entropy, 6) AS entropy, round(loss - 0.01 * entropy + 0.1 * kl, 6) AS total, round(clipped, 6) AS clipped FROM t")
 def clipped_policy_loss(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").select(((F.col("l_discount") - F.col("l_tax")) / 2).alias("d"), (F.col("l_quantity") - 25).alias("adv")).withColumn("ratio", F.exp("d"))
-    clip = F.greatest(F.lit(0.98), F.least(F.lit(1.02), F.col("ratio")))
-    return x.agg(F.round(-F.avg(F.least(F.col("ratio") * F.col("adv"), clip * F.col("adv"))), 6).alias("loss"), F.round(F.avg(F.col("ratio") - 1 - F.col("d")), 6).alias("kl"), F.round(F.avg((F.abs(F.col("ratio") - 1) > 0.02).cast("double")), 6).alias("clipped"))
+    """Lines as tokens with a new and an old log-probability: the clipped loss, its divergence estimate, an entropy bonus, and their sum."""
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_discount") / 2 - 1).alias("now"), (F.col("l_tax") / 2 - 1).alias("old"), (F.col("l_quantity") - 25).alias("adv"))
+    found = RUN.clipped_loss(x, "now", "old", "adv", clip=0.02, entropy_weight=0.01, divergence_weight=0.1)
+    return found.select(*[F.round(c, 6).alias(c) for c in ("loss", "kl", "entropy", "total", "clipped")])
 
 
 @query("text_reward", "SELECT conv_id, turn, round(CASE WHEN length(text) = 0 THEN 0 ELSE (CASE WHEN length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / length(text)::DOUBLE > 0.1 THEN 0.1 ELSE 1.0 END) * (1 - 0.9 * length(regexp_replace(text, '[^A-Z]', '', 'g')) / length(text)::DOUBLE) * CASE WHEN contains(text, 'the') THEN 2.0 ELSE 0.5 END END, 6) AS reward FROM conversations WHERE role = 'assistant'")
@@ -379,8 +402,9 @@ def logit_divergence(spark, sf_dir):
     return p.join(q, ["tok", "expert"]).groupBy("tok").agg(F.round(F.sum(F.col("p") * (F.ln("p") - F.ln("q"))) / 8, 9).alias("kl"))
 
 
-@query("fill_placeholders", "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE lang = 'fr'), b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS k FROM benchmark) SELECT doc_id, item_id FROM a JOIN b USING (k)")
+@query("fill_placeholders", "WITH d AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS k, row_number() OVER (ORDER BY n_chars, doc_id) AS r FROM documents WHERE lang = 'fr') SELECT a.doc_id AS place, b.doc_id AS item FROM d a JOIN d b ON a.k = b.r")
 def fill_placeholders(spark, sf_dir):
-    a = ranking.global_rank(table(spark, sf_dir, "documents").filter("lang = 'fr'").select("doc_id"), "doc_id", ["doc_id"])
-    b = ranking.global_rank(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", ["item_id"])
-    return a.join(b, "rn").select("doc_id", "item_id")
+    """French documents as places and as items in the order of their length: the first place gets the first item."""
+    d = table(spark, sf_dir, "documents").filter("lang = 'fr'")
+    items = ranking.global_rank(d.select(F.col("doc_id").alias("item"), "n_chars"), "n_chars", ["n_chars", "item"]).drop("n_chars")
+    return RUN.filled(ranking.global_rank(d.select(F.col("doc_id").alias("place")), "place", ["place"]), items, "rn").select("place", "item")
\ No newline at end of file

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Modules that register queries as they are imported.
-MODULES: tuple[str, ...] = ("siftwell.plans.corpus_queries", "siftwell.plans.scoring_queries", "siftwell.plans.metric_queries", "siftwell.plans.run_queries", "siftwell.plans.state_queries", "siftwell.streaming.packing")
+MODULES: tuple[str, ...] = ("siftwell.plans.corpus_queries", "siftwell.plans.scoring_queries", "siftwell.plans.metric_queries", "siftwell.plans.run_queries", "siftwell.plans.state_queries", "siftwell.plans.archive_queries", "siftwell.plans.matrix_queries", "siftwell.streaming.packing")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

@@ -11,7 +11,7 @@ from siftwell.operators import projection as P
 from siftwell.operators import routing as R
 from siftwell.operators import runs as RUN
 from siftwell.operators import schedules as S
-from siftwell.operators import scoring, updates
+from siftwell.operators import blocks, scoring, updates
 from siftwell.plans.corpus_queries import FLAT, IDS, KEPT, L, table
 from siftwell.plans.metric_queries import LOGIT, SOFT, logits
 from siftwell.plans.registry import query
@@ -55,10 +55,10 @@ def wsd_schedule_all(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.explode(rates).alias("x")).select("event_id", "x.*")
 
 
-@query("warmup_stable_decay", "SELECT event_id, round(CASE WHEN event_id < 100 THEN (event_id + 1) / 100.0::DOUBLE WHEN event_id < 501 THEN 1 ELSE 0.2 + 0.8 * (1 - (event_id + 1 - 501) / 500.0::DOUBLE) END, 9) AS lr FROM events WHERE event_id < 1000")
+@query("warmup_stable_decay", "SELECT event_id, round(CASE WHEN i < 100 THEN (i + 1) / 100.0::DOUBLE WHEN i < 501 THEN 1 ELSE 0.2 + 0.8 * (1 - (i + 1 - 501) / 500.0::DOUBLE) END, 9) AS lr FROM (SELECT event_id, event_id % 1000 AS i FROM events)")
 def warmup_stable_decay(spark, sf_dir):
-    """The schedule has 1000 steps; there is no rate beyond it."""
-    return table(spark, sf_dir, "events").filter("event_id < 1000").select("event_id", F.round(S.warmup_stable_decay(step(), 1000, 100, 0.5, least=0.2), 9).alias("lr"))
+    """Events as steps of runs of 1000."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(S.warmup_stable_decay(step() % 1000, 1000, 100, 0.5, least=0.2), 9).alias("lr"))
 
 
 @query("prodigy_rates", "SELECT event_id, round(value * 0.001 * sqrt(1 - power(0.999, event_id % 1000 + 1)) / (1 - power(0.9, event_id % 1000 + 1)), 9) AS lr FROM events")
@@ -126,10 +126,17 @@ def run_tags(spark, sf_dir):
     return RUN.tags(e, "owt2")
 
 
-@query("experiment_names", "SELECT p_partkey, p_brand || CASE WHEN p_size <> 1 THEN '_bs=' || p_size ELSE '' END || CASE WHEN p_size % 2 = 0 THEN '_wd=None' ELSE '' END AS name FROM part")
+@query("experiment_names", """SELECT p_partkey, CASE WHEN p_partkey % 50 = 7 THEN 'my run' ELSE CASE WHEN p_partkey % 3 = 0 THEN 'pre_' ELSE '' END || p_size || 'x4_model-' || CASE WHEN p_partkey % 4 = 0 THEN 'moe_' ELSE '' END || 'llama' || CASE WHEN p_partkey % 5 = 0 THEN '_EWA' ELSE '' END || '_opt-' || p_brand
+|| CASE WHEN p_size = 1 AND p_size % 2 = 1 THEN '' ELSE '__' || concat_ws('_', CASE WHEN p_size % 2 = 0 THEN 'wd-None' END, CASE WHEN p_size <> 1 THEN 'n_layer-' || p_size END) END END AS name FROM part""")
 def experiment_names(spark, sf_dir):
-    args = F.create_map(*[x for k, v in {"opt": F.col("p_brand"), "bs": F.col("p_size").cast("string"), "wd": F.when(F.col("p_size") % 2 == 1, "0.1"), "seed": F.col("p_partkey").cast("string")}.items() for x in (F.lit(k), v)])
-    return table(spark, sf_dir, "part").select("p_partkey", RUN.experiment_name(args, {"bs": "1", "wd": "0.1"}, ["opt"], ["seed"]).alias("name"))
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    true = lambda c: F.when(c, "True").otherwise("False")
+    given = {
+        "experiment_name": F.when(key % 50 == 7, "my run"), "run_prefix": F.when(key % 3 == 0, "pre"), "model": F.lit("llama"), "moe": true(key % 4 == 0), "exponential_weight_average": true(key % 5 == 0), "opt": F.col("p_brand"), "batch_size": size, "acc_steps": F.lit("4"),
+        "wd": F.when(F.col("p_size") % 2 == 1, "0.1"), "seed": key.cast("string"), "n_layer": size, "unknown": F.lit("x"),
+    }
+    args = F.create_map(*[x for k, v in given.items() for x in (F.lit(k), v)])
+    return table(spark, sf_dir, "part").select("p_partkey", RUN.experiment_name(args, {"n_layer": "1", "wd": "0.1", "seed": "0"}, ["model", "dataset", "opt"], ["seed"]).alias("name"))
 
 
 @query("rank_folders", "SELECT DISTINCT 'proj_rank_' || p_size || '_s1' AS name, p_size::BIGINT AS rank FROM part")
@@ -214,9 +221,13 @@ def expert_biases(spark, sf_dir):
     return R.updated_biases(R.choose_with_bias(logits(spark, sf_dir), biases(spark), 2), biases(spark)).withColumn("bias", F.round("bias", 6))
 
 
-@query("balance_losses", f"WITH {SOFT}, e AS (SELECT expert, avg(CASE WHEN rk <= 2 THEN 1.0 ELSE 0.0 END) AS f, avg(p) AS m FROM sm GROUP BY expert) SELECT l AS log_space, (SELECT round(avg(f * m) * 8, 6) FROM e) AS loss FROM (SELECT unnest([true, false]) AS l)")
+# logits are stretched so far that some probabilities are below the smallest double
+STRETCHED = LOGIT.replace("::DOUBLE AS z", "::DOUBLE * 4000 AS z")
+
+
+@query("balance_losses", f"WITH {STRETCHED}, lp AS (SELECT tok, expert, z - (m + ln(sum(exp(z - m)) OVER (PARTITION BY tok))) AS lp FROM (SELECT *, max(z) OVER (PARTITION BY tok) AS m FROM lg)), lm AS (SELECT expert, max(t) + ln(sum(exp(lp - t))) - ln(count(*)) AS m FROM (SELECT *, max(lp) OVER (PARTITION BY expert) AS t FROM lp) GROUP BY expert), sm AS (SELECT tok, expert, exp(lp) AS p, row_number() OVER (PARTITION BY tok ORDER BY exp(lp) DESC, expert) AS rk FROM lp), e AS (SELECT expert, avg(CASE WHEN rk <= 2 THEN 1.0 ELSE 0.0 END) AS f, avg(p) AS m FROM sm GROUP BY expert) SELECT true AS log_space, round(avg(f * exp(lm.m)) * 8, 6) AS loss FROM e JOIN lm USING (expert) UNION ALL SELECT false, round(avg(f * m) * 8, 6) FROM e")
 def balance_losses(spark, sf_dir):
-    parts = [R.balance_loss(logits(spark, sf_dir), 2, x).select(F.lit(x).alias("log_space"), F.round("loss", 6).alias("loss")) for x in (True, False)]
+    parts = [R.balance_loss(logits(spark, sf_dir).withColumn("z", F.col("z") * 4000), 2, x).select(F.lit(x).alias("log_space"), F.round("loss", 6).alias("loss")) for x in (True, False)]
     return parts[0].unionByName(parts[1])
 
 
@@ -261,9 +272,12 @@ def embedding_projection(spark, sf_dir):
     return P.embedding_projection(rows, P.rademacher(spark, 4, 10, 43), P.rademacher(spark, 3, 8, 44)).withColumn("y", F.round("y", 6))
 
 
-@query("side_branch", f"SELECT o, k, round(CASE WHEN {hashed('45', 'o', 'k')} % 2 = 0 THEN 1.0 ELSE -1.0 END / sqrt(4.0) * sqrt(64 / 4.0), 9) AS p FROM range(4) a(o), range(64) b(k)")
+@query("side_branch", f"WITH p AS (SELECT o, k, CASE WHEN {hashed('45', 'o', 'k')} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END / sqrt(4.0) * sqrt(64 / 4.0) AS p FROM range(4) a(o), range(64) b(k)) SELECT vec_id, o, round(sum(embedding[k + 1]::DOUBLE * p), 6) AS y FROM embeddings, p GROUP BY ALL")
 def side_branch(spark, sf_dir):
-    return P.side_branch(P.rademacher(spark, 4, 64, 45), 4, 64).withColumn("p", F.round("p", 9))
+    """The vectors through a side branch's matrix as it begins."""
+    spread = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
+    matrix = P.side_branch(P.rademacher(spark, 4, 64, 45), 4, 64)
+    return spread.join(F.broadcast(matrix), "k").groupBy("vec_id", "o").agg(F.round(F.sum(F.col("x").cast("double") * F.col("p")), 6).alias("y"))
 
 
 @query("target_layers", "SELECT p_partkey, p_type FROM part WHERE p_size % 2 = 0 AND NOT contains(p_type, 'ECONOMY') AND p_retailprice <= 1200")
@@ -283,7 +297,7 @@ def restricted_layers(spark, sf_dir):
 @query("dot_gram", f"WITH {FL}, d AS (SELECT a.layer, b.i AS o, a.i, sum(b.x * a.x) / (SELECT count(DISTINCT sample_id) FROM fl WHERE label = 0) AS w FROM fl a JOIN fl b ON a.sample_id = b.sample_id AND a.layer = b.layer AND a.t = b.t AND a.side = 0 AND b.side = 1 WHERE a.label = 0 GROUP BY ALL) SELECT a.sample_id, a.step, round(sum(b.x * d.w * a.x) * 1e3, 6) AS score FROM fl a JOIN fl b ON a.sample_id = b.sample_id AND a.layer = b.layer AND a.t = b.t AND a.side = 0 AND b.side = 1 JOIN d ON d.layer = a.layer AND d.o = b.i AND d.i = a.i WHERE a.label <> 0 GROUP BY a.sample_id, a.step")
 def dot_gram(spark, sf_dir):
     rows = scoring.factors(table(spark, sf_dir, "embeddings"))
-    return scoring.gram_dots(rows.filter("label <> 0"), rows.filter("label = 0")).withColumn("score", F.round(F.col("score") * 1e3, 6))
+    return blocks.gram_dots(rows.filter("label <> 0"), rows.filter("label = 0")).withColumn("score", F.round(F.col("score") * 1e3, 6))
 
 
 @query("conv_patches", "SELECT vec_id, p::BIGINT AS p, round(sum(embedding[(p // 6 + i) * 8 + p % 6 + j + 1]::DOUBLE), 6) AS total FROM embeddings, range(36) a(p), range(3) b(i), range(3) c(j) GROUP BY vec_id, p")
@@ -340,8 +354,8 @@ def second_moments(spark, sf_dir):
 
 def char_docs(spark, sf_dir):
     split = F.when(F.col("doc_id") % 10 == 9, "val").otherwise("train")
-    docs = table(spark, sf_dir, "documents")
-    return C.tokenized(docs).join(docs.select("doc_id", split.alias("split"), F.col("source").alias("domain")), "doc_id")
+    docs = table(spark, sf_dir, "documents").withColumn("split", split).withColumnRenamed("source", "domain")
+    return C.tokenized(docs, keep=("split", "domain"))
 
 
 @query("token_bins", f"WITH {FLAT} SELECT CASE WHEN doc_id % 10 = 9 THEN 'val' ELSE 'train' END AS split, source AS domain, count(*)::BIGINT AS docs, sum(len(ids))::BIGINT AS tokens, sum(list_sum(ids))::BIGINT AS total, sum(list_sum(list_transform(range(1, len(ids) + 1), lambda k: ids[k] * k)))::BIGINT AS digest FROM tok JOIN documents USING (doc_id) GROUP BY 1, 2")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from siftwell.functions import hashing, ranking
 from siftwell.operators import corpus as C
-from siftwell.operators import layers, projection, runs, scoring, selection, updates
+from siftwell.operators import blocks, layers, projection, runs, scoring, selection, updates
 from siftwell.plans.corpus_queries import table
 from siftwell.plans.registry import query
 from siftwell.plans.run_queries import hashed
-from siftwell.plans.scoring_queries import CORRECTED, FL, GRAD, SCORED, fixture
+from siftwell.plans.scoring_queries import CORRECTED, FL, GRAD, SCORED, rotated_scores
 from siftwell.sources import corpora
 
 # tasks, splits and images
@@ -107,19 +106,16 @@ d AS (SELECT st.layer, st.o, st.i, va.m * vb.m / ({CORRECTED} + 1e-8) AS w FROM
 SELECT sample_id, step, round(score * 1e3, 6) AS score FROM ({SCORED.replace("fl a", "rf a").replace("fl b", "rf b")})"""
 
 
-def register_stored(name: str, key: str, rank: int) -> None:
+def register_stored(name: str, rank: int) -> None:
     @query(name, stored_sql(rank))
     def run(spark, sf_dir):
-        candidates, _, val, st = fixture(spark, sf_dir)
-        means = scoring.means(scoring.factors(table(spark, sf_dir, "embeddings")).filter("label = 1"))
-        reflect = lambda u: (np.eye(len(u)) - 2 * np.outer(u, u) / (u @ u))[:rank]
-        states = {k: {"v": st[k]["v"][:rank, :rank], key: tuple(reflect(u).T if key == "Q" else reflect(u) for u in (b, a))} for k, (a, b) in means.items()}
-        kernel, left, right = scoring.rotated_state(states, scoring.STEP)
-        return scoring.rotated_scores(candidates, val, kernel, left, right).select("sample_id", "step", F.round(F.col("score") * 1e3, 6).alias("score"))
+        # each layer's own basis: reflections of the means of label 1
+        means = blocks.layer_means(scoring.factors(table(spark, sf_dir, "embeddings")).filter("label = 1"))
+        return rotated_scores(spark, sf_dir, *[means.select("layer", F.col(c).alias("u")) for c in ("b", "a")], rank)
 
 
-register_stored("score_soap_stored", "Q", 8)
-register_stored("score_galore_stored", "projector", 4)
+register_stored("score_soap_stored", 8)
+register_stored("score_galore_stored", 4)
 
 
 # vector parameters: a vector's halves as two tokens' input and gradient of 16 numbers
