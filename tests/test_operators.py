@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import ranking, tokens
-from siftwell.operators import corpus, layers, projection, runs, schedules, scoring, selection, tokenize, updates
+from siftwell.operators import blocks, corpus, layers, projection, runs, schedules, scoring, selection, tokenize, updates
 from siftwell.plans import metric_queries
 from siftwell.plans.registry import all_queries
 from siftwell.sinks import records, token_files
@@ -68,7 +68,7 @@ def test_ghost_product_is_the_gradients_product(spark):
     vectors = [(i, [float(x) for x in rng.normal(size=64)], i % 3) for i in range(12)]
     rows = scoring.factors(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int"))
     val = rows.filter("label = 0")
-    got = {r.sample_id: r.score for r in scoring.exact_dots(rows.filter("label = 1"), scoring.gradient(val)).collect()}
+    got = {r.sample_id: r.score for r in blocks.scored(rows.filter("label = 1"), blocks.gradient(val)).collect()}
 
     def gradient(v):
         x = np.array(v, np.float32).astype(float).reshape(2, 2, 2, 8)
@@ -80,10 +80,24 @@ def test_ghost_product_is_the_gradients_product(spark):
             assert got[i] == pytest.approx(sum((gradient(v)[k] * mean[k]).sum() for k in range(2)))
 
 
-def test_inverse_root():
-    m = np.random.default_rng(2).normal(size=(5, 4))
-    p = scoring.inverse_root(m, 1e-9)
-    assert np.allclose(p @ (m.T @ m) @ p, np.eye(4), atol=1e-6)
+def matrices(spark, found, size=3):
+    """The blocks of dense matrices by layer."""
+    rows = [(k, o, [float(x) for x in row]) for k, m in found.items() for o, row in enumerate(np.atleast_2d(m))]
+    return blocks.from_rows(spark.createDataFrame(rows, "layer int, o int, values array<double>").repartition(3), size)
+
+
+def dense(table, layer=0, size=3):
+    found = {(r.o, r.i): r.x for r in blocks.entries(table.filter(F.col("layer") == layer), size).collect()}
+    return np.array([[found[o, i] for i in range(1 + max(i for _, i in found))] for o in range(1 + max(o for o, _ in found))])
+
+
+def test_inverse_roots_of_blocks(spark):
+    m = np.random.default_rng(2).normal(size=(7, 5))
+    b = matrices(spark, {0: m, 1: 2 * m})
+    gram = blocks.product(blocks.transposed(b), b)
+    assert np.allclose(dense(gram), m.T @ m)
+    p = dense(blocks.inverse_roots(gram, 1e-9, 3), 1)
+    assert np.allclose(p @ (4 * m.T @ m) @ p, np.eye(5), atol=1e-6)
 
 
 def test_greedy_is_unique_and_of_size(spark):
@@ -155,46 +169,87 @@ def test_matrices_of_projections(spark):
     with pytest.raises(ValueError, match="orthonormal"):
         projection.orthonormal(spark, 3, 2, 1)
     g = np.random.default_rng(1).normal(size=(12, 5))
-    values = np.linalg.svd(projection.newton_schulz(g, 10), compute_uv=False)
+    values = np.linalg.svd(dense(blocks.newton_schulz(matrices(spark, {0: g.T}), 5)), compute_uv=False)
     assert values.min() > 0.6
     assert values.max() < 1.3
-    with pytest.raises(ValueError, match="matrices"):
-        projection.newton_schulz(np.ones(3))
 
 
-def test_scores_of_wide_layers_in_blocks(spark, monkeypatch):
+def random_rows(rng, samples, layers, tokens, n_in, n_out):
+    return [(i, i // 2, k, [float(x) for x in rng.normal(size=n_in)], [float(x) for x in rng.normal(size=n_out)]) for i in range(samples) for k in layers for _ in range(tokens)]
+
+
+ROW = "sample_id long, step long, layer int, a array<double>, b array<double>"
+
+
+@pytest.mark.parametrize("group_bytes", [1 << 26, 3000])
+def test_scores_of_wide_layers_in_blocks(spark, group_bytes):
     rng = np.random.default_rng(8)
-    rows = [(i, i // 2, layer, [float(x) for x in rng.normal(size=96)], [float(x) for x in rng.normal(size=64)]) for i in range(6) for layer in (0, 1, 7) for _ in range(3)]
-    df = spark.createDataFrame(rows, "sample_id long, step long, layer int, a array<double>, b array<double>").repartition(3)
-    direction = {0: rng.normal(size=(64, 96)), 1: rng.normal(size=(64, 96)), 5: rng.normal(size=(64, 96))}
+    rows = random_rows(rng, 6, (0, 1, 7), 3, 96, 64)
+    df = spark.createDataFrame(rows, ROW).repartition(3)
+    direction = {k: rng.normal(size=(64, 96)) for k in (0, 1, 5)}
     want = {}
     for i, _, layer, a, b in rows:
         want[i] = want.get(i, 0.0) + (np.array(b) @ direction[layer] @ np.array(a) if layer in direction else 0.0)
-    assert len(scoring.blocks_of(direction, 10_000)) > 12
-    for most in (1 << 26, 10_000):
-        monkeypatch.setattr(scoring.blocks_of, "__defaults__", (most,))
-        assert {r.sample_id: r.score for r in scoring.scored(df, direction).collect()} == {i: pytest.approx(x) for i, x in want.items()}
+    found = blocks.scored(df, matrices(spark, direction, 20), group_bytes=group_bytes)
+    assert {r.sample_id: r.score for r in found.collect()} == {i: pytest.approx(x) for i, x in want.items()}
     with pytest.raises(ValueError, match="no layer"):
-        scoring.scored(df, {})
+        blocks.scored(df, matrices(spark, direction).limit(0))
+
+
+@pytest.mark.parametrize("group_bytes", [1 << 26, 3000])
+def test_dots_go_either_way(spark, group_bytes):
+    """Layer 0 has more weights than pairs of tokens, layer 1 fewer."""
+    rng = np.random.default_rng(9)
+    rows, val = ([*random_rows(rng, n, (0,), 2, 12, 10), *random_rows(rng, n, (1,), 6, 3, 2)] for n in (8, 4))
+    mean = {}
+    for _, _, k, a, b in val:
+        mean[k] = mean.get(k, 0) + np.outer(b, a) / 4
+    want = {}
+    for i, _, k, a, b in rows:
+        want[i] = want.get(i, 0.0) + np.array(b) @ mean[k] @ np.array(a)
+    r, v = (spark.createDataFrame(x, ROW).repartition(4) for x in (rows, val))
+    for found in (blocks.dots(r, v, group_bytes), blocks.gram_dots(r, v, group_bytes, 3)):
+        assert {x.sample_id: x.score for x in found.collect()} == {i: pytest.approx(x) for i, x in want.items()}
+    assert np.allclose(dense(blocks.gradient(v, 4, group_bytes), 0, 4), mean[0])
+    with pytest.raises(ValueError, match="no layer"):
+        blocks.dots(r, v.limit(0))
+
+
+def test_preconditioners_by_numpy(spark):
+    rng = np.random.default_rng(10)
+    st = {n: rng.normal(size=(7, 5)) ** (2 if n in ("v", "before", "raw") else 1) for n in ("v", "m", "g", "before", "raw")}
+    state = blocks.aligned(**{n: matrices(spark, {0: x}) for n, x in st.items()})
+    hat = np.sqrt(st["v"] / (1 - 0.999**10)) + 1e-8
+    mask = st["m"] / hat * st["g"] > 0
+    assert 0 < mask.sum() < mask.size
+    want = {"adamw": 1 / hat, "adopt": 1 / np.sqrt(st["before"] / (1 - 0.999**9)), "mars": 1 / (np.sqrt(st["raw"]) + 1e-8), "sophia": 1 / np.maximum(0.04 * st["v"], 1e-12), "lion": np.sign(st["m"]), "cadamw": mask * (35 / (mask.sum() + 1)) / hat}
+    for kind, c in want.items():
+        assert np.allclose(dense(blocks.kernel(kind, state)), c), kind
+    assert blocks.kernel("sgd", state) is None
+    assert blocks.kernel("cadamw", state.drop("g")) is None
 
 
 def test_muon_is_the_product_of_both_sides(spark):
     rng = np.random.default_rng(12)
-    rows = [(i, 0, k, [float(x) for x in rng.normal(size=4)], [float(x) for x in rng.normal(size=3)]) for i in range(4) for k in (0, 1) for _ in range(2)]
-    df = spark.createDataFrame(rows, "sample_id long, step long, layer int, a array<double>, b array<double>")
+    rows = random_rows(rng, 4, (0, 1), 2, 4, 3)
+    df = spark.createDataFrame(rows, ROW)
     val = {k: (rng.normal(size=4), rng.normal(size=3)) for k in (0, 1)}
     momentum = {k: rng.normal(size=(3, 4)) for k in (0, 1)}
-    root = {k: scoring.inverse_root(m) for k, m in momentum.items()}
+    root = {}
+    for k, m in momentum.items():
+        w, q = np.linalg.eigh(m.T @ m + 1e-6 * np.eye(4))
+        root[k] = (q / np.sqrt(np.maximum(w, 1e-6))) @ q.T
     each, sums = {}, {}
     for i, _, k, a, b in rows:
         x, y = np.array(a) @ root[k] @ val[k][0], np.array(b) @ val[k][1]
         each[i] = each.get(i, 0.0) + x * y
         s = sums.setdefault(i, {}).setdefault(k, [0.0, 0.0])
         s[0], s[1] = s[0] + x, s[1] + y
-    assert {r.sample_id: r.score for r in scoring.muon_scores(df, val, momentum).collect()} == {i: pytest.approx(x) for i, x in each.items()}
-    assert {r.sample_id: r.score for r in scoring.muon_scores(df, val, momentum, compat=True).collect()} == {i: pytest.approx(sum(x * y for x, y in s.values())) for i, s in sums.items()}
-    with pytest.raises(ValueError, match="matrices"):
-        scoring.muon_scores(df, val, {0: np.ones(4), 1: np.ones(4)})
+    vectors = spark.createDataFrame([(k, a.tolist(), b.tolist()) for k, (a, b) in val.items()], "layer int, a array<double>, b array<double>")
+    m = matrices(spark, momentum, 2)
+    found = blocks.scored(df, blocks.muon_direction(m, blocks.outer(vectors, 2), size=2))
+    assert {r.sample_id: r.score for r in found.collect()} == {i: pytest.approx(x) for i, x in each.items()}
+    assert {r.sample_id: r.score for r in blocks.muon_products(df, m, vectors, size=2).collect()} == {i: pytest.approx(sum(x * y for x, y in s.values())) for i, s in sums.items()}
 
 
 def test_convolution_is_linear_over_patches(spark):
@@ -330,16 +385,16 @@ def test_cosines_need_norms(spark):
 
 
 def test_layers_without_a_stored_rotation_are_scored_plainly(spark):
-    rows = spark.createDataFrame([(1, 0, k, [1.0, 2.0], [3.0, 4.0]) for k in range(2)], "sample_id long, step long, layer int, a array<double>, b array<double>")
-    val = {k: (np.array([1.0, -1.0]), np.array([0.5, 2.0])) for k in range(2)}
-    turn = np.array([[0.6, 0.8], [-0.8, 0.6]])
-    states = {0: {"v": np.ones((2, 2)), "Q": (turn, turn)}, 1: {"v": np.ones((2, 2))}}
-    kernel, left, right = scoring.rotated_state(states, 3)
-    assert set(kernel) == {0}
-    a, b = np.array([1.0, 2.0]), np.array([3.0, 4.0])
-    va, vb = val[0]
-    one = (turn.T @ b) @ (kernel[0] * np.outer(turn.T @ vb, turn.T @ va)) @ (turn.T @ a)
-    assert scoring.rotated_scores(rows, val, kernel, left, right).first().score == pytest.approx(one + (b @ vb) * (a @ va))
+    rows = spark.createDataFrame([(1, 0, k, [1.0, 2.0], [3.0, 4.0]) for k in range(2)], ROW)
+    a, b, va, vb = np.array([1.0, 2.0]), np.array([3.0, 4.0]), np.array([1.0, -1.0]), np.array([0.5, 2.0])
+    turn, v = np.array([[0.6, 0.8], [-0.8, 0.6]]), np.array([[1.0, 2.0], [3.0, 4.0]])
+    vectors = spark.createDataFrame([(k, va.tolist(), vb.tolist()) for k in range(2)], "layer int, a array<double>, b array<double>")
+    # the basis is in the columns of ``turn``
+    basis = blocks.transposed(matrices(spark, {0: turn}))
+    direction = blocks.rotated_direction(blocks.rotated_kernel(matrices(spark, {0: v}), 3), blocks.outer(vectors), basis, basis)
+    kernel = 1 / (np.sqrt(v / (1 - 0.999**3)) + 1e-8)
+    one = (turn.T @ b) @ (kernel * np.outer(turn.T @ vb, turn.T @ va)) @ (turn.T @ a)
+    assert blocks.scored(rows, direction).first().score == pytest.approx(one + (b @ vb) * (a @ va))
 
 
 def test_crops_lie_inside(spark):
