@@ -206,7 +206,11 @@ def shared_rows(nodes: DataFrame, percent: int) -> DataFrame:
     """
     rows = nodes.select("nid", "size", "at", F.posexplode("prefix").alias("k", "token")).select("nid", "size", (F.col("at") + F.col("k")).alias("pos"), "token")
     rows = rows.withColumn("indexed", F.col("pos") <= F.col("size") - least_common(F.col("size"), F.col("size"), percent))
-    groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("indexed").alias("indexed_n")).filter("n > 1 and indexed_n > 0").select("token", "n")
+    rest = F.col("size") - F.col("pos")
+    groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("indexed").alias("indexed_n"), F.min("size").alias("least"), F.max("size").alias("most"), F.min(rest).alias("rest")).filter("n > 1 and indexed_n > 0")
+    # most groups are two sets that share a shingle by chance: both filters of a pair can be told from the group
+    pair_passes = (F.col("least") * 100 >= F.col("most") * percent) & (F.col("rest") >= least_common(F.col("least"), F.col("most"), percent))
+    groups = groups.filter((F.col("n") > 2) | pair_passes).select("token", "n")
     return materialize(join_to_one(rows, materialize(groups, "groups"), "token", "n", ["nid"], TOGETHER), "shared")
 
 
