@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm._shared import id_and_text, id_type, join_to_one, materialize, small_batches
@@ -225,36 +225,35 @@ def open_groups(rows: DataFrame) -> tuple[DataFrame, int, int]:
     return found, total[0] or 0, total[1] or 0
 
 
+def met(few: DataFrame, many: DataFrame) -> DataFrame:
+    """Rows (few, many) of one token and different components. A large group's ``many`` are dealt to several tasks, and its ``few`` go to each."""
+    parts = F.greatest(F.ceil(F.col("n") / TOGETHER).cast("int"), F.lit(1))
+    spread = few.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).alias("few")
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64("nid"), parts.cast("long")).cast("int")).alias("many")
+    return spread.join(dealt, (F.col("few.token") == F.col("many.token")) & (F.col("few.salt") == F.col("many.salt")) & (F.col("few.comp") != F.col("many.comp")))
+
+
 def star_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of some members of each group, chosen by hashes, and all others.
+    """Pairs (a, b) of some members of each group and others.
 
-    The least hashes choose them, so groups that share members mostly choose the same ones.
+    The least hashes choose the centres, so groups that share members mostly choose the same ones. First some of
+    all members meet all; later on, more of the group's main component meet what isn't of it.
     """
-    least = [F.min(F.struct(F.xxhash64(F.lit(turn * CENTRES + k), "nid").alias("h"), "nid", "size", "pos", "comp")) for k in range(CENTRES)]
-    groups = rows.groupBy("token").agg(F.array_distinct(F.transform(F.array(*least), lambda x: x.dropFields("h"))).alias("xs"), F.count(F.lit(1)).alias("m"))
-    met = join_to_one(rows, groups, "token", "m", ["nid"], TOGETHER).select(F.struct("nid", "size", "pos", "comp").alias("y"), "xs")
-    # filtered before rows are made of them
-    apart = F.filter("xs", lambda x: (x["comp"] != F.col("y.comp")) & (F.least(x["size"], F.col("y.size")) * 100 >= F.greatest(x["size"], F.col("y.size")) * percent))
-    spread = met.select("y", F.explode(apart).alias("x"))
-    return spread.filter(can_be_similar("x", "y", percent, False) | can_be_similar("y", "x", percent, False)).select(*pair("x", "y")).distinct()
+    rest = F.col("comp") != F.col("main")
+    own, many = (rows, rows) if turn == 0 else (rows.filter(~rest), rows.filter(rest))
+    order = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "nid"))
+    # Spark keeps the first rows of a group before it deals them out
+    centres = own.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= CENTRES * 4**turn).drop("k")
+    both = met(centres, many)
+    return both.filter(can_be_similar("few", "many", percent, False) | can_be_similar("many", "few", percent, False)).select(*pair("few", "many")).distinct()
 
 
 def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of sets of different components that pass the filters.
-
-    Of each group only what isn't of its main component meets all others; a large group is dealt to several tasks.
-    """
-    parts = F.greatest(F.ceil(F.col("n") / TOGETHER).cast("int"), F.lit(1))
+    """All pairs (a, b) of sets of different components that pass the filters. Of each group only what isn't of its main component meets all others."""
     rest = F.col("comp") != F.col("main")
-    out = []
-    for few, many, y in ((rows.filter(rest & F.col("indexed")), rows, "few"), (rows.filter(rest), rows.filter(~rest & F.col("indexed")), "many")):
-        # the side that is dealt out is the one that grows with the group
-        spread = few.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).alias("few")
-        dealt = many.withColumn("salt", F.pmod(F.xxhash64("nid"), parts.cast("long")).cast("int")).alias("many")
-        x = "many" if y == "few" else "few"
-        on = (F.col("few.token") == F.col("many.token")) & (F.col("few.salt") == F.col("many.salt")) & (F.col("few.comp") != F.col("many.comp"))
-        out.append(spread.join(dealt, on & can_be_similar(x, y, percent, True)).select(*pair("few", "many")))
-    return out[0].union(out[1]).distinct()
+    first = met(rows.filter(rest & F.col("indexed")), rows).filter(can_be_similar("many", "few", percent, True))
+    second = met(rows.filter(rest), rows.filter(~rest & F.col("indexed"))).filter(can_be_similar("few", "many", percent, True))
+    return first.union(second).select(*pair("few", "many")).distinct()
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
