@@ -200,3 +200,10 @@ def chunk_size(batch: Column, asked: Column) -> Column:
     """The largest divisor of a batch that is no larger than asked for; 1 where less than one is asked for."""
     found = F.filter(F.sequence(F.lit(1).cast("bigint"), F.greatest(asked.cast("bigint"), F.lit(1).cast("bigint"))), lambda d: batch % d == 0)
     return F.array_max(found)
+
+
+def breakdown(rows: DataFrame, kind: Column, name: str) -> DataFrame:
+    """``name``, n, place (the most common first, ties by name) and percent of all: a row for each kind."""
+    counts = rows.groupBy(kind.alias(name)).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), name)).cast("bigint")  # a row for each kind
+    return counts.withColumn("place", place).withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))

@@ -88,3 +88,10 @@ def logit_histogram(logits: DataFrame, low: float, high: float, bins: int) -> Da
     """bin, n of all logits: equal bins between low and high, outer ones open."""
     place = F.floor((F.col("z") - low) / (high - low) * bins)
     return logits.groupBy(F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def expert_shares(chosen: DataFrame, layers: int) -> DataFrame:
+    """layer (first, mid, last), expert, n, share of the layer's choices, of rows (layer from 0, expert)."""
+    named = F.when(F.col("layer") == 0, "first").when(F.col("layer") == layers - 1, "last").when(F.col("layer") == layers // 2, "mid")
+    counts = chosen.withColumn("layer", named).filter("layer is not null").groupBy("layer", "expert").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("layer")))  # a row for each expert

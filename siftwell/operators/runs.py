@@ -153,3 +153,12 @@ def filled(places: DataFrame, items: DataFrame, rank: str) -> DataFrame:
     # one row
     counts = F.broadcast(places.agg(F.count(F.lit(1)).alias("_p")).join(items.agg(F.count(F.lit(1)).alias("_i"))).select(F.assert_true(F.col("_p") == F.col("_i"), F.concat(F.col("_p").cast("string"), F.lit(" places for "), F.col("_i").cast("string"), F.lit(" items"))).alias("_checked")))
     return places.join(items, rank).join(counts, F.col("_checked").isNull()).drop("_checked")
+
+
+def text_reward(text: Column, answer: Column) -> Column:
+    """A completion's reward: 0 if it is empty; a tenth where over a tenth of its characters aren't ASCII; less the more
+    capitals it has, down to a tenth; twice that if it has the expected answer in any case, else half."""
+    n = F.length(text)
+    odd, upper = F.length(F.regexp_replace(text, r"[\x00-\x7F]", "")) / n, F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) / n
+    value = F.when(odd > 0.1, 0.1).otherwise(1.0) * (1 - 0.9 * upper) * F.when(F.contains(F.lower(text), F.lower(answer)), 2.0).otherwise(0.5)
+    return F.when(n == 0, 0.0).otherwise(value)

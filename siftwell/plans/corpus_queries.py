@@ -138,12 +138,12 @@ def file_numbers(spark, sf_dir):
     return corpora.numbered_files(e).filter("number is not null")
 
 
-@query("source_breakdown", "SELECT kind, count(*)::BIGINT AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM (SELECT CASE WHEN contains(url, '.net') THEN 'net' WHEN regexp_matches(url, '/[0-9]+$') THEN 'numbered' ELSE 'other' END AS kind FROM pages) GROUP BY kind")
+@query("source_breakdown", "WITH f AS (SELECT CASE page_id % 4 WHEN 0 THEN 'gqa/images/' || page_id || '.jpg' WHEN 1 THEN lpad(page_id::VARCHAR, 12, '0') || '.jpg' WHEN 2 THEN 'vg/' || page_id || '.jpg' ELSE 'page' || page_id || '.png' END AS name FROM pages), k AS (SELECT CASE WHEN contains(name, '/') THEN split_part(name, '/', 1) WHEN regexp_matches(name, '^\\d{12}\\.jpg$') THEN 'coco' ELSE 'other' END AS kind FROM f) SELECT kind, count(*)::BIGINT AS n, row_number() OVER (ORDER BY count(*) DESC, kind) AS place, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM k GROUP BY kind")
 def source_breakdown(spark, sf_dir):
-    kind = F.when(F.col("url").contains(".net"), "net").when(F.col("url").rlike("/[0-9]+$"), "numbered").otherwise("other")
-    n = table(spark, sf_dir, "pages").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    return n.join(F.broadcast(total)).select("kind", "n", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 6).alias("percent"))
+    """Pages as image files: how many have each source, the most common first. The folder that a name begins with is the source, or what a bare name looks like."""
+    k, page = F.col("page_id") % 4, F.col("page_id").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("gqa/images/"), page, F.lit(".jpg"))).when(k == 1, F.concat(F.lpad(page, 12, "0"), F.lit(".jpg"))).when(k == 2, F.concat(F.lit("vg/"), page, F.lit(".jpg"))).otherwise(F.concat(F.lit("page"), page, F.lit(".png")))
+    return C.breakdown(table(spark, sf_dir, "pages").select(name.alias("name")), corpora.image_source(F.col("name")), "kind").withColumn("percent", F.round("percent", 6))
 
 
 @query("guidance_dropout", "SELECT doc_id, (('0x' || substr(md5(concat_ws(':', '5', doc_id, 'text')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 < 0.1 AS no_text, (('0x' || substr(md5(concat_ws(':', '5', doc_id, 'lang')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 < 0.1 AS no_lang FROM documents")
@@ -281,6 +281,13 @@ def rank_shards(spark, sf_dir):
     return ranked.select("doc_id", ((F.col("rn") - 1) % 4).alias("shard"))
 
 
+@query("node_shards", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 3 AS node, ((row_number() OVER (ORDER BY doc_id) - 1) // 3) % 4 AS rank FROM documents")
+def node_shards(spark, sf_dir):
+    """Documents dealt to three nodes in turn, and within a node to its four ranks."""
+    k = F.col("rn") - 1
+    return ranking.global_rank(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", ["doc_id"]).select("doc_id", (k % 3).alias("node"), (F.floor(k / 3) % 4).alias("rank"))
+
+
 @query("rank_batches", "SELECT p_partkey, 1 + p_partkey % 16 AS world, CASE WHEN (p_size * 8) % (1 + p_partkey % 16) = 0 THEN p_size * 8 // (1 + p_partkey % 16) END AS batch, gcd(p_size::BIGINT, 1 + p_partkey % 16) AS ranks_by_steps, p_size // gcd(p_size::BIGINT, 1 + p_partkey % 16) AS steps FROM part")
 def rank_batches(spark, sf_dir):
     """Parts as runs: batches dealt to ranks (null where they can't be dealt evenly), and accumulation steps by their common divisor with the ranks."""
@@ -330,9 +337,9 @@ def infinite_loop(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("epoch"), "doc_id")
 
 
-@query("domain_counts", "SELECT source, lang, count(*)::BIGINT AS docs, sum(n_chars)::BIGINT AS chars, min(doc_id) AS first_doc FROM documents GROUP BY source, lang")
+@query("domain_counts", "SELECT source, lang, count(*)::BIGINT AS docs, sum(n_chars)::BIGINT AS chars, min(doc_id) AS first_doc, sum(strlen(text))::BIGINT // 2 AS tokens_of_file FROM documents GROUP BY source, lang")
 def domain_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first_doc"))
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first_doc"), F.floor(F.sum(F.octet_length("text")) / 2).cast("bigint").alias("tokens_of_file"))
 
 
 @query("domain_groups", "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import ranking
+from siftwell.operators import routing as R
 from siftwell.operators import runs as RUN
 from siftwell.plans.corpus_queries import table
 from siftwell.plans.registry import query
@@ -296,6 +297,20 @@ def reorder_tokens(spark, sf_dir):
     return ranking.running_sum(top.withColumn("at", F.col("expert") * (1 << 40) + F.col("tok")), "at", ["at"], F.lit(1), "place").select("tok", "expert", "place")
 
 
+@query("expert_shares", f"WITH {SOFT}, x AS (SELECT tok % 5 AS layer, expert FROM sm WHERE rk <= 2), n AS (SELECT layer, expert, count(*)::BIGINT AS n FROM x GROUP BY ALL) SELECT CASE layer WHEN 0 THEN 'first' WHEN 2 THEN 'mid' ELSE 'last' END AS layer, expert, n, round(n / sum(n) OVER (PARTITION BY layer), 6) AS share FROM n WHERE layer IN (0, 2, 4)")
+def expert_shares(spark, sf_dir):
+    """Tokens of five layers: what share of the first, the middle and the last layer's choices each expert has."""
+    chosen = softmaxed(spark, sf_dir).filter("rk <= 2").select((F.col("tok") % 5).alias("layer"), "expert")
+    return R.expert_shares(chosen, 5).withColumn("share", F.round("share", 6))
+
+
+@query("split_losses", "WITH b AS (SELECT CASE WHEN event_id % 10 = 9 THEN 'val' ELSE 'train' END AS split, event_id // 16 AS batch, avg(value) AS loss FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY batch) AS n FROM b) SELECT split, count(*)::BIGINT AS batches, round(avg(loss), 6) AS loss FROM r WHERE n <= 25 GROUP BY split")
+def split_losses(spark, sf_dir):
+    """The mean of the first 25 batches' losses of either split."""
+    batches = table(spark, sf_dir, "events").groupBy(F.when(F.col("event_id") % 10 == 9, "val").otherwise("train").alias("split"), F.expr("event_id div 16").alias("batch")).agg(F.avg("value").alias("loss"))
+    return RUN.mean_loss(batches, "split", "batch", "loss", 25).withColumn("loss", F.round("loss", 6))
+
+
 @query("combine_experts", f"WITH {SOFT} SELECT tok, round(sum(p * (expert + 1)), 6) AS y FROM sm WHERE rk <= 2 GROUP BY tok")
 def combine_experts(spark, sf_dir):
     return softmaxed(spark, sf_dir).filter("rk <= 2").groupBy("tok").agg(F.round(F.sum(F.col("p") * (F.col("expert") + 1)), 6).alias("y"))
@@ -357,13 +372,13 @@ def clipped_policy_loss(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) for c in ("loss", "kl", "entropy", "total", "clipped")])
 
 
-@query("text_reward", "SELECT conv_id, turn, round(CASE WHEN length(text) = 0 THEN 0 ELSE (CASE WHEN length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / length(text)::DOUBLE > 0.1 THEN 0.1 ELSE 1.0 END) * (1 - 0.9 * length(regexp_replace(text, '[^A-Z]', '', 'g')) / length(text)::DOUBLE) * CASE WHEN contains(text, 'the') THEN 2.0 ELSE 0.5 END END, 6) AS reward FROM conversations WHERE role = 'assistant'")
+@query("text_reward", "WITH a AS (SELECT conv_id, min(turn) AS turn, arg_min(split_part(text, ' ', 1), turn) AS answer FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT c.conv_id, c.turn, round(CASE WHEN length(text) = 0 THEN 0 ELSE (CASE WHEN length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / length(text)::DOUBLE > 0.1 THEN 0.1 ELSE 1.0 END) * (1 - 0.9 * length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) / length(text)::DOUBLE) * CASE WHEN contains(lower(text), lower(answer)) THEN 2.0 ELSE 0.5 END END, 6) AS reward FROM conversations c JOIN a USING (conv_id) WHERE role = 'assistant'")
 def text_reward(spark, sf_dir):
-    text, n = F.col("text"), F.length("text")
-    odd = F.length(F.regexp_replace(text, r"[\x00-\x7F]", "")) / n
-    upper = F.length(F.regexp_replace(text, "[^A-Z]", "")) / n
-    value = F.when(odd > 0.1, 0.1).otherwise(1.0) * (1 - 0.9 * upper) * F.when(text.contains("the"), 2.0).otherwise(0.5)
-    return table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.round(F.when(n == 0, 0.0).otherwise(value), 6).alias("reward"))
+    """An assistant's turns, with the first word of the user's first turn as the answer that is expected."""
+    c = table(spark, sf_dir, "conversations")
+    expected = c.filter("role = 'user'").groupBy("conv_id").agg(F.min_by(F.split_part("text", F.lit(" "), F.lit(1)), "turn").alias("answer"))
+    turns = c.filter("role = 'assistant'").join(expected, "conv_id")
+    return turns.select("conv_id", "turn", F.round(RUN.text_reward(F.col("text"), F.col("answer")), 6).alias("reward"))
 
 
 @query("loss_compare", "SELECT a.l_orderkey AS step, round(a.v, 4) AS baseline, round(b.v, 4) AS test, round(b.v - a.v, 4) AS diff FROM (SELECT l_orderkey, sum(l_tax) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) a JOIN (SELECT l_orderkey, sum(l_discount) AS v FROM lineitem WHERE l_linenumber > 2 GROUP BY 1) b USING (l_orderkey)")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Ids after which a task begins another file, which bounds what one task reads back.
 FILE_IDS = 8 << 20
-MANIFEST = "split string, domain string, file_name string, n_docs long, n_tokens long"
+MANIFEST = "split string, domain string, file_name string, n_docs long, n_tokens long, append string"
 
 
 def domain_folder(domain: str | None) -> str:
@@ -73,14 +73,10 @@ def append_tokens(docs: DataFrame, folder: str, file_ids: int = FILE_IDS) -> Dat
     # sorted in ranges, so a large domain is dealt to several tasks
     ordered = docs.select("split", "domain", "doc_id", "ids").repartitionByRange("split", "domain", "doc_id").sortWithinPartitions("split", "domain", "doc_id")
     path = f"{folder}/_manifests"
-    before = [r[0] for r in read_manifest(spark, folder).select("file_name").collect()] if exists(spark, path) else []
-    ordered.select("split", "domain", "ids").mapInArrow(write, MANIFEST).write.mode("append").parquet(path)
-    return read_manifest(spark, folder).filter(~F.col("file_name").isin(before)) if before else read_manifest(spark, folder)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    own = uuid.uuid4().hex
+    written = ordered.select("split", "domain", "ids").mapInArrow(write, MANIFEST.removesuffix(", append string"))
+    written.withColumn("append", F.lit(own)).write.mode("append").parquet(path)
+    return read_manifest(spark, folder).filter(F.col("append") == own).drop("append")
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,24 +86,26 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 def read_tokens(spark: SparkSession, folder: str, domains: list[str] | None = None) -> DataFrame:
     """split, domain, file_name, place, ids of each document that manifests name (of some domains only, if given); place is from 0 in its file.
 
-    A file is one row of Spark's reader; writers roll files to bound that.
+    Tasks open the files that the manifests deal to them, one at a time; writers roll files to bound that.
     """
     manifest = read_manifest(spark, folder)
     if domains is not None:
         manifest = manifest.filter(F.col("domain").isin(domains))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bin").load(folder)
-    lengths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.len").load(folder)
-    key = lambda ext: F.regexp_extract("path", rf"([^/]+)\.{ext}$", 1)
-    named = manifest.withColumn("key", F.regexp_extract("file_name", r"([^/]+)\.bin$", 1))
-    joined = named.join(files.select(key("bin").alias("key"), F.col("content").alias("bin")), "key").join(lengths.select(key("len").alias("key"), F.col("content").alias("len")), "key")
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+
+        def content(name: str) -> bytes:
+            with store.open_input_stream(f"{root}/{name}", compression=None) as f:
+                return f.read()
+
         for batch in batches:
-            for s, d, name, n, data, len_data in zip(*(batch.column(c).to_pylist() for c in ("split", "domain", "file_name", "n_tokens", "bin", "len")), strict=True):
-                sizes, ids = np.load(io.BytesIO(len_data)), np.frombuffer(data, "<u2").astype(np.int32)
+            for s, d, name, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sizes, ids = np.load(io.BytesIO(content(f"{name.removesuffix('.bin')}.len"))), np.frombuffer(content(name), "<u2").astype(np.int32)
                 if sizes.sum() != len(ids) or len(ids) != n:
                     raise ValueError(f"{name} has {len(ids)} ids; its lengths sum to {sizes.sum()} and its manifest says {n}")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([pa.array([x] * len(sizes), pa.string()) for x in (s, d, name)] + [pa.array(np.arange(len(sizes))), lists], names=["split", "domain", "file_name", "place", "ids"])
 
-    return joined.select("split", "domain", "file_name", "n_tokens", "bin", "len").mapInArrow(split, "split string, domain string, file_name string, place long, ids array<int>")
+    named = manifest.select("split", "domain", "file_name", "n_tokens").repartition("file_name")
+    return named.mapInArrow(read, "split string, domain string, file_name string, place long, ids array<int>")

@@ -82,6 +82,11 @@ def task_text(df: DataFrame, task: str) -> DataFrame:
     return df.withColumn("text", F.concat_ws(separator, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
 
 
+def image_source(name: Column) -> Column:
+    """The source of an image by its file name: the folder that it begins with; coco for twelve digits; other."""
+    return F.when(name.contains("/"), F.split_part(name, F.lit("/"), F.lit(1))).when(name.rlike(r"^\d{12}\.jpg$"), "coco").otherwise("other")
+
+
 def split_name(split: Column) -> Column:
     """The split that a source's own name stands for: train, or val for its test or validation part; others raise."""
     name = F.lower(split)

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from siftwell.functions.ranking import running_sum
-from siftwell.functions.tokens import checksum, n_char_ids
+from siftwell.functions.tokens import checksum
 from siftwell.operators.corpus import tokenized
 from siftwell.plans.corpus_queries import table
 from siftwell.plans.registry import query
