@@ -259,8 +259,11 @@ class Group:
     """Exact links among the texts of a group, as its connected components.
 
     Texts are rows of shingle numbers and weights. Shingles are in order of their frequency in the
-    group, rare ones first. Two sets that are similar share one of the first shingles that make up
-    the part of their weight that they may differ in, so only such pairs are candidates. Pairs
+    group, rare ones first. Two sets that are similar share a shingle that is among the first of both:
+    among those of the heavier one that make up the part of its weight that it may differ in, and among
+    those of the lighter one that make up the part that it may lack, as both have a share of
+    2 s / (1 + s) of the lighter one's weight at least. So heavier texts look for lighter ones, heaviest
+    first, and texts that are alike but under the threshold, as pages of one template, don't meet. Pairs
     within a component are not tried. 1 - similarity is a metric: where a text has many candidates
     it is compared with all, and those so near to it that no text beyond the threshold can be
     similar to them leave with it.
@@ -280,12 +283,14 @@ class Group:
         w = self.weights[order]
         before = np.cumsum(w) - w
         before -= np.repeat(before[self.starts[:-1][self.sizes > 0]], self.sizes[self.sizes > 0])
-        kept = order[self.totals[rows] - before >= similar * self.totals[rows] - 1e-6]
-        #: The first shingles of each text, and the texts of each shingle that is among their first.
-        self.first_cols, first_rows = self.cols[kept], rows[kept]
-        self.first_starts = np.searchsorted(first_rows, np.arange(n + 1))
-        by_col = np.argsort(self.first_cols, kind="stable")
-        self.holders, self.holder_starts = first_rows[by_col], np.searchsorted(self.first_cols[by_col], np.arange(len(keys) + 1))
+        rest = self.totals[rows] - before
+        kept = order[rest >= similar * self.totals[rows] - 1e-6]
+        #: The first shingles of each text as the heavier one of a pair, and for each shingle the texts that have it among their first as the lighter one.
+        self.first_cols = self.cols[kept]
+        self.first_starts = np.searchsorted(rows[kept], np.arange(n + 1))
+        indexed = order[rest >= 2 * similar / (1 + similar) * self.totals[rows] - 1e-6]
+        by_col = indexed[np.argsort(self.cols[indexed], kind="stable")]
+        self.holders, self.holder_starts = rows[by_col], np.searchsorted(self.cols[by_col], np.arange(len(keys) + 1))
         self.dense = np.zeros(len(keys))
         self.label = np.arange(n)
 
@@ -302,7 +307,7 @@ class Group:
         first = self.first_cols[self.first_starts[x] : self.first_starts[x + 1]]
         starts = self.holder_starts[first]
         found = np.unique(self.holders[runs(starts, self.holder_starts[first + 1] - starts)])
-        ratio = np.minimum(self.totals[found], self.totals[x]) >= (self.similar - 1e-9) * np.maximum(self.totals[found], self.totals[x])
+        ratio = (self.totals[found] >= (self.similar - 1e-9) * self.totals[x]) & (self.totals[found] <= self.totals[x])
         return found[open_[found] & ratio & (self.label[found] != self.label[x])]
 
     def unite(self, x: int, others: np.ndarray) -> None:
@@ -313,7 +318,7 @@ class Group:
     def link(self) -> list[tuple[bytes, bytes]]:
         """(text, the first text of its component) of all texts that have links."""
         far, open_ = 1 - self.similar + 1e-9, self.sizes > 0
-        for x in range(len(self.names)):
+        for x in np.argsort(-self.totals, kind="stable").tolist():
             if not open_[x]:
                 continue
             open_[x] = False
@@ -368,6 +373,36 @@ def link_groups(rows: DataFrame, weights, similar: float) -> DataFrame:
     return rows.repartition("leader").sortWithinPartitions("leader", "node").select("leader", "node", "text").mapInArrow(run, "a binary, b binary")
 
 
+def with_candidates(rows: DataFrame, weights, similar: float) -> DataFrame:
+    """The ``rows`` (leader, node, text, size) that can be similar to another of their group: that share one of their first shingles.
+
+    As ``Group`` finds candidates, but with the order of the whole corpus and the shingles dealt over tasks: texts
+    of a large group that are alike, but under the threshold, leave it here.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found, indexed = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                keys, w = weighted(text, weights.value)
+                w = w.astype(np.float64)
+                order = np.lexsort((keys, -weights.value[buckets(keys)]))
+                rest = w.sum() - (np.cumsum(w[order]) - w[order])
+                k = int((rest >= similar * w.sum() - 1e-6).sum())
+                at.append(np.full(k, i))
+                found.append(keys[order[:k]].view(np.int64))
+                indexed.append(rest[:k] >= 2 * similar / (1 + similar) * w.sum() - 1e-6)
+            own = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.concatenate(found)), pa.array(np.concatenate(indexed))], names=["leader", "node", "shingle", "indexed"])
+
+    tokens = rows.select("leader", "node", "text").mapInArrow(first, "leader binary, node binary, shingle long, indexed boolean")
+    shared = tokens.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("n"), F.count_if("indexed").alias("i")).filter("n > 1 and i > 0")
+    key = F.struct("leader", "shingle")
+    met = join_to_one(tokens.select(key.alias("key"), "node"), materialize(shared.select(key.alias("key"), "n"), "first-shingles"), "key", "n", ["node"])
+    kept = met.select("key.leader", "node").distinct()
+    return rows.join(kept, ["leader", "node"], "left_semi")
+
+
 def shrink_groups(rows: DataFrame, weights, similar: float, count: int) -> tuple[DataFrame, DataFrame]:
     """Take each large group of ``rows`` (leader, node, text, size) apart around ``count`` of its texts: (links, what is left).
 
@@ -441,7 +476,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, group: int = GROU
     words have one shingle of all of them; a null text is empty. Null ids count only where a class
     has no other. No rows: no rows. Other columns are not read, so their names can't clash.
 
-    A group of more than ``group`` shingles isn't linked by one task; it is taken apart first.
+    A group of more than ``group`` shingles isn't linked by one task: texts that no other can be similar to
+    leave it, and the rest is taken apart.
     """
     spark, kind = docs.sparkSession, id_type(docs, id_col)
     small_batches(spark)
@@ -485,13 +521,13 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, group: int = GROU
         else:
             all_rows = materialize(grouped.dropDuplicates(["leader", "node"]), "grouped")
             links.append(link_groups(all_rows.join(large, "leader", "left_anti"), weights, similar))
-            left = all_rows.join(large, "leader", "left_semi")
+            left = materialize(with_candidates(all_rows.join(large, "leader", "left_semi"), weights, similar), "large")
             while not left.isEmpty():
-                found, rest = shrink_groups(left, weights, similar, LEADERS)
-                rest = materialize(rest, "rest")
-                large = rest.groupBy("leader").agg(F.sum("size").alias("total")).filter(F.col("total") > group).select("leader")
-                links += [found, link_groups(rest.join(large, "leader", "left_anti"), weights, similar)]
-                left = rest.join(large, "leader", "left_semi")
+                large = left.groupBy("leader").agg(F.sum("size").alias("total")).filter(F.col("total") > group).select("leader")
+                links.append(link_groups(left.join(large, "leader", "left_anti"), weights, similar))
+                found, rest = shrink_groups(left.join(large, "leader", "left_semi"), weights, similar, LEADERS)
+                links.append(found)
+                left = materialize(rest, "rest")
     if links:
         all_links = links[0]
         for more in links[1:]:
