@@ -43,13 +43,13 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the workspace and read it again.
 
     Survives lost executors, since the files are in shared storage.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,10 +1,10 @@
 """Token counts without token ids.
 
 Merges never cross a pre-token, so a document has as many tokens as its pre-tokens
-have pieces. The most frequent pre-tokens of a sample are counted first and carried to
-all tasks as a table of fixed size; it only saves work. All other pre-tokens of a
-document go, with their frequencies, to a table; the distinct ones of it are counted
-once each, joined to it, and summed.
+have pieces. Documents' distinct pre-tokens go, with their frequencies, to a table; the
+distinct ones of all documents are counted once each, by the executors, joined to it, and
+summed. The pre-tokens that most documents have are joined from a table that all tasks
+get, whose size is bounded; the others by a shuffle.
 """
 
 from __future__ import annotations
@@ -20,70 +20,30 @@ from pyspark.sql import functions as F
 from siftwell.llm._shared import id_and_text, id_type, join_to_one, materialize, small_batches
 from siftwell.llm.bpe import byte_bpe
 
-#: Frequent pre-tokens that all tasks hold, with the documents that they are sought in; results don't depend on either.
-FREQUENT, SOUGHT_IN = 100_000, 20_000
-#: Characters of such a pre-token at most, which bounds that table; longer ones are joined.
-LONGEST = 64
+#: Pre-tokens of most documents that all tasks get for their join, and characters of one at most: what bounds that table.
+FREQUENT, LONGEST = 100_000, 64
 
 
-def frequent_pre_tokens(texts: DataFrame, tokenizer: str, most: int, sought_in: int) -> dict[str, int]:
-    """Pieces of the pre-tokens that a sample has most often: ``most`` at most, each of ``LONGEST`` characters at most."""
-    n = texts.select("doc_id").count()
+def frequencies(texts: DataFrame, tokenizer: str, kind: str) -> DataFrame:
+    """doc_id, n_bytes, specials (special tokens in the text), pre_tokens (distinct ones) and times of each document."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(tokenizer)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(w for w in bpe.pre_tokens(text)[0] if len(w) <= LONGEST)
-            if len(found) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["pre_token", "n"])
-                found.clear()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["pre_token", "n"])
-
-    sample = texts.select("text").sample(False, min(1.0, sought_in / max(n, 1)), seed=7)
-    rows = sample.mapInArrow(count, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre_token").limit(most).collect()
-    bpe = byte_bpe(tokenizer)
-    return {r.pre_token: bpe.n_pieces(r.pre_token) for r in rows}
+            specials, words, times = [], [], []
+            for text in batch.column(1).to_pylist():
+                found, n = bpe.pre_tokens(text)
+                own = Counter(found)
+                specials.append(n)
+                words.append(list(own.keys()))
+                times.append(list(own.values()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(specials, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))], names=["doc_id", "n_bytes", "specials", "pre_tokens", "times"])
 
+    return texts.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(run, f"doc_id {kind}, n_bytes long, specials long, pre_tokens array<string>, times array<int>")
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, frequent: int = FREQUENT, sought_in: int = SOUGHT_IN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
-    A null or empty text has no bytes and no tokens. Rows that repeat, and ids that repeat or are
-    null, are each counted and returned. No rows: no rows. Other columns are not read, so their
-    names can't clash.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts, kind = id_and_text(docs, id_col, text_col), id_type(docs, id_col)
-    common = spark.sparkContext.broadcast(frequent_pre_tokens(texts, tokenizer, frequent, sought_in))
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, pieces = byte_bpe(tokenizer), common.value
-        for batch in batches:
-            known, rest, times = [], [], []
-            for text in batch.column(1).to_pylist():
-                words, total = bpe.pre_tokens(text)
-                own = Counter(words)
-                other: dict[str, int] = {}
-                for w, k in own.items():
-                    p = pieces.get(w)
-                    if p is None:
-                        other[w] = k
-                    else:
-                        total += p * k
-                known.append(total)
-                rest.append(list(other.keys()))
-                times.append(list(other.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(known, pa.int64()), pa.array(rest, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))], names=["doc_id", "n_bytes", "known", "pre_tokens", "times"])
-
-    counted = texts.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(frequencies, f"doc_id {kind}, n_bytes long, known long, pre_tokens array<string>, times array<int>")
-    counted = materialize(counted, "pre-tokens")
-    # the rows are fixed in files now, so a row's number stays
-    rows = counted.withColumn("row", F.monotonically_increasing_id())
-    rest = rows.select("row", F.explode(F.arrays_zip("pre_tokens", "times")).alias("x")).select("row", F.col("x.pre_tokens").alias("pre_token"), F.col("x.times").alias("times"))
+def vocabulary(counted: DataFrame, tokenizer: str) -> DataFrame:
+    """pre_token, n (documents that have it) and pieces of each distinct pre-token, counted once."""
 
     @F.pandas_udf("int")
     def n_pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -92,8 +52,31 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, frequent: in
             yield words.map(bpe.n_pieces)
 
     distinct = counted.select(F.explode("pre_tokens").alias("pre_token")).groupBy("pre_token").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = materialize(distinct.withColumn("pieces", n_pieces("pre_token")), "vocabulary")
+    return distinct.withColumn("pieces", n_pieces("pre_token"))
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
+
+    A null or empty text has no bytes and no tokens. Texts of any length are taken whole. Rows that repeat,
+    and ids that repeat or are null, are each counted and returned. No rows: no rows. Other columns are not
+    read, so their names can't clash. ``frequent`` pre-tokens are joined without a shuffle; results don't
+    depend on it.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts, kind = id_and_text(docs, id_col, text_col), id_type(docs, id_col)
+    counted = materialize(frequencies(texts, tokenizer, kind), "pre-tokens", compression="zstd")
+    known = materialize(vocabulary(counted, tokenizer), "vocabulary")
+    common = materialize(known.filter(F.length("pre_token") <= LONGEST).orderBy(F.desc("n"), "pre_token").limit(frequent), "common")
+    # the rows are fixed in files now, so a row's number stays
+    rows = counted.withColumn("row", F.monotonically_increasing_id())
+    pairs = rows.select("row", F.explode(F.arrays_zip("pre_tokens", "times")).alias("x")).select("row", F.col("x.pre_tokens").alias("pre_token"), F.col("x.times").cast("long").alias("times"))
+    pieces = F.sum(F.col("times") * F.col("pieces")).alias("n")
+    near = pairs.join(F.broadcast(common.select("pre_token", "pieces")), "pre_token").groupBy("row").agg(pieces)
     # a pre-token that many documents have is dealt to several tasks
-    sums = join_to_one(rest, vocabulary, "pre_token", "n", ["row"]).groupBy("row").agg(F.sum(F.col("times").cast("long") * F.col("pieces")).alias("others"))
-    total = (F.col("known") + F.coalesce(F.col("others"), F.lit(0))).cast("long")
-    return rows.select("row", "doc_id", "n_bytes", "known").join(sums, "row", "left").select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
+    rare = pairs.join(F.broadcast(common.select("pre_token")), "pre_token", "left_anti")
+    far = join_to_one(rare, known.join(F.broadcast(common.select("pre_token")), "pre_token", "left_anti"), "pre_token", "n", ["row"]).groupBy("row").agg(pieces)
+    sums = near.unionByName(far).groupBy("row").agg(F.sum("n").alias("n"))
+    total = (F.col("specials") + F.coalesce("n", F.lit(0))).cast("long")
+    return rows.select("row", "doc_id", "n_bytes", "specials").join(sums, "row", "left").select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))

@@ -262,7 +262,7 @@ def test_blocks_round_trip(values, percentile):
 def test_token_counts(docs, none):
     encode = byte_bpe(BYTE_BPE).library.encode
     want = Counter((i, len((t or "").encode()), n := len(encode(t or "", add_special_tokens=False).ids), n > 20) for i, t, _ in ROWS)
-    for frequent in (0, 5, 1000):
+    for frequent in (0, 1000):
         assert Counter(map(tuple, token_counts.count_tokens(docs, BYTE_BPE, limit=20, frequent=frequent).collect())) == want
     assert token_counts.count_tokens(none, BYTE_BPE).count() == 0
 
