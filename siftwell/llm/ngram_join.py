@@ -29,14 +29,14 @@ from siftwell.llm.near_dups import BACK, BYTES, HASHED_TOGETHER, PLACES, POWERS,
 WORDS, PERCENT = 3, 90
 #: Document frequencies are counted in hashed buckets, a table of fixed size in chunks; partial sums are salted.
 BUCKET_BITS, CHUNKS, SALTS = 24, 32, 32
-#: Shingles that a task counts together, and the level of a bucket that one shingle of one document is in.
-TOGETHER_COUNTED, ALONE = 1 << 22, 6
+#: Shingles that a task counts together.
+TOGETHER_COUNTED = 1 << 22
 #: Classes of shingles by whose counts the suffix filter bounds what two sets differ in.
 CLASSES = 64
 #: Rows of a shingle's group, and pairs of one set, that one task joins.
 TOGETHER = 10_000
 #: Candidate pairs for each row of the groups, beyond which groups are linked through some members first, and how many.
-PAIRS_A_ROW, CENTRES = 2, 8
+PAIRS_A_ROW, CENTRES = 2, 4
 #: Keys of texts that all tasks get at most; more are joined by a shuffle.
 MOST_SENT = 1 << 20
 
@@ -147,35 +147,29 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
 
 
 def signed(texts: DataFrame, levels: np.ndarray, percent: int, kind: str) -> DataFrame:
-    """doc_id, key (of the text), node (digest of the set; null if it is empty), size, prefix, at, classes (counts of its shingles by class).
-
-    The prefix is the set's first shingles without those that no other document can have, which stand before them; at
-    is its first one's place.
-    """
+    """doc_id, key (of the text), node (digest of the set; null if it is empty), size, prefix (its first shingles), classes (counts of its shingles by class)."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prefixes, places, classes = [], [], [], [], []
+            nodes, sizes, prefixes, classes = [], [], [], []
             for some in in_portions(batch.column(2).to_pylist()):
                 keys, n = shingle_sets(some)
                 row, level = np.repeat(np.arange(len(some)), n), shared.value[buckets(keys)]
                 # within a text the hashes are in order already
                 rare = keys[np.argsort(row * 256 + level, kind="stable")].view(np.int64)
-                alone = np.bincount(row[level <= ALONE], minlength=len(some)).tolist()
                 split = np.bincount(row * CLASSES + (keys & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(some) * CLASSES).reshape(-1, CLASSES)
                 split = np.minimum(split, 255).astype(np.uint8)
                 for i, (at, k) in enumerate(zip((n.cumsum() - n).tolist(), n.tolist(), strict=True)):
                     nodes.append(xxhash.xxh3_128_digest(keys[at : at + k].tobytes()) if k else None)
                     sizes.append(k)
                     end = k + 1 - (percent * k + 99) // 100 if k else 0
-                    places.append(min(alone[i], end))
-                    prefixes.append(rare[at + places[-1] : at + end])
+                    prefixes.append(rare[at : at + end])
                     classes.append(split[i].tobytes())
-            columns = [pa.array(c, t) for c, t in ((nodes, pa.binary()), (sizes, pa.int64()), (prefixes, pa.list_(pa.int64())), (places, pa.int64()), (classes, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "key", "node", "size", "prefix", "at", "classes"])
+            columns = [pa.array(c, t) for c, t in ((nodes, pa.binary()), (sizes, pa.int64()), (prefixes, pa.list_(pa.int64())), (classes, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "key", "node", "size", "prefix", "classes"])
 
-    return texts.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key binary, node binary, size long, prefix array<long>, at long, classes binary")
+    return texts.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key binary, node binary, size long, prefix array<long>, classes binary")
 
 
 def least_common(size: Column, other: Column, percent: int) -> Column:
@@ -204,7 +198,7 @@ def shared_rows(nodes: DataFrame, percent: int) -> DataFrame:
 
     A row is indexed if the shingle stands so early that a set of no smaller size can be similar.
     """
-    rows = nodes.select("nid", "size", "at", F.posexplode("prefix").alias("k", "token")).select("nid", "size", (F.col("at") + F.col("k")).alias("pos"), "token")
+    rows = nodes.select("nid", "size", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.withColumn("indexed", F.col("pos") <= F.col("size") - least_common(F.col("size"), F.col("size"), percent))
     rest = F.col("size") - F.col("pos")
     groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("indexed").alias("indexed_n"), F.min("size").alias("least"), F.max("size").alias("most"), F.min(rest).alias("rest")).filter("n > 1 and indexed_n > 0")
@@ -237,13 +231,13 @@ def star_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of some members of each group and others.
 
     The least hashes choose the centres, so groups that share members mostly choose the same ones. First some of
-    all members meet all; later on, more of the group's main component meet what isn't of it.
+    all members meet all; later on, others of the group's main component meet what isn't of it.
     """
     rest = F.col("comp") != F.col("main")
     own, many = (rows, rows) if turn == 0 else (rows.filter(~rest), rows.filter(rest))
     order = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "nid"))
     # Spark keeps the first rows of a group before it deals them out
-    centres = own.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= CENTRES * 4**turn).drop("k")
+    centres = own.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= CENTRES).drop("k")
     both = met(centres, many)
     return both.filter(can_be_similar("few", "many", percent, False) | can_be_similar("many", "few", percent, False)).select(*pair("few", "many")).distinct()
 
@@ -332,8 +326,8 @@ def similar_links(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
         if not pairs:
             return labels
         found = materialize(found, "rows")
-        # groups are linked through some members as long as that halves what is left to try
-        star = pairs > PAIRS_A_ROW * n and (before is None or 2 * pairs <= before)
+        # groups are linked through some members as long as that leaves three quarters at most to try
+        star = pairs > PAIRS_A_ROW * n and (before is None or 4 * pairs <= 3 * before)
         new = star_pairs(found, percent, turn) if star else all_pairs(found, percent)
         new = materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
         likely = materialize(plausible(new, nodes, percent), "likely")
@@ -367,7 +361,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc
     texts = id_and_text(docs, id_col, text_col).withColumn("key", F.unhex(F.md5(F.encode("text", "utf-8"))))
     all_rows = materialize(signed(texts, frequency_levels(texts), percent, kind), "signed")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("rep")
-    grouped = all_rows.filter("size > 0").groupBy("node").agg(rep, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", "prefix", "at", "classes")])
+    grouped = all_rows.filter("size > 0").groupBy("node").agg(rep, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", "prefix", "classes")])
     # numbered before it is written, so the numbers stay
     nodes = materialize(grouped.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     labels = similar_links(texts, nodes, percent)

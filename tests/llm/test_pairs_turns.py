@@ -173,7 +173,7 @@ def test_templated_texts_are_no_candidates(spark):
     words = [f"w{k}" for k in range(40)]
     texts = spark.createDataFrame([(k, " ".join([*words[:20], f"serial{k}", *words[21:]])) for k in range(3000)], "doc_id long, text string").withColumn("key", F.unhex(F.md5(F.encode("text", "utf-8"))))
     rows = ngram_join.signed(texts, ngram_join.frequency_levels(texts), 90, "long")
-    nodes = rows.select(F.col("doc_id").alias("nid"), "size", "prefix", "at")
+    nodes = rows.select(F.col("doc_id").alias("nid"), "size", "prefix")
     assert ngram_join.shared_rows(nodes, 90).count() < 300
     assert {r.component_id for r in ngram_join.ngram_components(texts.drop("key")).collect()} == set(range(3000))
 
