@@ -35,8 +35,10 @@ TOGETHER_COUNTED = 1 << 22
 CLASSES = 64
 #: Rows of a shingle's group, and pairs of one set, that one task joins.
 TOGETHER = 10_000
+#: Times that groups are linked through some members, and of how many shingles one counts then.
+STARS, ONE_OF = 3, 4
 #: Candidate pairs for each row of the groups, beyond which groups are linked through some members first, and how many.
-PAIRS_A_ROW, CENTRES = 2, 4
+PAIRS_A_ROW, CENTRES = 2, 32
 #: Keys of texts that all tasks get at most; more are joined by a shuffle.
 MOST_SENT = 1 << 20
 
@@ -231,8 +233,10 @@ def star_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of some members of each group and others.
 
     The least hashes choose the centres, so groups that share members mostly choose the same ones. First some of
-    all members meet all; later on, others of the group's main component meet what isn't of it.
+    all members meet all; later on, others of the group's main component meet what isn't of it. Sets that are alike
+    share many shingles, so one of some shingles is enough here; what isn't linked is left to ``all_pairs``.
     """
+    rows = rows.filter(F.pmod(F.xxhash64("token"), F.lit(ONE_OF)) == turn % ONE_OF)
     rest = F.col("comp") != F.col("main")
     own, many = (rows, rows) if turn == 0 else (rows.filter(~rest), rows.filter(rest))
     order = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "nid"))
@@ -319,15 +323,15 @@ def similar_links(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     rows = shared_rows(nodes, percent)
     if rows.isEmpty():
         return None
-    sets, links, tried, labels, before, turn = None, None, None, None, None, 0
+    sets, links, tried, labels, turn = None, None, None, None, 0
     while True:
         named = rows.withColumn("comp", F.col("nid")) if labels is None else rows.join(labels, rows["nid"] == labels["node"], "left").withColumn("comp", F.coalesce("root", "nid")).drop("node", "root")
         found, n, pairs = open_groups(named.drop("n"))
         if not pairs:
             return labels
         found = materialize(found, "rows")
-        # groups are linked through some members as long as that leaves three quarters at most to try
-        star = pairs > PAIRS_A_ROW * n and (before is None or 4 * pairs <= 3 * before)
+        # large groups are linked through some members first
+        star = pairs > PAIRS_A_ROW * n and turn < STARS
         new = star_pairs(found, percent, turn) if star else all_pairs(found, percent)
         new = materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
         likely = materialize(plausible(new, nodes, percent), "likely")
@@ -341,7 +345,7 @@ def similar_links(texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
             labels = materialize(components(links), "labels")
         if not star:
             return labels
-        tried, before, turn = new if tried is None else tried.union(new), pairs, turn + 1
+        tried, turn = new if tried is None else tried.union(new), turn + 1
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
